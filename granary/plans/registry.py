@@ -35,7 +35,7 @@ def _compose(sql: str, doubles: list[str], extra: dict[str, str]) -> str:
 
     def visit(text: str) -> None:
         for name, body in ctes.items():
-            if name not in needed and re.search(rf"\b(from|join|,)\s+{name}\b", text, re.I):
+            if name not in needed and re.search(rf"\b(from|join)\s+{name}\b", text, re.I):
                 visit(body)
                 if name not in needed:
                     needed.append(name)
