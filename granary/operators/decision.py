@@ -402,9 +402,9 @@ def price_change(df: DataFrame, changes, price_elasticity: float = -1.2, cogs: f
         "new_price": price * (1.0 + c / 100), "new_demand": dem * (1.0 + price_elasticity * c / 100)})
     r0, r1 = price * dem, F.col("new_price") * F.col("new_demand")
     g = g.withColumns({
-        "new_revenue": r1, "revenue_change": r1 - r0,
+        "new_revenue": r1, "revenue_change": F.round(r1 - r0, 2),
         "revenue_change_pct": F.when(r0 > 0, (r1 - r0) / r0 * 100).otherwise(0.0),
-        "margin_change": (r1 - r0) * (1 - cogs),
+        "margin_change": F.round((r1 - r0) * (1 - cogs), 2),
         "margin_change_pct": F.when(r0 > 0, (r1 / r0 - 1.0) * 100).otherwise(0.0),
     })
     rp, mc = F.col("revenue_change_pct"), F.col("margin_change")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from granary.sources.testdata import BASE_CTES, Tables
 
 PLACES = 4
+# A few dozen ulps: decides exact decimal ties the same way on every engine.
+NUDGE = "1.00000000000001"
 _PLANS: dict[str, Callable[[Tables], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
@@ -44,14 +46,14 @@ def _compose(sql: str, doubles: list[str], extra: dict[str, str]) -> str:
     head = "with " + ",\n".join(f"{n} as ({ctes[n].strip()})" for n in needed) + "\n" if needed else ""
     if not doubles:
         return head + f"select * from ({sql.strip()})"
-    repl = ", ".join(f"round(cast({d} as double), {PLACES}) + 0.0 as {d}" for d in doubles)
+    repl = ", ".join(f"round(cast({d} as double) * {NUDGE}::double, {PLACES}) + 0.0 as {d}" for d in doubles)
     return head + f"select * replace ({repl}) from ({sql.strip()})"
 
 
 def rounded(df: DataFrame) -> DataFrame:
     """Round doubles so that summation order cannot show; adding 0.0 folds -0.0."""
     return df.select(*[
-        (F.round(F.col(f.name), PLACES) + F.lit(0.0)).alias(f.name)
+        (F.round(F.col(f.name) * F.lit(float(NUDGE)), PLACES) + F.lit(0.0)).alias(f.name)
         if f.dataType.typeName() == "double" else F.col(f.name)
         for f in df.schema.fields
     ])

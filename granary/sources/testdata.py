@@ -137,7 +137,7 @@ PRICED_SQL = """
 select s.*, p.sku, p.name, p.category, p.unit_price, p.unit_cost,
        cast(s.revenue as double) / nullif(s.quantity_sold, 0) as unit_price_at_sale,
        p.unit_cost as unit_cost_at_sale,
-       cast(s.revenue as double) - p.unit_cost * s.quantity_sold as profit_loss_amount
+       s.revenue - cast(p.unit_cost as decimal(12,2)) * s.quantity_sold as profit_loss_amount
 from sales s join products p on s.product_id = p.product_id
 """
 
@@ -235,7 +235,7 @@ class Tables:
         return self.sales(since).join(p, "product_id").withColumns({
             "unit_price_at_sale": money / F.nullif(F.col("quantity_sold"), F.lit(0)),
             "unit_cost_at_sale": F.col("unit_cost"),
-            "profit_loss_amount": money - F.col("unit_cost") * F.col("quantity_sold"),
+            "profit_loss_amount": F.col("revenue") - F.col("unit_cost").cast("decimal(12,2)") * F.col("quantity_sold"),
         })
 
     @property
