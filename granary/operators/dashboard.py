@@ -278,7 +278,7 @@ def savings_rows(products: DataFrame, sales: DataFrame, as_of: dt.date, days: in
 def savings_by_category(rows: DataFrame) -> DataFrame:
     """Per category and overall (null category) in one pass."""
     parts = ("holding", "stockouts", "ordering", "markdown")
-    out = rows.rollup("category").agg(*[F.sum(F.round(p, 4).cast("decimal(20,4)")).cast("double").alias(p) for p in parts])
+    out = rows.rollup("category").agg(*[F.sum(F.round(p, 8).cast("decimal(28,8)")).cast("double").alias(p) for p in parts])
     return out.withColumn("total", sum((F.col(p) for p in parts[1:]), F.col(parts[0])))
 
 
@@ -289,7 +289,7 @@ def portfolio_savings(products: DataFrame, sales: DataFrame, as_of: dt.date, day
     df = compact_policy(df)
     level = F.col("eoq") / 2.0 + F.col("safety_stock")
     spare = F.greatest(F.lit(0.0), F.greatest(F.col("current_stock").cast("double"), level) - level)
-    saving = F.round(spare * F.greatest(F.col("cost") * 0.25, F.lit(0.01)), 4).cast("decimal(20,4)")
+    saving = F.round(spare * F.greatest(F.col("cost") * 0.25, F.lit(0.01)), 8).cast("decimal(28,8)")
     return df.agg(F.count(F.lit(1)).alias("products"), F.sum(saving).cast("double").alias("savings"))
 
 

@@ -230,7 +230,7 @@ SAVE = f"""select product_id, coalesce(category, 'Uncategorized') as category, c
    case when d < 1 and current_stock > 50 then current_stock * unit_price * 0.05 else 0.0 end as markdown
   from (select p.*, {LEAD} as lead, coalesce(cast(total_qty as double) / greatest(active_days, 1), case when average_daily_demand > 0 then average_daily_demand end) as d
     from products p left join ({trans_stats(60)}) s on p.product_id = s.product_id) where d > 0 and unit_cost > 0"""
-_D = "cast(sum(cast(round({0}, 4) as decimal(20,4))) as double)"
+_D = "cast(sum(cast(round({0}, 8) as decimal(28,8))) as double)"
 
 
 @query("AGG14", f"""select *, holding + stockouts + ordering + markdown as total from (select category, {", ".join(_D.format(c) + " as " + c for c in ("holding", "stockouts", "ordering", "markdown"))}
@@ -241,7 +241,7 @@ def agg14(t):
 
 @query("AGG15", f"""with j as (select p.* exclude (reorder_point, safety_stock), {LEAD} as lead, unit_cost as cost, sigma, cast(total_qty as double) / greatest(1, least(active_days, 90)) as demand
     from products p join ({trans_stats(90)}) s on p.product_id = s.product_id where total_qty > 0)
-  select count(*) as products, cast(sum(cast(round(greatest(0.0::double, greatest(current_stock::double, eoq / 2.0 + safety_stock) - (eoq / 2.0 + safety_stock)) * greatest(cost * 0.25, 0.01), 4) as decimal(20,4))) as double) as savings
+  select count(*) as products, cast(sum(cast(round(greatest(0.0::double, greatest(current_stock::double, eoq / 2.0 + safety_stock) - (eoq / 2.0 + safety_stock)) * greatest(cost * 0.25, 0.01), 8) as decimal(28,8))) as double) as savings
   from ({policy('j')})""", "savings")
 def agg15(t):
     return dash.portfolio_savings(t.products, t.sales(t.days_before(90)), t.as_of)

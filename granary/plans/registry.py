@@ -43,7 +43,7 @@ def _compose(sql: str, doubles: list[str], extra: dict[str, str]) -> str:
                     needed.append(name)
 
     visit(sql)
-    head = "with " + ",\n".join(f"{n} as ({ctes[n].strip()})" for n in needed) + "\n" if needed else ""
+    head = "with recursive " + ",\n".join(f"{n} as ({ctes[n].strip()})" for n in needed) + "\n" if needed else ""
     if not doubles:
         return head + f"select * from ({sql.strip()})"
     repl = ", ".join(f"round(cast({d} as double) * {NUDGE}::double, {PLACES}) + 0.0 as {d}" for d in doubles)
