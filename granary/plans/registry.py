@@ -34,13 +34,14 @@ def query(key: str, oracle: str | None = None, doubles: str = "", with_: dict[st
 def _compose(sql: str, doubles: list[str], extra: dict[str, str]) -> str:
     ctes = {**BASE_CTES, **extra}
     needed: list[str] = []
+    open_: set[str] = set()  # relations being visited; a recursive one names itself
 
     def visit(text: str) -> None:
         for name, body in ctes.items():
-            if name not in needed and re.search(rf"\b(from|join)\s+{name}\b", text, re.I):
+            if name not in needed and name not in open_ and re.search(rf"\b(from|join)\s+{name}\b", text, re.I):
+                open_.add(name)
                 visit(body)
-                if name not in needed:
-                    needed.append(name)
+                needed.append(name)
 
     visit(sql)
     head = "with recursive " + ",\n".join(f"{n} as ({ctes[n].strip()})" for n in needed) + "\n" if needed else ""
