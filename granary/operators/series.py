@@ -128,17 +128,21 @@ def decompose(series: DataFrame, value: str, periods: tuple[int, ...]) -> DataFr
     """
     w = Window.partitionBy(KEY).orderBy("i")
     y = F.col(value).cast("double")
-    options = []
+    means = {}
     for p in periods:
         h = p // 2
         full = (F.col("i") >= h) & (F.col("i") <= F.col("n") - 1 - h)
         total = F.sum(y).over(w.rowsBetween(-h, h))
         if p % 2 == 0:
             total = total - 0.5 * (F.lag(y, h).over(w) + F.lead(y, h).over(w))
-        options.append(F.when(F.col("n") >= 2 * p, F.struct(
-            F.lit(p).alias("period"), F.lit(h).alias("h"), F.when(full, total / p).alias("ma"))))
+        means[f"_ma{p}"] = F.when(full, total / p)
+    options = [
+        F.when(F.col("n") >= 2 * p, F.struct(
+            F.lit(p).alias("period"), F.lit(p // 2).alias("h"), F.col(f"_ma{p}").alias("ma")))
+        for p in periods
+    ]
     keep = [c for c in series.columns]
-    long = series.select(*keep, F.explode(F.array_compact(F.array(*options))).alias("o")).select(
+    long = series.withColumns(means).select(*keep, F.explode(F.array_compact(F.array(*options))).alias("o")).select(
         *keep, "o.period", "o.h", "o.ma")
     i, h, n, p = F.col("i"), F.col("h"), F.col("n"), F.col("period")
     back = n - 1 - h
