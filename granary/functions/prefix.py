@@ -81,3 +81,18 @@ def running_totals(
         adds[f"{n}_total"] = F.col(f"_t_{n}")
     out = joined.withColumns(adds)
     return out.select(*df.columns, *adds)
+
+
+def exact_quantiles(df: DataFrame, value: str, key: str, fractions: list[float]) -> DataFrame:
+    """Linear-interpolated quantiles as one row ``q`` (array), without one big sort task."""
+    rows = df.select(key, value).filter(F.col(value).isNotNull())
+    ranked = running_totals(rows, [F.col(value), F.col(key)], {}, position="pos")
+    picks = []
+    for f in fractions:
+        h = F.lit(f) * (F.col("pos_total") - 1)
+        lo = F.floor(h) + 1
+        at_lo = F.max(F.when(F.col("pos") == lo, F.col(value)))
+        at_hi = F.max(F.when(F.col("pos") == F.least(lo + 1, F.col("pos_total")), F.col(value)))
+        part = F.max(h - F.floor(h))
+        picks.append(at_lo + (at_hi - at_lo) * part)
+    return ranked.agg(F.array(*picks).alias("q"))
