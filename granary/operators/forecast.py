@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions.prefix import ensure_checkpoint_dir
 from granary.operators import series as ts
 
 KEY = "product_id"
@@ -300,6 +301,9 @@ def forecast_products(daily: DataFrame, horizon: int = 30, trend_threshold: floa
     periods = periods.withColumns({"n_periods": n, "period_days": length}).join(seg, KEY).withColumns({
         "choice": model_choice(F.col("segment"), F.col("n_periods")),
         "horizon": F.greatest(F.lit(1), F.ceil(F.lit(horizon) / length).cast("int"))})
+    # Five branches read this table; writing it once keeps them from repeating its lineage.
+    ensure_checkpoint_dir(daily.sparkSession)
+    periods = periods.checkpoint()
     h = F.ceil(F.lit(horizon) / F.lit(7)).cast("int")
     pick = {c: periods.filter(F.col("choice") == c) for c in ("holt_winters", "seasonal_naive", "decomposition")}
     fitted = fit_holt_winters(pick["holt_winters"]).unionByName(

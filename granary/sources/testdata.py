@@ -110,8 +110,8 @@ concat(' SKU-', lpad(cast(l_partkey + case when l_orderkey % 50 = 0 then 9000000
 case when l_orderkey % 41 = 0 then 'not-a-date' else substr(cast(l_shipdate as varchar(30)), 1, 10) end as sale_date
 case when l_orderkey % 37 = 0 then 'many' else concat(cast(cast(l_quantity as int) as varchar(20)), '.0') end as qty
 cast(cast(l_extendedprice as decimal(12,2)) as varchar(20)) as amount
-case when l_linenumber = 1 then null else cast(cast(l_extendedprice / l_quantity as decimal(12,2)) as varchar(20)) end as price
-case when l_linenumber = 2 then null else cast(cast(l_extendedprice / l_quantity * 0.75 as decimal(12,2)) as varchar(20)) end as cost
+case when l_linenumber = 1 then null else concat(cast(cast(floor(l_extendedprice / l_quantity) as int) as varchar(20)), '.25') end as price
+case when l_linenumber = 2 then null else concat(cast(cast(floor(l_extendedprice / l_quantity * 0.75) as int) as varchar(20)), '.5') end as cost
 l_returnflag as channel
 """.strip().splitlines()
 
