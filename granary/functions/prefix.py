@@ -19,10 +19,12 @@ _SLICE = "_slice"
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared folder; make a private one only where none is named."""
+    current = spark.sparkContext.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
+        if not current:
+            spark.sparkContext.setCheckpointDir(configured)
         return configured
-    current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     folder = tempfile.mkdtemp(prefix="granary-ckpt-")

@@ -25,6 +25,15 @@ def steps_ahead(df: DataFrame, horizon: Column | int) -> DataFrame:
     return df.withColumn("step", F.explode(F.sequence(F.lit(1), h)))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Hash by product into the configured number of partitions.
+
+    Grouped pandas work is bound by CPU, not bytes, so the partitions must not be
+    merged by size; the grouped map then needs no further shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), KEY)
+
+
 # ---- Holt-Winters -------------------------------------------------------------
 
 def holt_winters(y: np.ndarray, horizon: int, period: int, seasonal: str = "add", damp: float = 1.0):
@@ -110,7 +119,7 @@ def _fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
 def fit_holt_winters(periods: DataFrame) -> DataFrame:
     """``periods`` has product_id, date, smooth, grain, horizon; a group is a calendar of periods."""
     kind = dict(periods.dtypes)[KEY]
-    return periods.select(KEY, "date", "smooth", "grain", "horizon").groupBy(KEY).applyInPandas(
+    return spread(periods.select(KEY, "date", "smooth", "grain", "horizon")).groupBy(KEY).applyInPandas(
         _fit_group, FORECAST.format(key=kind))
 
 
@@ -149,7 +158,8 @@ def decomposition_forecast(periods: DataFrame, horizon: int | Column) -> DataFra
     n = F.col("n")
     season = F.when(F.col("grain") == "biweekly", F.when(n >= 12, 6).when(n >= 6, 3)) \
         .otherwise(F.when(n >= 26, 13).when(n >= 8, 4))
-    parts = ts.decompose(s.withColumn("want", season), "smooth", (3, 4, 6, 13)).filter(F.col("period") == F.col("want"))
+    lengths = (3, 4, 6, 13)
+    parts = ts.decompose(s.withColumn("want", season), "smooth", lengths, {p: F.col("want") == p for p in lengths})
     x = F.col("i").cast("double")
     g = parts.groupBy(KEY).agg(
         F.max("n").alias("n"), F.max("period").alias("period"), F.regr_slope("trend", x).alias("b"),
@@ -236,10 +246,11 @@ def enrich(forecast: DataFrame, periods: DataFrame) -> DataFrame:
     f = forecast.withColumns({"_m": F.avg("forecast").over(w), "_s": F.stddev_pop("forecast").over(w),
                               "_h": F.count(F.lit(1)).over(w)})
     flat = (F.col("_h") >= 2) & (F.col("_m") > 0) & (F.col("_s") / F.col("_m") <= 0.12)
-    s = ts.numbered(periods.select(KEY, "date", "qty", "grain")).filter("n >= 8")
-    parts = ts.decompose(s, "qty", (3, 4, 6, 8, 13)).filter(
-        ((F.col("grain") == "biweekly") & F.col("period").isin(6, 3))
-        | ((F.col("grain") == "weekly") & F.col("period").isin(13, 4, 8, 6)))
+    # Only products with a flat forecast need the season of their history.
+    history = periods.join(f.filter(flat).select(KEY).distinct(), KEY, "left_semi")
+    s = ts.numbered(history.select(KEY, "date", "qty", "grain")).filter("n >= 8")
+    weekly = F.col("grain") == "weekly"
+    parts = ts.decompose(s, "qty", (3, 4, 6, 8, 13), {3: ~weekly, 4: weekly, 8: weekly, 13: weekly})
     n, p, i = F.col("n"), F.col("period"), F.col("i")
     span = p * F.least(F.lit(3), F.floor(n / p).cast("int"))
     # The preference order of the periods breaks ties between equal strengths.
@@ -310,6 +321,8 @@ def forecast_products(daily: DataFrame, horizon: int = 30, trend_threshold: floa
         seasonal_naive(pick["seasonal_naive"], h)).unionByName(decomposition_forecast(pick["decomposition"], h))
     info = periods.groupBy(KEY).agg(F.max("horizon").alias("hz"), F.max("period_days").alias("period_days"))
     fitted = fitted.join(info.select(KEY, "hz"), KEY).filter(F.col("step") <= F.col("hz")).drop("hz")
+    # A few rows per product, read twice by the enrichment; the fits must not run twice.
+    fitted = fitted.checkpoint()
     fitted = enrich(fitted, periods.select(KEY, "date", "qty", "grain"))
     weights = ts.weekday_weights(daily)
     last = daily.groupBy(KEY).agg(F.max("date").alias("last")).join(info.select(KEY, "period_days"), KEY)
@@ -356,7 +369,7 @@ def _fit_days(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def seasonal_days(filled: DataFrame, horizon: int = 30) -> DataFrame:
     kind = dict(filled.dtypes)[KEY]
-    return filled.select(KEY, "date", "qty").withColumn("horizon", F.lit(horizon)).groupBy(KEY).applyInPandas(
+    return spread(filled.select(KEY, "date", "qty").withColumn("horizon", F.lit(horizon))).groupBy(KEY).applyInPandas(
         _fit_days, FORECAST.format(key=kind))
 
 
@@ -584,7 +597,7 @@ def auto_forecast(series: DataFrame, horizon: int | Column = 30) -> DataFrame:
     """Forecast of the holdout winner for every product (daily rows, calendar-sized groups)."""
     h = horizon if isinstance(horizon, Column) else F.lit(horizon)
     kind = dict(series.dtypes)[KEY]
-    return series.withColumn("horizon", h).select(KEY, "date", "qty", "horizon").groupBy(KEY).applyInPandas(
+    return spread(series.withColumn("horizon", h).select(KEY, "date", "qty", "horizon")).groupBy(KEY).applyInPandas(
         _auto_group, FORECAST.format(key=kind) + ", direction string")
 
 

@@ -87,14 +87,15 @@ def winsorise(periods: DataFrame) -> DataFrame:
 
     start = F.struct(F.array().cast("array<double>").alias("out"), F.lit(0.0).alias("carry"))
     ahead = F.aggregate(F.sequence(F.lit(0), last), start, step)["out"]
-    g = g.withColumn("fwd", ahead)
+    lone = ((F.col("n") >= 4) & (F.col("n_pos") < 0.3 * F.col("n"))
+            & (F.array_max("ys") > F.col("limit")))
+    g = g.withColumn("lone", lone).withColumn("fwd", F.when(F.col("lone"), ahead))
 
     def back(v: Column, i: Column) -> Column:
         nxt = F.get("fwd", i + 1)
         return F.when(nxt > F.col("limit"), F.greatest(v, nxt / width(i + 1))).otherwise(v)
 
-    lone = (F.col("n") >= 4) & (F.col("n_pos") < 0.3 * F.col("n"))
-    g = g.withColumn("final", F.when(lone, F.transform("fwd", back)).otherwise(F.col("ys")))
+    g = g.withColumn("final", F.when(F.col("lone"), F.transform("fwd", back)).otherwise(F.col("ys")))
     out = g.select(KEY, F.explode(F.arrays_zip("rows", "final")).alias("z")).select(
         KEY, F.col("z.rows.date").alias("date"), F.col("z.final").alias("smooth"))
     return periods.join(out, [KEY, "date"])
@@ -119,12 +120,14 @@ def calendar_features(series: DataFrame) -> DataFrame:
 
 # ---- decomposition -----------------------------------------------------------
 
-def decompose(series: DataFrame, value: str, periods: tuple[int, ...]) -> DataFrame:
+def decompose(series: DataFrame, value: str, periods: tuple[int, ...],
+              allowed: dict[int, Column] | None = None) -> DataFrame:
     """Additive decomposition for every period that fits twice into the series.
 
     Input has ``product_id, i, n`` and ``value``; output adds ``period, trend, seasonal,
     resid``.  The trend is a centred moving average whose ends are extended along the
     line through the nearest ``period`` points.  All windows share one partitioning.
+    ``allowed`` limits a period to the series it is wanted for.
     """
     w = Window.partitionBy(KEY).orderBy("i")
     y = F.col(value).cast("double")
@@ -137,7 +140,7 @@ def decompose(series: DataFrame, value: str, periods: tuple[int, ...]) -> DataFr
             total = total - 0.5 * (F.lag(y, h).over(w) + F.lead(y, h).over(w))
         means[f"_ma{p}"] = F.when(full, total / p)
     options = [
-        F.when(F.col("n") >= 2 * p, F.struct(
+        F.when((F.col("n") >= 2 * p) & (allowed or {}).get(p, F.lit(True)), F.struct(
             F.lit(p).alias("period"), F.lit(p // 2).alias("h"), F.col(f"_ma{p}").alias("ma")))
         for p in periods
     ]

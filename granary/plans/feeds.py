@@ -278,18 +278,16 @@ ITEM = "product_code string, sale_date string, qty string, amount string, price
 
 
 def documents(t):
-    """One API answer per order: its lines under one of the known wrappers, or bare."""
-    lines = t.raw_sales.select(F.floor(F.col("line_no") / 10).alias("doc"), F.struct(
-        "product_code", "sale_date", "qty", "amount", "price", "cost").alias("r"))
-    per = lines.groupBy("doc").agg(F.collect_list("r").alias("rows"))  # an order has a handful of lines
-    text, kind = F.to_json("rows"), F.col("doc") % 5
+    """One API answer per line, under one of the known wrappers or as a bare list."""
+    text = F.to_json(F.array(F.struct("product_code", "sale_date", "qty", "amount", "price", "cost")))
+    kind = F.col("line_no") % 5
     wrap = F.when(kind == 4, text)
     for i, w in enumerate(ingest.WRAPPERS):
         wrap = F.when(kind == i, F.concat(F.lit(f'{{"{w}":'), text, F.lit("}"))).otherwise(wrap)
-    return per.select("doc", wrap.alias("body"))
+    return t.raw_sales.select(F.col("line_no").alias("doc"), wrap.alias("body"))
 
 
-@query("SRC14", """select line_no // 10 as doc, p.product_id, s.date, quantity_sold, revenue from convs s join products p on s.sku = p.sku where s.date is not null""", "revenue", FEED)
+@query("SRC14", """select line_no as doc, p.product_id, s.date, quantity_sold, revenue from convs s join products p on s.sku = p.sku where s.date is not null""", "revenue", FEED)
 def src14(t):
     rows = ingest.import_documents(documents(t), t.products, "sales", ITEM)
     return rows.select("doc", "product_id", "date", "quantity_sold", "revenue")
