@@ -8,6 +8,7 @@ from granary.operators.demand import population_sd
 from granary.plans.inventory import ALERTS, _alerts
 from granary.plans.registry import query
 from granary.streaming import jobs
+from granary.streaming.dedupe import dedupe_log
 
 DELTA = "select user_id as sku, ts, event_id, case event_type when 'purchase' then -1 when 'signup' then 3 else 0 end as delta from events"
 LEDGER = """select sku, count(*) as events, cast(max(case when last then s end) - least(0, min(s)) as bigint) as stock from (
@@ -32,12 +33,27 @@ def str02(t):
     return jobs.latest_counts(counts)
 
 
-@query("STR04")
-def str04(t):
-    notices = jobs.read_files(t.spark, t.folder, "events.parquet").filter("event_type = 'error'").select(
+ERRORS = "select 'user-' || user_id as alert_key, 'EMAIL' as channel, event_id as id, ts from events where event_type = 'error'"
+SENT = """select alert_key, channel, min(ts) as ts from errors group by alert_key, channel
+  union all select alert_key, channel, (select min(e.ts) from errors e where e.alert_key = s.alert_key and e.ts > s.ts + interval 120 minutes) from sent s where s.ts is not null"""
+KEPT = """select s.alert_key, s.channel, min(e.id) as id, s.ts from sent s join errors e on s.alert_key = e.alert_key and s.ts = e.ts group by s.alert_key, s.channel, s.ts"""
+SENT_CTES = {"errors": ERRORS, "sent": SENT, "kept": KEPT}
+
+
+def _errors(events):
+    return events.filter("event_type = 'error'").select(
         F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("alert_key"), F.lit("EMAIL").alias("channel"),
         F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
-    return jobs.run_to_files(jobs.dedupe_stream(notices))
+
+
+@query("STR04", "select * from kept", "", SENT_CTES)
+def str04(t):
+    return dedupe_log(_errors(t.raw("events")))
+
+
+@query("STR04_stream", "select * from kept", "", SENT_CTES)
+def str04_stream(t):
+    return jobs.run_to_files(jobs.dedupe_stream(_errors(jobs.read_files(t.spark, t.folder, "events.parquet"))))
 
 
 @query("STR05", """select product_id, type, severity, type || ':' || product_id as alert_key, unnest(list_filter([case when send_email then 'EMAIL' end, case when severity in ('CRITICAL', 'HIGH') then 'SLACK' end,

@@ -108,6 +108,32 @@ def sync_snapshots(counts: DataFrame, path: str, checkpoint: str):
             .trigger(availableNow=True).start())
 
 
+def ledger_job(events: DataFrame, path: str, checkpoint: str):
+    """The ledger for feeds with hot skus: each batch is summed up by sliced prefix sums.
+
+    A batch moves a stock from s to s + S - min(0, s + m), with S its total and m its
+    lowest prefix.  The table is written as one version per batch, so a retry repeats
+    its own version from the one before.
+    """
+    spark = events.sparkSession
+
+    def apply(batch: DataFrame, number: int) -> None:
+        run = running_totals(batch.select("sku", "ts", "event_id", "delta"), [F.col("ts"), F.col("event_id")],
+                             {"s": "delta"}, keys=("sku",))
+        new = run.groupBy("sku").agg(F.max("s_total").alias("total"), F.min("s").alias("low"))
+        if number > 0:
+            new = spark.read.parquet(f"{path}/version={number - 1}").join(new, "sku", "full_outer")
+        else:
+            new = new.withColumn("stock", F.lit(0).cast("long"))
+        s = F.coalesce("stock", F.lit(0))
+        total, low = F.coalesce("total", F.lit(0)), F.coalesce("low", F.lit(0))
+        new.select("sku", (s + total - F.least(F.lit(0), s + low)).alias("stock")).write.mode("overwrite").parquet(
+            f"{path}/version={number}")
+
+    return (events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
 # ---- alerting ---------------------------------------------------------------------
 
 def _dedupe(window_s: int):

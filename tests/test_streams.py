@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.streaming import jobs
+from granary.streaming.dedupe import dedupe_log
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -54,6 +55,42 @@ def test_dedupe_equals_the_loop(spark, event_files):
     assert {r.id for r in jobs.run_to_files(jobs.dedupe_stream(s)).collect()} == want
 
 
+def loop(rows, minutes=120):
+    last, want = {}, set()
+    for key, at, n in sorted(rows, key=lambda r: (r[1], r[2])):
+        if key not in last or at - last[key] > dt.timedelta(minutes=minutes):
+            last[key] = at
+            want.add(n)
+    return want
+
+
+@pytest.mark.parametrize("stretch", [1, 3, 12])
+def test_dedupe_log_equals_the_loop_on_a_hot_key(spark, stretch):
+    rows = [("hot" if i % 3 == 0 else f"k{i % 5}", T0 + dt.timedelta(seconds=(i * 7919) % 400000), i) for i in range(4000)]
+    rows += [("edge", T0 + dt.timedelta(minutes=120 * k), 5000 + k) for k in range(30)]
+    rows += [("same", T0, 6000), ("same", T0, 6001), ("rare", T0 + dt.timedelta(days=40), 7000), ("rare", T0, 7001)]
+    df = spark.createDataFrame(rows, "alert_key string, ts timestamp, id long").withColumn("channel", F.lit("EMAIL"))
+    assert {r.id for r in dedupe_log(df, stretch_windows=stretch).collect()} == loop(rows)
+
+
+def test_dedupe_log_continues_from_an_earlier_batch(spark):
+    rows = [("a" if i % 2 else "b", T0 + dt.timedelta(seconds=i * 1700), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "alert_key string, ts timestamp, id long").withColumn("channel", F.lit("EMAIL"))
+    first = dedupe_log(df.filter("id < 130"))
+    before = first.groupBy("alert_key", "channel").agg(F.max(F.unix_micros("ts")).alias("last_us"))
+    second = dedupe_log(df.filter("id >= 130"), before=before)
+    assert {r.id for r in first.collect()} | {r.id for r in second.collect()} == loop(rows)
+
+
+def test_ledger_job_equals_the_loop(spark, event_files, tmp_path):
+    path, rows = event_files
+    stock = {}
+    for r in rows:
+        stock[r.user_id] = max(0, stock.get(r.user_id, 0) + {"purchase": -1, "signup": 3}.get(r.event_type, 0))
+    jobs.ledger_job(jobs.event_deltas(stream(spark, path)), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
+    assert {r.sku: r.stock for r in spark.read.parquet(str(tmp_path / "t/version=3")).collect()} == stock
+
+
 def test_snapshots_keep_the_last_count(spark, event_files, tmp_path):
     path, rows = event_files
     s = stream(spark, path).filter("event_type = 'view'").select(
