@@ -306,7 +306,7 @@ def model_choice(segment: Column, n: Column) -> Column:
 def forecast_products(daily: DataFrame, horizon: int = 30, trend_threshold: float = 0.05) -> DataFrame:
     """Segment, aggregate, smooth, fit, enrich and disaggregate; one row per product and day."""
     seg = ts.segments(daily, trend_threshold).select(KEY, "segment")
-    periods = ts.winsorise(ts.model_periods(ts.weekly(daily)))
+    periods = ts.winsorise(ts.model_periods(daily))
     n = F.count(F.lit(1)).over(Window.partitionBy(KEY))
     length = F.when(F.col("grain") == "biweekly", 14).otherwise(7)
     periods = periods.withColumns({"n_periods": n, "period_days": length}).join(seg, KEY).withColumns({

@@ -40,41 +40,62 @@ def weekly(series: DataFrame) -> DataFrame:
         F.coalesce("n_days", F.lit(0)).alias("n_days"))
 
 
-def biweekly(weeks: DataFrame) -> DataFrame:
-    """Pairs of weeks counted from each product's first Monday."""
-    start = F.min("date").over(Window.partitionBy(KEY))
-    slot = F.floor(F.datediff("date", start) / 14).cast("int")
-    return weeks.withColumn("date", F.date_add(start, slot * 14)).groupBy(KEY, "date").agg(
-        F.sum("qty").alias("qty"), F.sum("n_days").alias("n_days"))
-
+def model_periods(series: DataFrame) -> DataFrame:
+    """Weekly rows, or pairs of weeks where fewer than half of at least eight weeks sold.
 
-def model_periods(weeks: DataFrame) -> DataFrame:
-    """Weekly rows, or biweekly ones where fewer than half of at least eight weeks sold."""
-    w = Window.partitionBy(KEY)
-    sparse = (F.count_if(F.col("qty") > 0).over(w) < 0.5 * F.count(F.lit(1)).over(w)) & (
-        F.count(F.lit(1)).over(w) >= 8)
-    marked = weeks.withColumn("_sparse", sparse)
-    fine = marked.filter(~F.col("_sparse")).drop("_sparse").withColumn("grain", F.lit("weekly"))
-    coarse = biweekly(marked.filter("_sparse").drop("_sparse")).withColumn("grain", F.lit("biweekly"))
-    return fine.unionByName(coarse)
+    Pairs are counted from each product's first Monday.  The grain is decided on the
+    selling weeks, before the silent ones are generated.
+    """
+    sold = series.groupBy(KEY, F.date_trunc("week", "date").cast("date").alias("week")).agg(
+        F.sum("qty").alias("qty"), F.count(F.lit(1)).alias("n_days"))
+    n = F.floor(F.datediff("hi", "lo") / 7) + 1
+    sparse = (F.col("n_pos") < 0.5 * n) & (n >= 8)
+    info = sold.groupBy(KEY).agg(
+        F.min("week").alias("lo"), F.max("week").alias("hi"), F.count_if(F.col("qty") > 0).alias("n_pos")
+    ).withColumn("days", F.when(sparse, 14).otherwise(7))
+    slots = F.floor(F.datediff("hi", "lo") / F.col("days")).cast("int")
+    grid = info.select(KEY, "lo", "days", F.explode(F.sequence(F.lit(0), slots)).alias("slot"))
+    filled = sold.join(info.select(KEY, "lo", "days"), KEY).groupBy(
+        KEY, F.floor(F.datediff("week", "lo") / F.col("days")).cast("int").alias("slot")).agg(
+        F.sum("qty").alias("qty"), F.sum("n_days").alias("n_days"))
+    return grid.join(filled, [KEY, "slot"], "left").select(
+        KEY, F.date_add("lo", F.col("slot") * F.col("days")).alias("date"), F.coalesce("qty", F.lit(0)).alias("qty"),
+        F.coalesce("n_days", F.lit(0)).alias("n_days"),
+        F.when(F.col("days") == 14, "biweekly").otherwise("weekly").alias("grain"))
 
 
 def winsorise(periods: DataFrame) -> DataFrame:
     """Cap at twice the 99th percentile of the selling periods.
 
-    Where fewer than 30 % of the periods sold, a lone spike above five medians is
-    spread over its neighbours; the carry from one period to the next makes that a
-    fold over the ordered (calendar-sized) array of the product.
+    Where fewer than 30 % of the periods sold, a lone spike above five medians is also
+    spread over its neighbours.
     """
     q = F.col("qty").cast("double")
     pos = F.when(q > 0, q)
-    g = periods.groupBy(KEY).agg(
-        F.percentile(pos, 0.99).alias("p99"), F.percentile(pos, 0.5).alias("med"),
-        F.count(F.lit(1)).alias("n"), F.count(pos).alias("n_pos"),
-        F.array_sort(F.collect_list(F.struct("date", q.alias("y")))).alias("rows"))
-    g = g.withColumn("cap", F.when((F.col("n") >= 4) & (F.col("n_pos") > 0), F.col("p99") * 2.0))
-    g = g.withColumn("ys", F.transform("rows", lambda r: F.coalesce(F.least(r["y"], F.col("cap")), r["y"])))
-    g = g.withColumn("limit", F.coalesce(F.col("med"), F.lit(1.0)) * 5)
+    stats = periods.groupBy(KEY).agg(
+        F.percentile(pos, 0.99).alias("p99"), F.coalesce(F.percentile(pos, 0.5), F.lit(1.0)).alias("med"),
+        F.count(F.lit(1)).alias("n"), F.count(pos).alias("n_pos"), F.max(q).alias("top"))
+    cap = F.when((F.col("n") >= 4) & (F.col("n_pos") > 0), F.col("p99") * 2.0)
+    stats = stats.select(
+        KEY, cap.alias("cap"), (F.col("med") * 5).alias("limit"),
+        ((F.col("n") >= 4) & (F.col("n_pos") < 0.3 * F.col("n"))
+         & (F.coalesce(F.least("top", cap), F.col("top")) > F.col("med") * 5)).alias("lone"))
+    df = periods.join(stats, KEY).withColumn("smooth", F.coalesce(F.least(q, F.col("cap")), q))
+    calm = df.filter(~F.col("lone"))
+    spread = spread_spikes(df.filter("lone").select(KEY, "date", "smooth", "limit"))
+    spiky = df.filter("lone").drop("smooth").join(spread, [KEY, "date"])
+    return calm.unionByName(spiky).drop("cap", "limit", "lone")
+
+
+def spread_spikes(rows: DataFrame) -> DataFrame:
+    """Share every value above ``limit`` with its neighbours, in time order.
+
+    A raised neighbour may exceed the limit in turn, so the pass is a fold over the
+    product's ordered values, as many as the calendar has periods.
+    """
+    g = rows.groupBy(KEY).agg(
+        F.max("limit").alias("limit"), F.array_sort(F.collect_list(F.struct("date", "smooth"))).alias("rows"))
+    g = g.withColumn("ys", F.transform("rows", lambda r: r["smooth"]))
     last = F.size("ys") - 1
 
     def width(i: Column) -> Column:
@@ -86,19 +107,15 @@ def winsorise(periods: DataFrame) -> DataFrame:
         return F.struct(F.concat(acc["out"], F.array(v)).alias("out"), share.alias("carry"))
 
     start = F.struct(F.array().cast("array<double>").alias("out"), F.lit(0.0).alias("carry"))
-    ahead = F.aggregate(F.sequence(F.lit(0), last), start, step)["out"]
-    lone = ((F.col("n") >= 4) & (F.col("n_pos") < 0.3 * F.col("n"))
-            & (F.array_max("ys") > F.col("limit")))
-    g = g.withColumn("lone", lone).withColumn("fwd", F.when(F.col("lone"), ahead))
+    g = g.withColumn("fwd", F.aggregate(F.sequence(F.lit(0), last), start, step)["out"])
 
     def back(v: Column, i: Column) -> Column:
         nxt = F.get("fwd", i + 1)
         return F.when(nxt > F.col("limit"), F.greatest(v, nxt / width(i + 1))).otherwise(v)
 
-    g = g.withColumn("final", F.when(F.col("lone"), F.transform("fwd", back)).otherwise(F.col("ys")))
-    out = g.select(KEY, F.explode(F.arrays_zip("rows", "final")).alias("z")).select(
+    g = g.withColumn("final", F.transform("fwd", back))
+    return g.select(KEY, F.explode(F.arrays_zip("rows", "final")).alias("z")).select(
         KEY, F.col("z.rows.date").alias("date"), F.col("z.final").alias("smooth"))
-    return periods.join(out, [KEY, "date"])
 
 
 def weekday_weights(series: DataFrame) -> DataFrame:

@@ -55,12 +55,12 @@ PW = {"pweeks": week_sql("part_daily"), "periods": PERIODS}
 
 @query("TSF04", "select * from periods", "", PW)
 def tsf04(t):
-    return ts.model_periods(ts.weekly(t.part_daily()))
+    return ts.model_periods(t.part_daily())
 
 
 @query("TSF05")
 def tsf05(t):
-    return ts.winsorise(ts.model_periods(ts.weekly(t.part_daily())))
+    return ts.winsorise(ts.model_periods(t.part_daily()))
 
 
 DOW = """select p.product_id, cast(w.wd as int) as wd, case when p.total > 0 then coalesce(d.q, 0) / p.total::double else 1.0 / 7 end as weight
@@ -281,7 +281,7 @@ def tsf21(t):
 
 
 def _brand_periods(t):
-    return ts.winsorise(ts.model_periods(ts.weekly(t.brand_daily()))).withColumn("horizon", F.lit(8))
+    return ts.winsorise(ts.model_periods(t.brand_daily())).withColumn("horizon", F.lit(8))
 
 
 @query("TSF22")
