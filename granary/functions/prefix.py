@@ -10,6 +10,7 @@ running value inside a slice is shifted by the subtotals of the slices before it
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Write a table into the checkpoint folder and read it back.
+
+    Cuts the lineage like a checkpoint, but keeps columns, compression and sizes, so
+    later steps prune columns and see how large the table is.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def running_totals(
     df: DataFrame,
     order: list[Column],
@@ -45,12 +57,9 @@ def running_totals(
     row) and ``name_total``; ``position`` is the 1-based rank and
     ``position_total`` the row count.  ``order`` must be a total order.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     key_cols = [F.col(k) for k in keys]
-    laid_out = (
-        df.repartitionByRange(*key_cols, *order)
-        .withColumn(_SLICE, F.spark_partition_id())
-        .checkpoint()
+    laid_out = materialise(
+        df.repartitionByRange(*key_cols, *order).withColumn(_SLICE, F.spark_partition_id())
     )
     subtotals = laid_out.groupBy(*keys, _SLICE).agg(
         F.count(F.lit(1)).alias("_n"),

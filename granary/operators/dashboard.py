@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.functions.mathx import or_default, truncate
+from granary.functions.mathx import truncate
 from granary.operators.demand import daily_rate, since, transaction_stats
 from granary.operators.listing import days_of_inventory, with_demand
 from granary.operators.policy import Bands, compact_policy, lead_time, stock_band

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.prefix import ensure_checkpoint_dir
+from granary.functions.prefix import materialise
 from granary.operators import series as ts
 
 KEY = "product_id"
@@ -313,8 +313,7 @@ def forecast_products(daily: DataFrame, horizon: int = 30, trend_threshold: floa
         "choice": model_choice(F.col("segment"), F.col("n_periods")),
         "horizon": F.greatest(F.lit(1), F.ceil(F.lit(horizon) / length).cast("int"))})
     # Five branches read this table; writing it once keeps them from repeating its lineage.
-    ensure_checkpoint_dir(daily.sparkSession)
-    periods = periods.checkpoint()
+    periods = materialise(periods)
     h = F.ceil(F.lit(horizon) / F.lit(7)).cast("int")
     pick = {c: periods.filter(F.col("choice") == c) for c in ("holt_winters", "seasonal_naive", "decomposition")}
     fitted = fit_holt_winters(pick["holt_winters"]).unionByName(
@@ -322,7 +321,7 @@ def forecast_products(daily: DataFrame, horizon: int = 30, trend_threshold: floa
     info = periods.groupBy(KEY).agg(F.max("horizon").alias("hz"), F.max("period_days").alias("period_days"))
     fitted = fitted.join(info.select(KEY, "hz"), KEY).filter(F.col("step") <= F.col("hz")).drop("hz")
     # A few rows per product, read twice by the enrichment; the fits must not run twice.
-    fitted = fitted.checkpoint()
+    fitted = materialise(fitted)
     fitted = enrich(fitted, periods.select(KEY, "date", "qty", "grain"))
     weights = ts.weekday_weights(daily)
     last = daily.groupBy(KEY).agg(F.max("date").alias("last")).join(info.select(KEY, "period_days"), KEY)
