@@ -394,6 +394,11 @@ def best_markdown(scenarios: DataFrame) -> DataFrame:
 
 # ---- what-if ---------------------------------------------------------------
 
+def cents(x: Column) -> Column:
+    """Differences of large amounts in cents; a millionth settles exact half cents."""
+    return F.round(x + 1e-6, 2)
+
+
 def price_change(df: DataFrame, changes, price_elasticity: float = -1.2, cogs: float = 0.4) -> DataFrame:
     g = explode_grid(df, [(float(c),) for c in changes], ["change_pct"])
     c = F.col("change_pct")
@@ -402,9 +407,9 @@ def price_change(df: DataFrame, changes, price_elasticity: float = -1.2, cogs: f
         "new_price": price * (1.0 + c / 100), "new_demand": dem * (1.0 + price_elasticity * c / 100)})
     r0, r1 = price * dem, F.col("new_price") * F.col("new_demand")
     g = g.withColumns({
-        "new_revenue": r1, "revenue_change": F.round(r1 - r0, 2),
+        "new_revenue": r1, "revenue_change": cents(r1 - r0),
         "revenue_change_pct": F.when(r0 > 0, (r1 - r0) / r0 * 100).otherwise(0.0),
-        "margin_change": F.round((r1 - r0) * (1 - cogs), 2),
+        "margin_change": cents((r1 - r0) * (1 - cogs)),
         "margin_change_pct": F.when(r0 > 0, (r1 / r0 - 1.0) * 100).otherwise(0.0),
     })
     rp, mc = F.col("revenue_change_pct"), F.col("margin_change")

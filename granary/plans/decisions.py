@@ -360,8 +360,8 @@ def mkd11(t):
 
 # --- what-if ------------------------------------------------------------------
 
-PRICE = """select product_id, change_pct, np as new_price, nd as new_demand, r1 as new_revenue, round(r1 - r0, 2) as revenue_change,
-   case when r0 > 0 then (r1 - r0) / r0 * 100 else 0.0 end as revenue_change_pct, round((r1 - r0) * (1 - 0.4::double), 2) as margin_change,
+PRICE = """select product_id, change_pct, np as new_price, nd as new_demand, r1 as new_revenue, round(r1 - r0 + 1e-6, 2) as revenue_change,
+   case when r0 > 0 then (r1 - r0) / r0 * 100 else 0.0 end as revenue_change_pct, round((r1 - r0) * (1 - 0.4::double) + 1e-6, 2) as margin_change,
    case when r0 > 0 then (r1 / r0 - 1.0) * 100 else 0.0 end as margin_change_pct
   from (select *, unit_price * annual_demand as r0, np * nd as r1 from (select a.*, change_pct, unit_price * (1.0 + change_pct / 100) as np,
      annual_demand * (1.0::double + -1.2::double * change_pct / 100) as nd from annual a, (values (-10.0::double), (-5.0::double), (5.0::double), (10.0::double)) g(change_pct)))"""
