@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import quality, secrets
+from granary.llm import quality, rangejoin, secrets, simhash
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -35,6 +35,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@_query("op3_embedding_range_join", """
+with recursive v as (select vec_id, embedding::double[] as e from embeddings),
+ok as (select * from v where e is not null and list_count(e) = len(e) and len(list_filter(e, lambda x: not isfinite(x))) = 0
+  and len(list_filter(e, lambda x: x <> 0)) > 0),
+nm as (select vec_id, e, sqrt(list_dot_product(e, e)) as n from ok),
+k as (select a.vec_id as a, b.vec_id as b from nm a join nm b on a.vec_id <> b.vec_id
+  and list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+reach(a, b) as (select vec_id, vec_id from v union select r.a, k.b from reach r join k on k.a = r.b),
+comp as (select a as vec_id, min(b) as component_id from reach group by a),
+cnt as (select a as vec_id, count(*) as n from k group by a)
+select vec_id, coalesce(cnt.n, 0)::bigint as n_links, component_id, vec_id = component_id as kept
+from comp left join cnt using (vec_id)""")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return rangejoin.groups(table(spark, folder, "embeddings"))
+
+
 @_query("op5_secret_scan")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     rows = secrets.found(table(spark, folder, "documents").select("doc_id", "text"))
@@ -79,3 +95,9 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 from m""")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return quality.assess(table(spark, folder, "documents"))
+
+
+@_query("op10_simhash_groups")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.groups(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
