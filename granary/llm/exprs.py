@@ -1,8 +1,8 @@
-"""Small column-expression helpers shared by the operators."""
+"""Small helpers shared by the operators."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +21,16 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, GAP), lambda w: w != "")
 
 
-def held(df: DataFrame, **columns: Column) -> DataFrame:
-    """The input row as one struct ``_in`` beside ``columns``, so that no name can clash."""
-    kept = F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("_in")
-    return df.select(kept, *[c.alias(n) for n, c in columns.items()])
+def parcels(texts: list[str], characters: int = 1_000_000) -> Iterator[list[str]]:
+    """The texts in runs of about so many characters; a longer text is a run of its own."""
+    run: list[str] = []
+    size = 0
+    for t in texts:
+        if run and size + len(t) > characters:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += len(t)
+    if run:
+        yield run
+

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import quality, rangejoin, secrets, simhash
+from granary.llm import bpe, packing, quality, rangejoin, secrets, simhash
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -101,3 +102,19 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.groups(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@_query("op4_pack_sequences")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed_digests(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query("op7_byte_bpe")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    ids = docs.select("doc_id", bpe.encode(F.col("text"), path, pattern).alias("ids"))
+    return ids.withColumn("raw", bpe.decode(F.col("ids"), path, pattern)).select(
+        "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("raw", 256).alias("decoded_sha256"),
+    )
