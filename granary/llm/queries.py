@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, packing, quality, rangejoin, secrets, simhash
+from granary.llm import bpe, packing, quality, rangejoin, secrets, simhash, warc
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -98,6 +98,20 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return quality.assess(table(spark, folder, "documents"))
 
 
+@_query("op9_warc_bundles", f"""
+with p as (select page_id, encode(coalesce(html, '')) as b from pages),
+d as (select page_id, octet_length(b)::bigint as payload_bytes, sha1(b) as payload_digest from p),
+k as (select *, max(page_id) over (partition by payload_digest) as last from d)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= {warc.SMALL} and page_id <> last then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= {warc.SMALL} and page_id <> last then last end as refers_to
+from k""")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    archive = warc.archive_folder(spark)
+    index = warc.write(table(spark, folder, "pages"), archive)
+    return warc.read(index, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @_query("op10_simhash_groups")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.groups(table(spark, folder, "documents").select("doc_id", "text"))
