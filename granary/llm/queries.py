@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, packing, quality, rangejoin, secrets, simhash, warc
+from granary.llm import bpe, packing, quality, rangejoin, secrets, simhash, toxicity, warc
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -36,6 +36,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@_query("op2_toxic_spans")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @_query("op3_embedding_range_join", """
 with recursive v as (select vec_id, embedding::double[] as e from embeddings),
 ok as (select * from v where e is not null and list_count(e) = len(e) and len(list_filter(e, lambda x: not isfinite(x))) = 0
