@@ -7,10 +7,11 @@ back, so a stage is never computed twice and a lost executor costs one stage at
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from granary.functions.prefix import materialise
-from granary.llm import quality, secrets
+from granary.llm import packing, quality, secrets, simhash, toxicity
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,14 +19,32 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.clean(docs)
 
 
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxic documents go; learned from the labels of the documents that are left."""
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with near fingerprints (four-word shingles, four bits) one stays."""
+    return simhash.deduplicate(docs, budget=4, size=4)
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked."""
     return secrets.mask(docs)
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 4,096 tokens."""
+    return packing.packed_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("toxicity", toxic_documents),
+    ("simhash", near_duplicates),
     ("secret_scan", secret_scan),
+    ("packing", pack),
 ]
 
 #: The toxicity model and the tokenizer cannot be written in SQL; tests compare with plain loops.

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, packing, quality, rangejoin, secrets, simhash, toxicity, warc
+from granary.llm import bpe, packing, quality, rangejoin, secrets, simhash, toxicity, warc, wrapper
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -103,6 +103,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return quality.assess(table(spark, folder, "documents"))
 
 
+@_query("op8_main_text")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return wrapper.extract(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @_query("op9_warc_bundles", f"""
 with p as (select page_id, encode(coalesce(html, '')) as b from pages),
 d as (select page_id, octet_length(b)::bigint as payload_bytes, sha1(b) as payload_digest from p),

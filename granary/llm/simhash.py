@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.prefix import materialise
@@ -63,14 +63,12 @@ def fingerprint(text: str, size: int = 4) -> int:
     return int(set_.view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
-    """Table (doc_id, fp) with one row per input row."""
-
+def fingerprint_of(text: Column, size: int = 4) -> Column:
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, size) for t in texts.fillna("")], dtype="int64")
 
-    return docs.select(docs[id_col].alias("doc_id"), fp(docs[text_col].cast("string")).alias("fp"))
+    return fp(text.cast("string"))
 
 
 def widths(budget: int) -> list[int]:
@@ -242,17 +240,41 @@ def links(leaves: DataFrame, budget: int) -> DataFrame:
     return found.select(back.alias("x")).select("x.u", "x.v").distinct()
 
 
+def rooted(prints: DataFrame, budget: int) -> DataFrame:
+    """Table (fp, root) of the distinct fingerprints; ``root`` is the same within a group."""
+    leaves = materialise(prints.select("fp").distinct())
+    roots = components(links(leaves, budget), "u", "v")
+    return materialise(
+        leaves.join(roots, leaves["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    )
+
+
 def groups(
     docs: DataFrame, budget: int = 4, size: int = 4, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Table (doc_id, fp, component_id) with one row per input row."""
-    prints = materialise(fingerprints(docs, id_col, text_col, size))
-    leaves = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(leaves.select("fp"), budget), "u", "v")
-    rooted = materialise(
-        leaves.join(roots, leaves["fp"] == roots["node"], "left")
-        .select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    prints = materialise(docs.select(docs[id_col].alias("doc_id"), fingerprint_of(docs[text_col], size).alias("fp")))
+    roots = rooted(prints, budget)
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    by_print = roots.join(least, "fp")
+    named = by_print.groupBy("root").agg(F.min("least").alias("component_id"))
+    named_print = by_print.select("fp", "root").join(named, "root").select("fp", "component_id")
+    return prints.join(named_print, "fp").select("doc_id", "fp", "component_id")
+
+
+def deduplicate(
+    docs: DataFrame, budget: int = 4, size: int = 4, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row of each group: that with the least id (null comes last; of repeated rows one)."""
+    numbered = materialise(
+        docs.select(
+            F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_in"), docs[id_col].alias("_id"),
+            fingerprint_of(docs[text_col], size).alias("fp"),
+        ).withColumn("_row", F.monotonically_increasing_id())
+    )
+    roots = rooted(numbered, budget)
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("_row")))
+    kept = (
+        numbered.select("fp", "_id", "_row").join(roots, "fp").groupBy("root").agg(first.alias("first")).select("first._row")
     )
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    return numbered.join(kept, "_row", "left_semi").select("_in.*")

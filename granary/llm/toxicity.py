@@ -278,3 +278,8 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.col("_in.doc_id").alias("doc_id"), F.coalesce(held_out(F.col("_in.doc_id")), F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= FLAG).cast("int").alias("predicted"), "spans",
     )
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, flag: float = FLAG) -> DataFrame:
+    """The documents whose score is below ``flag``; columns as in the input."""
+    return judged(docs, learn(docs, labels)).filter(F.col("score") < flag).select("_in.*")
