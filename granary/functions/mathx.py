@@ -36,6 +36,40 @@ def z_value(service_level: float) -> float:
     return round(NormalDist().inv_cdf(service_level), 12)
 
 
+def ratio(a, b, default: float | None = None) -> Column:
+    """``a / b``; where b is zero or either is null, ``default``."""
+    value = F.try_divide(a if isinstance(a, Column) else F.lit(a), b if isinstance(b, Column) else F.lit(b))
+    return value if default is None else F.coalesce(value, F.lit(default))
+
+
+# Two-sided 5 % points of Student's t for 5 to 28 degrees of freedom.
+T_CRITICAL = (2.570582, 2.446912, 2.364624, 2.306004, 2.262157, 2.228139, 2.200985, 2.178813,
+              2.160369, 2.144787, 2.131450, 2.119905, 2.109816, 2.100922, 2.093024, 2.085963,
+              2.079614, 2.073873, 2.068658, 2.063899, 2.059539, 2.055529, 2.051831, 2.048407)
+
+
+def t_critical(n: Column) -> Column:
+    """Two-sided 5 % point of Student's t for a correlation of n >= 7 rows.
+
+    Tabled up to 30 rows; from there the Cornish-Fisher series in 1 / (n - 2), which is exact to
+    five places.
+    """
+    z = 1.959963985
+    v = (n - 2).cast("double")
+    far = (
+        F.lit(z) + ratio(z**3 + z, 4 * v) + ratio(5 * z**5 + 16 * z**3 + 3 * z, 96 * v * v)
+        + ratio(3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z, 384 * v * v * v)
+    )
+    table = F.array(*[F.lit(t) for t in T_CRITICAL])
+    return F.coalesce(F.when(n > 6, F.try_element_at(table, (n - 6).cast("int"))), far)
+
+
+def t_passes(r2: Column, n: Column) -> Column:
+    """Whether a correlation with square r2 over n rows differs from zero (two-sided, 5 %)."""
+    crit = t_critical(n)
+    return (r2 >= 1.0) | (F.coalesce(ratio(r2 * (n - 2), 1.0 - r2), F.lit(0.0)) > crit * crit)
+
+
 def _horner(x: Column, coefs) -> Column:
     acc = F.lit(coefs[0])
     for c in coefs[1:]:

@@ -19,7 +19,10 @@ _SLICE = "_slice"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared folder; make a private one only where none is named."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only a local master may do without the setting; it gets a private temporary folder.
+    """
     current = spark.sparkContext.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -28,18 +31,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return configured
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="granary-ckpt-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def work_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder in the shared one, removed when the application ends."""
+    path = f"{ensure_checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a table into the checkpoint folder and read it back.
 
     Cuts the lineage like a checkpoint, but keeps columns, compression and sizes, so
     later steps prune columns and see how large the table is.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = work_folder(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions.mathx import ratio
 from granary.functions.prefix import running_totals
 
 
@@ -15,7 +16,7 @@ def abc_by_value(df: DataFrame, value: str, key: str = "product_id", a: float =
     the order in which slices are summed.
     """
     run = running_totals(df, [F.col(value).desc(), F.col(key)], {"_cum": value}, position="value_rank")
-    share = F.col("_cum").cast("double") / F.col("_cum_total").cast("double") * 100
+    share = ratio(F.col("_cum").cast("double"), F.col("_cum_total").cast("double"), 1.0) * 100
     run = run.withColumns({"cumulative_pct": share, "total_value": F.col("_cum_total").cast("double")})
     return run.withColumn(
         "abc_class", F.when(F.col("cumulative_pct") <= a, "A").when(F.col("cumulative_pct") <= b, "B").otherwise("C")
@@ -42,8 +43,8 @@ def profitability(df: DataFrame) -> DataFrame:
     margin = F.col("annual_revenue") - u * F.col("unit_cost")
     df = df.withColumns({
         "annual_margin": margin, "inventory_value": stock * F.col("unit_cost"),
-        "days_of_inventory": stock / (u / 365)})
-    return df.withColumn("margin_pct", F.col("annual_margin") / F.col("annual_revenue") * 100)
+        "days_of_inventory": ratio(stock, u / 365)})
+    return df.withColumn("margin_pct", ratio(F.col("annual_margin"), F.col("annual_revenue")) * 100)
 
 
 def seven_way(abc: Column, margin: Column, days: Column) -> Column:
@@ -190,7 +191,7 @@ def promotion_lift(labelled: DataFrame, cost: float = 500.0, margin: float = 10.
     pre, dur, post = F.col("pre"), F.col("during"), F.col("post")
     g = g.withColumns({
         "lift_pct": F.when(pre > 0, (dur - pre) / pre * 100).otherwise(0.0), "uplift": (dur - pre) * F.col("n")})
-    roi = (F.col("uplift") * margin - cost) / cost * 100
+    roi = ratio(F.col("uplift") * margin - cost, cost) * 100
     return g.withColumns({
         "carryover_pct": F.when(pre > 0, (post - pre) / pre * 100),
         "payback_days": F.when(post > pre, F.col("uplift") / (post - pre)).when(post.isNotNull(), 0.0),

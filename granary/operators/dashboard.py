@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.functions.mathx import truncate
+from granary.functions.mathx import ratio, truncate
 from granary.operators.demand import daily_rate, since, transaction_stats
 from granary.operators.listing import days_of_inventory, with_demand
 from granary.operators.policy import Bands, compact_policy, lead_time, stock_band
@@ -167,7 +167,7 @@ def stockout_detail(products: DataFrame, sales: DataFrame, as_of: dt.date, days:
     near = products.filter(F.col("current_stock") <= bands.low_max * 4)
     df = with_demand(near, sales, as_of, days, catalogue_sigma=False).filter("demand > 0")
     df = compact_policy(df).filter("stockout_risk <> 'SAFE'")
-    cover = truncate(F.col("current_stock") / F.col("demand"))
+    cover = truncate(ratio(F.col("current_stock"), F.col("demand")))
     return df.select(
         "product_id", "sku", "category", "current_stock", "demand", cover.alias("days_until_stockout"),
         "stockout_risk", "reorder_point", "order_quantity", "cost",
@@ -185,7 +185,7 @@ def scored_forecasts(forecasts: DataFrame, daily: DataFrame) -> DataFrame:
     """Stored forecasts next to the day's total sales; days that sold nothing drop out."""
     actual = daily.select("product_id", F.col("date").alias("forecast_date"), F.col("qty").alias("actual"))
     df = forecasts.join(actual, ["product_id", "forecast_date"]).filter("actual > 0")
-    return df.withColumn("ape", F.abs(F.col("predicted_demand") - F.col("actual")) / F.col("actual"))
+    return df.withColumn("ape", ratio(F.abs(F.col("predicted_demand") - F.col("actual")), F.col("actual")))
 
 
 def product_accuracy(scored: DataFrame, min_points: int = 3) -> DataFrame:
@@ -213,7 +213,7 @@ def quick_accuracy(sales: DataFrame, as_of: dt.date, test: int = 7, train: int =
         (F.sum(F.when(old, q)).cast("double") / F.count(F.when(old, q))).alias("train"),
         (F.sum(F.when(~old, q)).cast("double") / F.count(F.when(~old, q))).alias("test"))
     per = per.filter((F.col("n_days") >= min_days) & (F.col("train") != 0) & (F.col("test") > 0))
-    err = F.least(F.abs(F.col("train") - F.col("test")) / F.col("test"), F.lit(1.0))
+    err = F.least(ratio(F.abs(F.col("train") - F.col("test")), F.col("test")), F.lit(1.0))
     return per.agg(F.count(F.lit(1)).alias("products"),
                    F.coalesce(F.greatest(F.lit(0.0), 1.0 - F.avg(err)), F.lit(0.0)).alias("accuracy"))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.mathx import norm_cdf, or_default, truncate, z_value
+from granary.functions.mathx import norm_cdf, or_default, ratio, t_passes, truncate, z_value
 from granary.operators.policy import HOLDING_RATE, ORDER_COST, lead_time
 
 
@@ -46,7 +46,7 @@ def order_decision(df: DataFrame, service_level: float = 0.95, stockout_share: f
     short = F.greatest(F.lit(0.0), F.col("reorder_point") - stock)
     df = df.withColumn("_qty", F.when(short < F.col("_lot") * 0.5, 0.0).otherwise(F.greatest(F.col("_lot"), short)))
     q = F.col("_qty")
-    z_now = (stock - F.col("reorder_point")) / (sd * F.sqrt(lead))
+    z_now = ratio(stock - F.col("reorder_point"), sd * F.sqrt(lead))
     chance = F.when((q > 0) | (sd <= 0), 0.0).otherwise(1.0 - norm_cdf(z_now))
     df = df.withColumns({
         "stockout_probability": chance,
@@ -147,7 +147,7 @@ def profile_plan(df: DataFrame, lead_variance: float = 0.0) -> DataFrame:
     ss, eoq = F.col("safety_stock"), F.col("eoq")
     df = df.withColumns({
         "reorder_point": F.col("daily") * lead + ss, "avg_inventory": ss + eoq / 2,
-        "annual_cost": D / eoq * ORDER_COST + (ss + eoq / 2) * hold,
+        "annual_cost": ratio(D, eoq, 0.0) * ORDER_COST + (ss + eoq / 2) * hold,
         "lost_margin": D * (1.0 - F.col("service_level")) * 0.01 * F.col("unit_margin"),
     })
     rop, stock = F.col("reorder_point"), F.col("current_stock")
@@ -234,16 +234,11 @@ def portfolio_impact(rows: DataFrame, annual_revenue: Column) -> DataFrame:
         F.sum("wc_required").alias("wc_required"), F.sum("carrying_cost").alias("carrying_cost"))
     net = F.col("margin_saved") - F.col("wc_required") - F.col("carrying_cost")
     return out.withColumn("annual_revenue", annual_revenue).withColumn("net_benefit", net).withColumn(
-        "benefit_pct", F.col("net_benefit") / F.col("annual_revenue") * 100)
+        "benefit_pct", ratio(F.col("net_benefit"), F.col("annual_revenue"), 0.0) * 100)
 
 
 # ---- markdown --------------------------------------------------------------
 
-# Two-sided 5 % points of Student's t for 5 to 28 degrees of freedom.
-T_CRITICAL = (2.570582, 2.446912, 2.364624, 2.306004, 2.262157, 2.228139, 2.200985, 2.178813,
-              2.160369, 2.144787, 2.131450, 2.119905, 2.109816, 2.100922, 2.093024, 2.085963,
-              2.079614, 2.073873, 2.068658, 2.063899, 2.059539, 2.055529, 2.051831, 2.048407)
-
 # Price elasticity per category; anything else uses the last one.
 ELASTICITY = {
     "Electronics": -1.8, "Pet Supplies": -1.2, "Office Supplies": -1.4, "Toys & Games": -1.6,
@@ -265,11 +260,9 @@ def demand_trend(last: DataFrame, min_rows: int = 7) -> DataFrame:
     cov = (n * F.col("sxy") - F.col("sx") * F.col("sy")).cast("double")
     vx = (n * F.col("sxx") - F.col("sx") * F.col("sx")).cast("double")
     vy = (n * F.col("syy") - F.col("sy") * F.col("sy")).cast("double")
-    g = g.withColumns({"slope": cov / vx, "r2": F.when(vy > 0, cov * cov / (vx * vy)).otherwise(0.0)})
-    table = F.array(*[F.lit(t) for t in T_CRITICAL])
-    crit = F.try_element_at(table, (n - 6).cast("int"))
+    g = g.withColumns({"slope": ratio(cov, vx, 0.0), "r2": ratio(cov * cov, vx * vy, 0.0)})
     r2 = F.col("r2")
-    strong = (r2 >= 1.0) | (r2 * (n - 2) / (1.0 - r2) > crit * crit)
+    strong = t_passes(r2, n)
     s = F.col("slope")
     trend = (
         F.when(n < min_rows, "UNKNOWN").when(strong & (s > 0.1), "RISING")
@@ -426,7 +419,7 @@ def demand_shift(df: DataFrame, shifts) -> DataFrame:
         "new_demand": F.col("annual_demand") * f, "new_daily": F.col("daily") * f,
         "new_rop": F.col("reorder_point") * f,
         "new_safety_stock": F.col("safety_stock") * (1.0 + F.abs("shift_pct") / 100)})
-    g = g.withColumn("new_eoq", F.sqrt(2.0 * F.col("new_demand") * ORDER_COST / (cost * HOLDING_RATE)))
+    g = g.withColumn("new_eoq", F.sqrt(ratio(2.0 * F.col("new_demand") * ORDER_COST, cost * HOLDING_RATE, 0.0)))
     g = g.withColumn("new_avg_inventory", F.col("new_eoq") / 2 + F.col("new_safety_stock"))
     g = g.withColumn("inventory_change",
                      F.col("new_avg_inventory") - (F.col("eoq") / 2 + F.col("safety_stock")))

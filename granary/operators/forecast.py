@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions.mathx import ratio, t_passes
 from granary.functions.prefix import materialise
 from granary.operators import series as ts
 
@@ -522,10 +523,10 @@ def accuracy_metrics(scored: DataFrame) -> DataFrame:
 def feature_selection(series: DataFrame, min_corr: float = 0.1) -> DataFrame:
     """Calendar features whose rank correlation with demand is significant, best four.
 
-    Ranks are averages over ties; the test is t² = r²(n−2)/(1−r²) against 1.96² for long
-    series and the exact table for short ones.
+    Ranks are averages over ties; the test is t² = r²(n−2)/(1−r²) against Student's t.
     """
-    from granary.operators.decision import T_CRITICAL
+    def correlation(a: str, b: str) -> Column:
+        return ratio(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b)))  # null for a constant
 
     feats = ["day_of_week", "day_of_month", "month", "quarter", "is_weekend", "week_of_year"]
     s = ts.calendar_features(ts.numbered(series))
@@ -537,11 +538,10 @@ def feature_selection(series: DataFrame, min_corr: float = 0.1) -> DataFrame:
 
     s = s.withColumn("_rq", rank("qty"))
     s = s.withColumns({f"_r_{f}": rank(f) for f in feats})
-    g = s.groupBy(KEY).agg(F.max("n").alias("n"), *[F.corr(f"_r_{f}", "_rq").alias(f) for f in feats])
+    g = s.groupBy(KEY).agg(F.max("n").alias("n"), *[correlation(f"_r_{f}", "_rq").alias(f) for f in feats])
     long = g.select(KEY, "n", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("r")) for f in feats])).alias("x")).select(KEY, "n", "x.*")
     n, r2 = F.col("n"), F.col("r") * F.col("r")
-    crit = F.coalesce(F.try_element_at(F.array(*[F.lit(t) for t in T_CRITICAL]), (n - 6).cast("int")), F.lit(1.96))
-    strong = (F.abs("r") >= min_corr) & ((r2 >= 1) | (r2 * (n - 2) / (1 - r2) > crit * crit)) & (n >= 10)
+    strong = (F.abs("r") >= min_corr) & t_passes(r2, n) & (n >= 10)
     kept = long.filter(strong)
     o = Window.partitionBy(KEY).orderBy(F.abs("r").desc(), "feature")
     kept = kept.withColumns({"position": F.row_number().over(o), "found": F.count(F.lit(1)).over(w)}).filter("found >= 2 and position <= 4")

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.mathx import half_up, or_default, truncate
+from granary.functions.mathx import half_up, or_default, ratio, truncate
 from granary.operators.demand import daily_rate, daily_stats, daily_totals, row_average, since
 from granary.operators.policy import compact_policy, lead_time
 from granary.operators.series_terms import slope
@@ -48,7 +48,7 @@ def banded_risk(reorder: DataFrame, latest_forecast: DataFrame, horizon: int = 7
     """Stockout risk by days of cover, raised when the forecast runs above demand."""
     df = reorder.join(latest_forecast, "product_id", "left")
     d = F.col("demand")
-    days = F.col("current_stock") / d
+    days = ratio(F.col("current_stock"), d)
     risk = (
         F.when(days <= horizon, F.least(F.lit(100.0), 100.0 - days / horizon * 80))
         .when(days <= horizon * 2, 30.0 + (horizon * 2 - days) / horizon * 40)
@@ -122,7 +122,7 @@ def low_stock_risk(products: DataFrame, sales: DataFrame, as_of: dt.date, days:
     d, lead, stock = F.col("demand"), F.col("lead"), F.col("current_stock")
     df = df.withColumn("threshold", dynamic_threshold(d, lead, F.col("unit_price"))).filter(
         stock < F.col("threshold"))
-    cover = truncate(stock / d)
+    cover = truncate(ratio(stock, d))
     df = df.withColumns({"days_until_stockout": cover, "buffer_days": cover - lead})
     b = F.col("buffer_days")
     return df.select(
@@ -263,7 +263,7 @@ def advisor_rules(risk: DataFrame, shift: DataFrame, peaks: DataFrame) -> DataFr
     """One row per fired rule.  ``risk`` carries the integer policy and banded risk."""
     df = risk.join(shift, "product_id", "left").join(peaks, "product_id", "left")
     stock, rop, lead = F.col("current_stock"), F.col("reorder_point"), F.col("lead_time_days")
-    margin = (F.col("unit_price") - F.col("unit_cost")) / F.col("unit_price") * 100
+    margin = ratio(F.col("unit_price") - F.col("unit_cost"), F.col("unit_price")) * 100
     has = F.col("n_rows").isNotNull()
     up = (F.col("n_rows") >= 30) & (F.col("recent") > F.col("previous") * 1.2)
     down = (F.col("n_rows") >= 30) & (F.col("recent") < F.col("previous") * 0.8)
@@ -283,8 +283,8 @@ def advisor_rules(risk: DataFrame, shift: DataFrame, peaks: DataFrame) -> DataFr
         rule(has & (stock > rop * 5), "OVERSTOCK", "info", "medium", stock * F.col("unit_cost") * 0.25),
         rule(has & (F.col("rate") < 1) & (stock > 100), "SLOW_MOVING", "action", "medium",
              stock * F.col("unit_price") * 0.7),
-        rule(has & up, "DEMAND_UP", "success", "high", (F.col("recent") / F.col("previous") - 1) * 100),
-        rule(has & down, "DEMAND_DOWN", "warning", "medium", (1 - F.col("recent") / F.col("previous")) * 100),
+        rule(has & up, "DEMAND_UP", "success", "high", (ratio(F.col("recent"), F.col("previous")) - 1) * 100),
+        rule(has & down, "DEMAND_DOWN", "warning", "medium", (1 - ratio(F.col("recent"), F.col("previous"))) * 100),
         rule(has & (margin < 20), "LOW_MARGIN", "warning", "medium", margin),
         rule(has & (margin > 60), "HIGH_MARGIN", "success", "low", margin),
         rule(has & (F.col("n_rows") >= 60) & (F.col("peak_mean") > F.col("low_mean") * 1.5),

@@ -78,7 +78,7 @@ def enriched(products: DataFrame, sales: DataFrame, as_of: dt.date, days: int =
         status.alias("reorder_status"),
         F.coalesce(d, F.lit(0.0)).alias("demand_per_day"),
         "stockout_risk", "risk_percentage",
-        F.when(d.isNotNull(), truncate(stock / d)).alias("days_until_stockout"),
+        F.when(d > 0, truncate(stock / d)).alias("days_until_stockout"),
     )
 
 

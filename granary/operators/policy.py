@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.mathx import norm_cdf, norm_pdf, norm_ppf, or_default, truncate, z_value
+from granary.functions.mathx import norm_cdf, norm_pdf, norm_ppf, or_default, ratio, truncate, z_value
 
 HOLDING_RATE = 0.25
 ORDER_COST = 50.0
@@ -69,7 +69,7 @@ def compact_policy(df: DataFrame, service_level: float = 0.95) -> DataFrame:
                F.greatest(F.col("_lot"), truncate(F.col("_rop") - stock + F.col("_ss"))))
         .otherwise(F.col("_lot")),
     )
-    z_now = (stock - d * lead) / (F.col("_sd") * F.sqrt(lead))
+    z_now = ratio(stock - d * lead, F.col("_sd") * F.sqrt(lead))
     risk = F.when(stock == 0, 100.0).otherwise(F.round((1.0 - norm_cdf(z_now)) * 100, 1))
     base = base.withColumns({"_order": order, "_risk": risk})
     r = F.col("_risk")
@@ -110,9 +110,9 @@ def order_quantity_terms(df: DataFrame) -> DataFrame:
     )
     df = df.withColumn("pure_eoq", pure)
     p = F.col("pure_eoq")
-    df = df.withColumn("implied_order_days", F.when(D > 0, 365.0 / (D / p)).otherwise(30.0))
-    rhythm = D / (365.0 / F.col("order_frequency_days"))
-    gap = F.abs(rhythm - p) / p
+    df = df.withColumn("implied_order_days", F.when(D > 0, ratio(365.0, ratio(D, p), 30.0)).otherwise(30.0))
+    rhythm = ratio(D, ratio(365.0, F.col("order_frequency_days")))
+    gap = ratio(F.abs(rhythm - p), p)
     weight = F.greatest(F.lit(0.5), 1.0 - gap * 0.5)
     blended = (
         F.when((F.col("order_frequency_days") > 0) & (gap > 0.2), weight * p + (1.0 - weight) * rhythm)
@@ -120,7 +120,7 @@ def order_quantity_terms(df: DataFrame) -> DataFrame:
     )
     floor_ = F.greatest(blended, F.col("min_order_qty").cast("double"))  # null limit is ignored
     capped = F.least(floor_, F.col("max_order_qty").cast("double"))
-    cv = F.col("sd_daily") / F.col("avg_daily")
+    cv = ratio(F.col("sd_daily"), F.col("avg_daily"))
     buffer = F.when(D > 0, F.greatest(F.lit(0.10), F.least(F.lit(0.30), cv * 0.15 + 0.10))).otherwise(0.15)
     final = F.when(F.upper("product_priority") == "HIGH", capped * (1.0 + buffer)).otherwise(capped)
     return df.withColumn("eoq", F.greatest(F.lit(1.0), final))
@@ -130,7 +130,7 @@ def safety_stock_terms(df: DataFrame, service_level: float = 0.95) -> DataFrame:
     """Safety stock with a newsvendor service level and a shelf-life cap."""
     so, hold = F.col("stockout_cost_per_unit"), F.col("holding_cost")
     both = (so > 0) & (hold > 0)
-    level = F.when(both, F.greatest(F.lit(0.85), F.least(F.lit(0.99), so / (so + hold)))).otherwise(service_level)
+    level = F.when(both, F.greatest(F.lit(0.85), F.least(F.lit(0.99), ratio(so, so + hold)))).otherwise(service_level)
     df = df.withColumn("service_level", level).withColumn("z_score", norm_ppf(F.col("service_level")))
     raw = F.col("z_score") * F.col("sd_daily") * F.sqrt(F.col("lead"))
     left = F.col("shelf_life_days") - F.col("lead")
@@ -162,18 +162,18 @@ def full_policy(df: DataFrame, service_level: float = 0.95) -> DataFrame:
         "annual_savings": F.greatest(
             F.lit(0.0), F.col("reorder_point") + eoq * 0.75 - F.col("avg_inventory")) * h,
         "annual_holding": F.col("avg_inventory") * h,
-        "annual_ordering": D / eoq * ORDER_COST,
+        "annual_ordering": ratio(D, eoq, 0.0) * ORDER_COST,
         "annual_stockout": F.when(F.col("stockout_cost_per_unit") > 0,
-                                  D / eoq * short * F.col("stockout_cost_per_unit")).otherwise(0.0),
+                                  ratio(D, eoq, 0.0) * short * F.col("stockout_cost_per_unit")).otherwise(0.0),
         "turnover": F.when(F.col("avg_inventory") > 0, D / F.col("avg_inventory")).otherwise(0.0),
         "stock_weight_kg": F.col("optimal_stock") * F.col("weight_kg"),
         "stock_volume_m3": F.col("optimal_stock") * F.col("volume_m3"),
     })
-    ratio = F.col("days_since_last_order") / (365.0 / (D / eoq))
+    elapsed = ratio(F.col("days_since_last_order"), ratio(365.0, ratio(D, eoq)), 0.0)
     idle = F.col("days_since_last_sale")
     return df.withColumns({
         "total_annual_cost": F.col("annual_holding") + F.col("annual_ordering") + F.col("annual_stockout"),
-        "reorder_urgency": F.when(ratio > 1.5, "HIGH").when(ratio > 1.0, "MEDIUM").otherwise("NORMAL"),
+        "reorder_urgency": F.when(elapsed > 1.5, "HIGH").when(elapsed > 1.0, "MEDIUM").otherwise("NORMAL"),
         "dead_stock_risk": F.when(idle > 180, "CRITICAL").when(idle > 90, "HIGH")
         .when(idle > 60, "MEDIUM").otherwise("NONE"),
     })
@@ -195,7 +195,7 @@ def span_inputs(products: DataFrame, stats: DataFrame, as_of) -> DataFrame:
 
 def stockout_risk_band(stock: Column, rop: Column, demand: Column, sd: Column) -> dict[str, Column]:
     """Risk level, days of cover and stockout probability over a 7-day horizon."""
-    z = (stock - rop) / (sd * F.sqrt(F.lit(7.0)))
+    z = ratio(stock - rop, sd * F.sqrt(F.lit(7.0)))
     return {
         "risk_level": F.when(stock <= 0, "CRITICAL").when(stock < rop * 0.5, "CRITICAL")
         .when(stock < rop, "HIGH").when(stock < rop * 1.5, "MEDIUM").otherwise("LOW"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from granary.functions import mathx
 from granary.functions.mathx import z_value
 from granary.operators import decision as dec
 from granary.operators import policy as pol
@@ -177,7 +178,7 @@ TREND = f"""select product_id, n, case when n >= 7 then slope else 0.0 end as sl
    case trend when 'RISING' then 1.2 when 'FALLING' then 0.8 else 1.0 end as multiplier
  from (select *, case when n < 7 then 'UNKNOWN' when strong and slope > 0.1 then 'RISING' when strong and slope < -0.1 then 'FALLING' else 'STABLE' end as trend
  from (select *, r2 >= 1.0 or r2 * (n - 2) / (1.0 - r2) > c * c as strong
- from (select *, list_extract([{', '.join(f'{v}::double' for v in dec.T_CRITICAL)}], cast(n - 6 as int)) as c
+ from (select *, list_extract([{', '.join(f'{v}::double' for v in mathx.T_CRITICAL)}], cast(n - 6 as int)) as c
  from (select product_id, n, cast(n * sxy - sx * sy as double) / nullif(n * sxx - sx * sx, 0)::double as slope,
    case when n * syy - sy * sy > 0 then cast(n * sxy - sx * sy as double) * cast(n * sxy - sx * sy as double)
       / nullif(cast(n * sxx - sx * sx as double) * cast(n * syy - sy * sy as double), 0) else 0.0 end as r2

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.mathx import or_default
+from granary.functions.mathx import or_default, ratio
 from granary.functions.prefix import exact_quantiles
 from granary.operators.demand import population_sd, since
 from granary.sources.schema import PRODUCT, SALES, Contract, missing_columns, rename
@@ -135,7 +135,7 @@ def history_metrics(products: DataFrame, sales_days: DataFrame) -> DataFrame:
     df = df.withColumn("sd", F.when(F.col("n") > 1, F.col("sd0")).otherwise(d * 0.3))
     cost = or_default(F.col("unit_cost"), 0.0)
     df = df.withColumns({
-        "cv": F.col("sd") / d, "ss": 1.645 * F.col("sd") * F.sqrt("lead"),
+        "cv": ratio(F.col("sd"), d), "ss": 1.645 * F.col("sd") * F.sqrt("lead"),
         "cost": F.when(cost == 0, F.col("unit_price") * 0.6).otherwise(cost)})
     df = df.withColumn("rop", d * F.col("lead") + F.col("ss"))
     hold = F.col("cost") * 0.25
@@ -144,14 +144,14 @@ def history_metrics(products: DataFrame, sales_days: DataFrame) -> DataFrame:
     return df.select(
         "product_id", d.alias("average_daily_demand"), F.col("cv").alias("demand_volatility"),
         F.col("ss").alias("safety_stock"), rop.alias("reorder_point"), F.col("eoq").alias("economic_order_qty"),
-        F.greatest(F.lit(0.5), F.least(F.lit(2.0), F.col("last30") / d)).alias("seasonality_factor"),
-        ((F.col("unit_price") - F.col("cost")) / F.col("unit_price")).alias("profit_margin"),
+        F.greatest(F.lit(0.5), F.least(F.lit(2.0), ratio(F.col("last30"), d))).alias("seasonality_factor"),
+        ratio(F.col("unit_price") - F.col("cost"), F.col("unit_price")).alias("profit_margin"),
         F.when(F.col("cv") < 0.3, "X").when(F.col("cv") < 0.6, "Y").otherwise("Z").alias("xyz_class"),
-        (d * 365 / (F.col("ss") + F.col("eoq") / 2)).alias("inventory_turnover"),
-        (stock / (d * 7)).alias("weeks_of_supply"),
+        ratio(d * 365, F.col("ss") + F.col("eoq") / 2).alias("inventory_turnover"),
+        ratio(stock, d * 7).alias("weeks_of_supply"),
         F.when(stock <= 0, "out_of_stock").when(stock <= rop * 0.5, "low_stock").when(stock > rop * 3, "overstock")
         .otherwise("in_stock").alias("stock_status"),
-        F.greatest(F.lit(1), F.least(F.lit(365), F.floor(F.col("eoq") / d + 0.5).cast("int"))).alias("order_frequency_days"))
+        F.greatest(F.lit(1), F.least(F.lit(365), F.floor(ratio(F.col("eoq"), d) + 0.5).cast("int"))).alias("order_frequency_days"))
 
 
 def refresh_metrics(products: DataFrame, sales: DataFrame, as_of: dt.date, days: int = 90) -> DataFrame:
@@ -176,7 +176,7 @@ def enrich_catalogue(products: DataFrame, order_cost: float = 50.0) -> DataFrame
         "_rev": rev, "_q": limits, "_eoq": F.round(F.sqrt(2 * d * 365 * order_cost / (F.col("storage_cost_per_unit") * 365 + 0.01)))})
     v = F.col("demand_volatility")
     return df.select(
-        "product_id", ((F.col("unit_price") - F.col("unit_cost")) / F.col("unit_price")).alias("profit_margin"),
+        "product_id", ratio(F.col("unit_price") - F.col("unit_cost"), F.col("unit_price")).alias("profit_margin"),
         F.when(F.col("_rev") >= F.col("_q")[1], "A").when(F.col("_rev") >= F.col("_q")[0], "B").otherwise("C").alias("abc_class"),
         F.when(v <= 0.3, "X").when(v <= 0.5, "Y").otherwise("Z").alias("xyz_class"),
         F.col("_eoq").alias("economic_order_qty"),
