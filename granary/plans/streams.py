@@ -4,26 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from granary.functions.prefix import work_folder
 from granary.operators.demand import population_sd
 from granary.plans.inventory import ALERTS, _alerts
 from granary.plans.registry import query
 from granary.streaming import jobs
 from granary.streaming.dedupe import dedupe_log
 
+# Opening stock: customers stand for skus; users without a customer row are unknown and rejected.
+OPENING = "select c_custkey as sku, cast(greatest(0, floor(c_acctbal / 1000)) as bigint) as stock from customer where c_custkey % 7 <> 3"
 DELTA = "select user_id as sku, ts, event_id, case event_type when 'purchase' then -1 when 'signup' then 3 else 0 end as delta from events"
-LEDGER = """select sku, count(*) as events, cast(max(case when last then s end) - least(0, min(s)) as bigint) as stock from (
-   select *, sum(delta) over (partition by sku order by ts, event_id) as s, row_number() over (partition by sku order by ts desc, event_id desc) = 1 as last from deltas) group by sku"""
+LEDGER = """select sku, count(*) as events, cast(max(start) + max(case when last then s end) - least(0, max(start) + min(s)) as bigint) as stock from (
+   select d.*, o.stock as start, sum(delta) over (partition by d.sku order by ts, event_id) as s,
+     row_number() over (partition by d.sku order by ts desc, event_id desc) = 1 as last from deltas d join opening o on d.sku = o.sku) group by sku"""
+LEDGER_CTES = {"deltas": DELTA, "opening": OPENING, "ledger": LEDGER}
 
 
-@query("STR01", "select * from ledger", "", {"deltas": DELTA, "ledger": LEDGER})
+def _opening(t):
+    stock = F.greatest(F.lit(0), F.floor(F.col("c_acctbal") / 1000)).cast("long")
+    return t.raw("customer").filter("c_custkey % 7 <> 3").select(F.col("c_custkey").alias("sku"), stock.alias("stock"))
+
+
+@query("STR01", "select * from ledger", "", LEDGER_CTES)
 def str01(t):
-    return jobs.ledger_batch(jobs.event_deltas(t.raw("events")))
+    return jobs.ledger_batch(jobs.event_deltas(t.raw("events")), _opening(t))
 
 
-@query("STR01_stream", "select sku, stock from ledger", "", {"deltas": DELTA, "ledger": LEDGER})
+@query("STR01_stream", "select sku, stock from ledger", "", LEDGER_CTES)
 def str01_stream(t):
     stream = jobs.event_deltas(jobs.read_files(t.spark, t.folder, "events.parquet"))
-    return jobs.run_to_files(jobs.ledger_stream(stream)).select("sku", "stock")
+    base = work_folder(t.spark, "ledger")
+    jobs.ledger_job(stream, base, f"{base}/state", _opening(t)).awaitTermination()
+    return jobs.latest_version(t.spark, f"{base}/table").select("sku", "stock")
+
+
+@query("STR01_rejected", "select sku, count(*) as events from deltas where sku not in (select sku from opening) group by sku", "", LEDGER_CTES)
+def str01_rejected(t):
+    rejected = jobs.known_skus(jobs.event_deltas(t.raw("events")), _opening(t))[1]
+    return rejected.groupBy("sku").agg(F.count(F.lit(1)).alias("events"))
 
 
 @query("STR02", """select user_id as sku, cast(arg_max(floor("value"), {'a': ts, 'b': event_id}) as int) as stock, max(ts) as ts from events where event_type = 'view' group by user_id""")
@@ -53,26 +71,43 @@ def str04(t):
 
 @query("STR04_stream", "select * from kept", "", SENT_CTES)
 def str04_stream(t):
-    return jobs.run_to_files(jobs.dedupe_stream(_errors(jobs.read_files(t.spark, t.folder, "events.parquet"))))
+    base = work_folder(t.spark, "alerts")
+    jobs.dedupe_job(_errors(jobs.read_files(t.spark, t.folder, "events.parquet")), base, f"{base}/state").awaitTermination()
+    return jobs.latest_version(t.spark, f"{base}/table")
+
+
+ROUTED = """select product_id, type, severity, type || ':' || product_id as alert_key, unnest(list_filter([case when send_email then 'EMAIL' end, case when severity in ('CRITICAL', 'HIGH') then 'SLACK' end,
+   case when severity in ('CRITICAL', 'HIGH') then 'TEAMS' end], lambda x: x is not null)) as channel from alerts"""
+
+
+@query("STR03", ROUTED, "", {"alerts": ALERTS})
+def str03(t):
+    base = work_folder(t.spark, "runs")
+    feed = jobs.sales_stream(t.spark, t.folder)
+    jobs.evaluate_alerts(feed, lambda number: _alerts(t), f"{base}/runs", f"{base}/state").awaitTermination()
+    return jobs.latest_version(t.spark, f"{base}/runs")
 
 
-@query("STR05", """select product_id, type, severity, type || ':' || product_id as alert_key, unnest(list_filter([case when send_email then 'EMAIL' end, case when severity in ('CRITICAL', 'HIGH') then 'SLACK' end,
-   case when severity in ('CRITICAL', 'HIGH') then 'TEAMS' end], lambda x: x is not null)) as channel from alerts""", "", {"alerts": ALERTS})
+@query("STR05", ROUTED, "", {"alerts": ALERTS})
 def str05(t):
     return jobs.route(_alerts(t))
 
 
 @query("STR06", """select date as sale_date, cast(sum(quantity_sold) as bigint) as total_quantity, cast(sum(revenue) as double) as total_revenue, count(*) as transactions from sales
-  where date <= (select d from clock) - 2 group by date""", "total_revenue")
+  group by date""", "total_revenue")
 def str06(t):
-    return jobs.run_to_files(jobs.daily_stream(jobs.sales_stream(t.spark, t.folder)))
+    return jobs.daily_totals(jobs.sales_stream(t.spark, t.folder))
 
 
-@query("STR07")
+@query("STR07", """select p_brand as brand, w as days, cast(date + k as date) as until, cast(sum(quantity_sold) as bigint) as units, sum(quantity_sold)::double / w as rate
+  from sales join part on product_id = p_partkey, (select unnest([7, 30]) as w) g, (select unnest(range(1, 31))::int as k) s where k <= w group by p_brand, w, date + k""", "rate")
 def str07(t):
     brand = t.raw("part").select(F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("brand"))
+    base = work_folder(t.spark, "rates")
     feed = jobs.sales_stream(t.spark, t.folder).join(brand, "product_id")
-    return jobs.run_to_files(jobs.sliding_rate(feed, "brand"))
+    jobs.partial_sums(feed, ["brand"], f"{base}/parts", f"{base}/state").awaitTermination()
+    days = jobs.summed(t.spark, f"{base}/parts", ["brand"])
+    return jobs.sliding_rate(days, "brand", 7).unionByName(jobs.sliding_rate(days, "brand", 30))
 
 
 @query("STR08", """with b as (select product_id, cast(sum(quantity_sold) as double) / count(*) as mean, sqrt(greatest(0.0::double, cast(sum(quantity_sold * quantity_sold) as double) / count(*)

@@ -1,77 +1,128 @@
 """Stock ledger, snapshot sync, alerting and roll-ups as streams.
 
-File sources are read with a limit on files per trigger, which bounds a micro-batch
-and with it the rows any key can bring to a stateful task.  Late data: the roll-ups
-wait one day.
+A table is read as a folder of files (or a single file) in any order, with a limit on bytes per
+trigger.  Nothing is dropped for being late.  Sums are kept as partial sums per batch and added
+when they are read.  Results that depend on the order of events (ledger, alert suppression) keep
+the log, dealt by key, and replay the keys that a batch touches in event time, so a late row takes
+its place and corrects what came after it.  Every batch writes under its own number, so a retry
+replaces what it wrote before.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+import datetime as dt
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from granary.functions.prefix import ensure_checkpoint_dir, running_totals
+from granary.functions.prefix import running_totals, work_folder
+from granary.streaming.dedupe import dedupe_log
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+BYTES_PER_TRIGGER = 1 << 30
+#: Partitions of the replayed logs; a batch reads those that hold its keys.
+LOG_PARTS = 64
 
 
-def read_files(spark: SparkSession, folder: str, name: str, per_trigger: int = 1) -> DataFrame:
-    """Stream of the files called ``name`` in a folder, with the schema of the existing data."""
-    schema = spark.read.parquet(f"{folder}/{name}").schema
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger)
-            .option("pathGlobFilter", name).parquet(folder))
+def read_files(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
+    """Stream over the table ``name`` of a folder, be it a file or a folder of files."""
+    path = f"{folder}/{name}"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    path = f"{path[:-1]}[{path[-1]}]"  # as a pattern, which may stand for a single file too
+    if files_per_trigger:
+        return reader.option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    return reader.option("maxBytesPerTrigger", BYTES_PER_TRIGGER).parquet(path)
 
 
 def run_to_files(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
     """Process what is there, write Parquet next to the query's own checkpoint, read it back."""
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    base = folder or f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = folder or work_folder(spark, "stream")
     query = (stream.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out")
              .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-# ---- stock ledger ---------------------------------------------------------------
+def run_batches(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, interval: str | None = None):
+    """Start ``step(batch, number)`` over what is there, or every ``interval``."""
+    trigger = {"processingTime": interval} if interval else {"availableNow": True}
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def latest_version(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest version of a table that is written as ``version=N`` folders."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return None
+    names = [f.getPath().getName() for f in files.listStatus(root)]
+    numbers = [int(n.partition("=")[2]) for n in names if n.startswith("version=")]
+    return spark.read.parquet(f"{path}/version={max(numbers)}") if numbers else None
+
+
+# ---- replayed logs -----------------------------------------------------------------
+
+def replayed(stream: DataFrame, keys: list[str], result: Callable[[DataFrame], DataFrame], path: str, checkpoint: str,
+             interval: str | None = None, horizon: tuple[str, dt.timedelta] | None = None):
+    """Keep ``result(log)``, computed key by key, as a table of versions.
+
+    A batch is added to the log, the keys that it holds are computed again from their whole log,
+    and the other keys are copied from the version before.  ``horizon`` (time column, age) leaves
+    out log rows that are older than the newest row of the batch by more than that.
+    """
+    spark = stream.sparkSession
+    part = F.pmod(F.xxhash64(*keys), F.lit(LOG_PARTS)).alias("part")
+
+    def step(batch: DataFrame, number: int) -> None:
+        (batch.select("*", part).write.mode("overwrite").partitionBy("part").parquet(f"{path}/log/batch={number}"))
+        log = spark.read.schema(batch.select("*", part).schema).parquet(*[f"{path}/log/batch={n}" for n in range(number + 1)])
+        if horizon:
+            newest = batch.agg(F.max(horizon[0]) - F.lit(horizon[1])).first()[0]
+            log = log.filter(F.col(horizon[0]) >= F.lit(newest)) if newest is not None else log
+        touched = spark.read.parquet(f"{path}/log/batch={number}").select("part", *keys).distinct()
+        new = result(log.join(touched, ["part", *keys], "left_semi").drop("part"))
+        if number:
+            old = spark.read.parquet(f"{path}/table/version={number - 1}")
+            new = old.join(touched.select(*keys), keys, "left_anti").select(*new.columns).unionByName(new)
+        new.write.mode("overwrite").parquet(f"{path}/table/version={number}")
+
+    return run_batches(stream, step, checkpoint, interval)
 
-LEDGER = "sku long, batch_events long, stock long"
 
+# ---- stock ledger ---------------------------------------------------------------
 
-def _ledger(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Clamp at zero after every event in time order; closed form over the batch's prefix sums."""
-    parts = [c[["ts", "event_id", "delta"]] for c in chunks]
-    rows = pd.concat(parts).sort_values(["ts", "event_id"])
-    stock = state.get[0] if state.exists else 0
-    walk = stock + np.cumsum(rows["delta"].to_numpy(dtype=np.int64))
-    stock = int(walk[-1] - min(0, int(walk.min())))
-    state.update((stock,))
-    yield pd.DataFrame({"sku": [key[0]], "batch_events": [len(rows)], "stock": [stock]})
+def ledger_job(events: DataFrame, path: str, checkpoint: str, opening: DataFrame | None = None, interval: str | None = None):
+    """Stock per sku after every batch (columns sku, ts, event_id, delta); see ``ledger_batch``."""
+    return replayed(events, ["sku"], lambda log: ledger_batch(log, opening), path, checkpoint, interval)
 
 
-def ledger_stream(events: DataFrame) -> DataFrame:
-    """Running stock per sku; one row per sku and micro-batch (columns sku, ts, event_id, delta)."""
-    return events.groupBy("sku").applyInPandasWithState(
-        _ledger, LEDGER, "stock long", "append", GroupStateTimeout.NoTimeout)
+def known_skus(events: DataFrame, opening: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events of known skus, rejected events)."""
+    skus = opening.select("sku").distinct()
+    return events.join(skus, "sku", "left_semi"), events.join(skus, "sku", "left_anti")
 
 
-def ledger_batch(events: DataFrame) -> DataFrame:
-    """Final stock per sku of the whole log: the last prefix sum minus the lowest one below zero.
+def ledger_batch(events: DataFrame, opening: DataFrame | None = None) -> DataFrame:
+    """Final stock per sku of a log: every event is added in time order and cut off at zero.
 
-    The prefix sums are taken over slices of the ordered log, so one sku may own any
-    share of the events.
+    In closed form the stock is s + S - min(0, s + m), with s the opening stock, S the total and m
+    the lowest prefix sum.  The prefix sums are taken over slices of the ordered log, so one sku may
+    own any share of the events.  With ``opening`` (sku, stock), events of unknown skus are rejected.
     """
+    if opening is not None:
+        events = known_skus(events, opening)[0]
     run = running_totals(events.select("sku", "ts", "event_id", "delta"), [F.col("ts"), F.col("event_id")],
                          {"s": "delta"}, keys=("sku",))
-    return run.groupBy("sku").agg(
-        F.count(F.lit(1)).alias("events"),
-        (F.max("s_total") - F.least(F.lit(0), F.min("s"))).alias("stock"))
+    moved = run.groupBy("sku").agg(F.count(F.lit(1)).alias("events"), F.max("s_total").alias("total"), F.min("s").alias("low"))
+    if opening is None:
+        start = F.lit(0)
+    else:
+        moved = moved.join(opening.groupBy("sku").agg(F.max("stock").alias("start")), "sku")
+        start = F.col("start")
+    return moved.select("sku", "events", (start + F.col("total") - F.least(F.lit(0), start + F.col("low"))).cast("long").alias("stock"))
 
 
 def event_deltas(events: DataFrame) -> DataFrame:
@@ -108,58 +159,13 @@ def sync_snapshots(counts: DataFrame, path: str, checkpoint: str):
             .trigger(availableNow=True).start())
 
 
-def ledger_job(events: DataFrame, path: str, checkpoint: str):
-    """The ledger for feeds with hot skus: each batch is summed up by sliced prefix sums.
-
-    A batch moves a stock from s to s + S - min(0, s + m), with S its total and m its
-    lowest prefix.  The table is written as one version per batch, so a retry repeats
-    its own version from the one before.
-    """
-    spark = events.sparkSession
-
-    def apply(batch: DataFrame, number: int) -> None:
-        run = running_totals(batch.select("sku", "ts", "event_id", "delta"), [F.col("ts"), F.col("event_id")],
-                             {"s": "delta"}, keys=("sku",))
-        new = run.groupBy("sku").agg(F.max("s_total").alias("total"), F.min("s").alias("low"))
-        if number > 0:
-            new = spark.read.parquet(f"{path}/version={number - 1}").join(new, "sku", "full_outer")
-        else:
-            new = new.withColumn("stock", F.lit(0).cast("long"))
-        s = F.coalesce("stock", F.lit(0))
-        total, low = F.coalesce("total", F.lit(0)), F.coalesce("low", F.lit(0))
-        new.select("sku", (s + total - F.least(F.lit(0), s + low)).alias("stock")).write.mode("overwrite").parquet(
-            f"{path}/version={number}")
-
-    return (events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
-
-
 # ---- alerting ---------------------------------------------------------------------
 
-def _dedupe(window_s: int):
-    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(chunks)).sort_values(["ts", "id"])
-        at = rows["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
-        last = state.get[0] if state.exists else None
-        i = 0 if last is None else int(np.searchsorted(at, last + window_s * 1_000_000, side="right"))
-        keep = []
-        while i < len(at):  # jumps from sent to sent, not from row to row
-            keep.append(i)
-            last = int(at[i])
-            i = int(np.searchsorted(at, last + window_s * 1_000_000, side="right"))
-        if last is not None:
-            state.update((last,))
-        out = rows.iloc[keep]
-        yield pd.DataFrame({"alert_key": key[0], "channel": key[1], "id": out["id"], "ts": out["ts"]})
-
-    return step
-
-
-def dedupe_stream(alerts: DataFrame, minutes: int = 120) -> DataFrame:
-    """Suppress an alert while the same key and channel was sent in the last two hours."""
-    return alerts.groupBy("alert_key", "channel").applyInPandasWithState(
-        _dedupe(minutes * 60), "alert_key string, channel string, id long, ts timestamp", "last long", "append",
-        GroupStateTimeout.NoTimeout)
+def dedupe_job(alerts: DataFrame, path: str, checkpoint: str, minutes: int = 120, interval: str | None = None,
+               horizon: dt.timedelta | None = None):
+    """Alerts that go out (columns alert_key, channel, id, ts), corrected when an earlier one arrives late."""
+    return replayed(alerts, ["alert_key", "channel"], lambda log: dedupe_log(log, minutes), path, checkpoint, interval,
+                    ("ts", horizon) if horizon else None)
 
 
 def route(alerts: DataFrame) -> DataFrame:
@@ -172,31 +178,46 @@ def route(alerts: DataFrame) -> DataFrame:
 
 
 def evaluate_alerts(sales_stream: DataFrame, evaluate, path: str, checkpoint: str, interval: str | None = None):
-    """Run ``evaluate(batch_number) -> alerts`` whenever new sales arrive; routed rows are kept per batch."""
+    """Run ``evaluate(batch_number) -> alerts`` whenever new sales arrive; routed rows are kept per run."""
     def run(batch: DataFrame, number: int) -> None:
-        route(evaluate(number)).write.mode("overwrite").parquet(f"{path}/run={number}")
+        route(evaluate(number)).write.mode("overwrite").parquet(f"{path}/version={number}")
 
-    writer = sales_stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-    trigger = {"processingTime": interval} if interval else {"availableNow": True}
-    return writer.trigger(**trigger).start()
+    return run_batches(sales_stream, run, checkpoint, interval)
 
 
 # ---- roll-ups ----------------------------------------------------------------------
 
-def daily_stream(sales: DataFrame) -> DataFrame:
+def partial_sums(sales: DataFrame, keys: list[str], path: str, checkpoint: str, interval: str | None = None):
+    """Sums per day and ``keys`` of every batch, written under its number; a late row just adds to its day."""
+    def step(batch: DataFrame, number: int) -> None:
+        batch.groupBy(F.to_date("ts").alias("sale_date"), *keys).agg(
+            F.sum("quantity_sold").alias("quantity"), F.sum("revenue").alias("revenue"), F.count(F.lit(1)).alias("rows"),
+        ).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return run_batches(sales, step, checkpoint, interval)
+
+
+def summed(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Totals per day and ``keys`` of all batches so far."""
+    parts = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    return parts.groupBy("sale_date", *keys).agg(
+        F.sum("quantity").alias("quantity"), F.sum("revenue").alias("revenue"), F.sum("rows").alias("rows"))
+
+
+def daily_totals(sales: DataFrame, folder: str | None = None) -> DataFrame:
     """Daily totals of an append feed (columns ts, quantity_sold, revenue)."""
-    return sales.withWatermark("ts", "1 day").groupBy(F.window("ts", "1 day").alias("w")).agg(
-        F.sum("quantity_sold").alias("total_quantity"), F.sum("revenue").alias("r"),
-        F.count(F.lit(1)).alias("transactions")).select(
-        F.col("w.start").cast("date").alias("sale_date"), "total_quantity", F.col("r").cast("double").alias("total_revenue"),
-        "transactions")
-
-
-def sliding_rate(sales: DataFrame, key: str, days: int = 30) -> DataFrame:
-    """Mean daily units over a sliding window; days are summed first, so each row enters once."""
-    day = sales.withWatermark("ts", "1 day").groupBy(F.window("ts", "1 day").alias("w"), key).agg(F.sum("quantity_sold").alias("q"))
-    return day.groupBy(F.window(F.window_time("w"), f"{days} days", "1 day").alias("s"), key).agg(F.sum("q").alias("units")).select(
-        key, F.col("s.end").cast("date").alias("until"), "units", (F.col("units").cast("double") / days).alias("rate"))
+    base = folder or work_folder(sales.sparkSession, "daily")
+    partial_sums(sales, [], f"{base}/parts", f"{base}/state").awaitTermination()
+    return summed(sales.sparkSession, f"{base}/parts", []).select(
+        "sale_date", F.col("quantity").alias("total_quantity"), F.col("revenue").cast("double").alias("total_revenue"),
+        F.col("rows").alias("transactions"))
+
+
+def sliding_rate(days_sold: DataFrame, key: str, days: int = 30) -> DataFrame:
+    """Mean daily units of the ``days`` before each day; the input is summed per day, so each row enters once."""
+    day = days_sold.withColumn("until", F.explode(F.sequence(F.date_add("sale_date", 1), F.date_add("sale_date", days))))
+    return day.groupBy(key, "until").agg(F.sum("quantity").alias("units")).select(
+        key, F.lit(days).alias("days"), "until", "units", (F.col("units").cast("double") / days).alias("rate"))
 
 
 def flag_anomalies(sales: DataFrame, baseline: DataFrame, sensitivity: float = 2.0) -> DataFrame:
