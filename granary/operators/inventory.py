@@ -117,7 +117,7 @@ def with_row_demand(products: DataFrame, sales: DataFrame, as_of: dt.date, days:
 
 
 def low_stock_risk(products: DataFrame, sales: DataFrame, as_of: dt.date, days: int = 7,
-                   top: int = 50) -> DataFrame:
+                   top: int | None = None) -> DataFrame:
     df = with_row_demand(products.filter("current_stock > 0"), sales, as_of, days)
     d, lead, stock = F.col("demand"), F.col("lead"), F.col("current_stock")
     df = df.withColumn("threshold", dynamic_threshold(d, lead, F.col("unit_price"))).filter(
@@ -131,22 +131,26 @@ def low_stock_risk(products: DataFrame, sales: DataFrame, as_of: dt.date, days:
         F.when(b <= 10, "LOW_WARNING").when(b <= 30, "MEDIUM").otherwise("HIGH").alias("urgency"),
         (d * (F.col("unit_price") - F.col("unit_cost"))).alias("potential_daily_loss"),
         (b <= 5).alias("send_alert"),
-    ).orderBy("buffer_days", "product_id").limit(top)
+    ).transform(first_rows, top, "buffer_days", "product_id")
 
 
 # ---- live alerts ----------------------------------------------------------
 
 SEVERITY_ORDER = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
+ALERT_TYPES = ("STOCKOUT", "LOW_STOCK", "MEDIUM_STOCK", "HIGH_STOCK")
+# Rows of the alert report by type, and in all.
+REPORT_CAPS = (30, 50, 30, 20)
+REPORT_ROWS = 100
 
 
-def live_alerts(products: DataFrame, sales: DataFrame, as_of: dt.date, recent_days: int = 7,
-                loss_days: int = 30, caps: tuple[int, int, int, int] = (30, 50, 30, 20),
-                limit: int = 100) -> DataFrame:
-    """Alerts of every stock tier.  One scan gives both demand windows.
+def first_rows(df: DataFrame, top: int | None, *order) -> DataFrame:
+    """All rows, or the first ``top`` in order."""
+    return df if top is None else df.orderBy(*order).limit(top)
 
-    The caps per type are the report's size; they are applied as a grouped top-k,
-    which Spark trims inside each task before the shuffle.
-    """
+
+def live_alerts(products: DataFrame, sales: DataFrame, as_of: dt.date, recent_days: int = 7,
+                loss_days: int = 30) -> DataFrame:
+    """All alerts of every stock tier.  One scan gives both demand windows."""
     windows = since(sales, as_of, max(recent_days, loss_days))
     edge = F.lit(as_of - dt.timedelta(days=recent_days))
     edge_loss = F.lit(as_of - dt.timedelta(days=loss_days))
@@ -173,13 +177,6 @@ def live_alerts(products: DataFrame, sales: DataFrame, as_of: dt.date, recent_da
         .when(b <= 30, "MEDIUM_STOCK").otherwise("HIGH_STOCK")
     )
     df = df.withColumn("type", kind)
-    per_kind = {k: F.lit(v) for k, v in zip(("STOCKOUT", "LOW_STOCK", "MEDIUM_STOCK", "HIGH_STOCK"), caps)}
-    order = F.when(F.col("type") == "STOCKOUT", 0).when(F.col("type") == "HIGH_STOCK", -b).otherwise(b)
-    top = max(caps)
-    w = Window.partitionBy("type").orderBy(order, "product_id")
-    df = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= top)
-    cap = F.create_map(*[x for k, v in per_kind.items() for x in (F.lit(k), v)])[F.col("type")]
-    df = df.filter(F.col("_rn") <= cap)
     urgent = F.col("type").isin("STOCKOUT", "LOW_STOCK")
     loss = d * F.col("margin")
     qty = truncate(d * lead * 1.5)
@@ -188,7 +185,6 @@ def live_alerts(products: DataFrame, sales: DataFrame, as_of: dt.date, recent_da
         "STOCKOUT", "CRITICAL", "LOW_STOCK", "HIGH", "MEDIUM_STOCK", "MEDIUM", "HIGH_STOCK", "LOW")])
     level = F.create_map(*[F.lit(x) for x in (
         "STOCKOUT", "OUT_OF_STOCK", "LOW_STOCK", "LOW", "MEDIUM_STOCK", "MEDIUM", "HIGH_STOCK", "HIGH")])
-    rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITY_ORDER]), severity[F.col("type")])
     return df.select(
         *ID, "type", severity[F.col("type")].alias("severity"), level[F.col("type")].alias("stock_level"),
         "days_until_stockout", "buffer_days",
@@ -196,8 +192,18 @@ def live_alerts(products: DataFrame, sales: DataFrame, as_of: dt.date, recent_da
         F.when(urgent, qty).alias("recommended_quantity"),
         F.when(stock == 0, half_up_signed(cost)).when(urgent, truncate(cost)).alias("estimated_cost"),
         F.when(stock == 0, True).otherwise(F.coalesce(b <= 5, F.lit(False)) & urgent).alias("send_email"),
-        rank.alias("_rank"), F.col("_rn"),
-    ).orderBy("_rank", "_rn").limit(limit).drop("_rank", "_rn")
+    )
+
+
+def alert_report(alerts: DataFrame, caps: tuple[int, int, int, int] = REPORT_CAPS, limit: int = REPORT_ROWS) -> DataFrame:
+    """The most pressing alerts, ``caps`` of each type; a grouped top-k, trimmed inside each task."""
+    kind, b = F.col("type"), F.col("buffer_days")
+    order = F.when(kind == "STOCKOUT", 0).when(kind == "HIGH_STOCK", -b).otherwise(b)
+    w = Window.partitionBy("type").orderBy(order, "product_id")
+    cap = F.create_map(*[F.lit(x) for k, v in zip(ALERT_TYPES, caps) for x in (k, v)])[kind]
+    rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITY_ORDER]), F.col("severity"))
+    df = alerts.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max(caps)).filter(F.col("_rn") <= cap)
+    return df.orderBy(rank, "_rn").limit(limit).drop("_rn")
 
 
 def half_up_signed(x: Column) -> Column:
@@ -301,9 +307,9 @@ def priority_rank(priority: Column) -> Column:
     return F.array_position(order, priority).cast("int")
 
 
-def top_advice(rules: DataFrame, limit: int = 20) -> DataFrame:
-    return rules.filter(F.col("priority").isin("critical", "high")).orderBy(
-        priority_rank(F.col("priority")), "product_id", "rule").limit(limit)
+def top_advice(rules: DataFrame, limit: int | None = None) -> DataFrame:
+    urgent = rules.filter(F.col("priority").isin("critical", "high"))
+    return first_rows(urgent, limit, priority_rank(F.col("priority")), "product_id", "rule")
 
 
 # ---- exceptions -----------------------------------------------------------
@@ -346,14 +352,13 @@ def override_candidates(decisions: DataFrame, confidence: DataFrame, special: Da
         "product_id", "decision", "order_quantity", "confidence", "r.reason", "r.severity")
 
 
-def daily_exception_status(critical: DataFrame, high_risk: DataFrame, overrides: DataFrame,
-                           shown: int = 5) -> DataFrame:
+def daily_exception_status(critical: DataFrame, high_risk: DataFrame, overrides: DataFrame) -> DataFrame:
     n_c = critical.agg(F.count(F.lit(1)).alias("critical_items"))
     n_h = high_risk.agg(F.count(F.lit(1)).alias("n")).scalar()
     n_o = overrides.agg(F.count(F.lit(1)).alias("n")).scalar()
     c = F.col("critical_items")
     return n_c.withColumns({
-        "high_risk_skus": F.least(n_h, F.lit(shown)),
+        "high_risk_skus": n_h,
         "manual_reviews": n_o,
         "total_flagged": c + n_h + n_o,
         "status": F.when(c > 3, "RED").when(c > 0, "YELLOW").otherwise("GREEN"),
@@ -439,7 +444,7 @@ def threshold_sweep(reorder: DataFrame) -> DataFrame:
     return low.unionByName(loss)
 
 
-def recommendations(products: DataFrame, stats: DataFrame, limit: int = 100, medium_max: int = 50) -> DataFrame:
+def recommendations(products: DataFrame, stats: DataFrame, limit: int | None = None, medium_max: int = 50) -> DataFrame:
     """Policy of at-risk products on the 90-day rate, most pressing first."""
     chosen = products.filter(F.col("current_stock") <= medium_max)
     df = chosen.join(stats, "product_id", "left").withColumns({
@@ -454,4 +459,4 @@ def recommendations(products: DataFrame, stats: DataFrame, limit: int = 100, med
         (F.col("reorder_point") + F.col("safety_stock")).alias("optimal_stock"),
         (F.greatest(F.lit(0.0), held - level) * F.greatest(F.col("cost") * 0.25, F.lit(0.01))).alias("savings"),
         (F.col("current_stock") < F.col("reorder_point")).alias("needs_reorder"),
-    ).orderBy(F.col("needs_reorder").desc(), "current_stock", "product_id").limit(limit)
+    ).transform(first_rows, limit, F.col("needs_reorder").desc(), "current_stock", "product_id")

@@ -102,8 +102,8 @@ def order_size() -> Column:
     return F.greatest(rop, F.when(d > 0, truncate(d * 14)).otherwise(no_demand))
 
 
-def worklist(products: DataFrame, top: int = 20, bands: Bands = Bands()) -> DataFrame:
-    """What to order first: OUT by demand, LOW by days left; at most ``top`` of each."""
+def worklist(products: DataFrame, top: int | None = None, bands: Bands = Bands()) -> DataFrame:
+    """What to order first: OUT by demand, LOW by days left; all, or ``top`` of each."""
     d, stock = F.col("average_daily_demand"), F.col("current_stock")
     left = F.when(d > 0, stock / d).otherwise(999.0)
     df = products.filter(stock <= bands.low_max).withColumns({
@@ -112,7 +112,8 @@ def worklist(products: DataFrame, top: int = 20, bands: Bands = Bands()) -> Data
     })
     w = Window.partitionBy("band").orderBy(
         F.col("_left"), d.desc_nulls_last(), F.col("product_id"))
-    return df.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= top).select(
+    ranked = df.withColumn("position", F.row_number().over(w))
+    return (ranked if top is None else ranked.filter(F.col("position") <= top)).select(
         *BASIC, "band", "position", order_size().alias("order_quantity"),
         F.coalesce(d, F.lit(0.0)).alias("demand_per_day"),
         F.when(stock > 0, truncate(F.col("_left"))).alias("days_left"),
@@ -124,10 +125,13 @@ def only_ids(df: DataFrame, ids: DataFrame, key: str = "product_id") -> DataFram
     return df.join(ids.select(key).distinct(), key, "left_semi")
 
 
-def threshold_alerts(products: DataFrame, per_type: int = 50, bands: Bands = Bands()) -> DataFrame:
+def threshold_alerts(products: DataFrame, per_type: int | None = None, bands: Bands = Bands()) -> DataFrame:
+    """Alerts of both types; with ``per_type`` the first of each by id, numbered."""
     stock = F.col("current_stock")
     df = products.filter(stock <= bands.low_max).withColumn(
         "alert_type", F.when(stock == 0, "CRITICAL").otherwise("LOW"))
+    if per_type is None:
+        return df.select(*BASIC, "alert_type")
     w = Window.partitionBy("alert_type").orderBy("product_id")
     return df.withColumn("position", F.row_number().over(w)).filter(
         F.col("position") <= per_type).select(*BASIC, "alert_type", "position")
@@ -176,19 +180,17 @@ def alert_digest(products: DataFrame, alert_type: str = "all", ids: DataFrame |
     )
 
 
-def digest_preview(products: DataFrame, shown: int = 10, bands: Bands = Bands()) -> DataFrame:
-    """Band counts plus the daily loss of the first out-of-stock products."""
+def digest_preview(products: DataFrame, bands: Bands = Bands()) -> DataFrame:
+    """Band counts plus the daily loss of all out-of-stock products."""
     stock = F.col("current_stock")
-    first = products.filter(stock == 0).orderBy("product_id").limit(shown).select(
-        (or_default(F.col("average_daily_demand"), 5.0) * (F.col("unit_price") - F.col("unit_cost"))).alias("loss"))
-    counts = products.agg(
+    loss = or_default(F.col("average_daily_demand"), 5.0) * (F.col("unit_price") - F.col("unit_cost"))
+    return products.agg(
         F.count(F.lit(1)).alias("total_products"),
         F.count_if(stock == 0).alias("out_of_stock"),
         F.count_if((stock > 0) & (stock <= bands.low_max)).alias("low_stock"),
         F.count_if((stock > bands.low_max) & (stock <= bands.medium_max)).alias("medium_stock"),
+        F.coalesce(F.sum(F.when(stock == 0, loss)), F.lit(0.0)).alias("daily_loss"),
     )
-    loss = first.agg(F.coalesce(F.sum("loss"), F.lit(0.0)).alias("daily_loss"))
-    return counts.withColumn("daily_loss", loss.scalar())
 
 
 def days_of_inventory(stock: Column, per_day: Column) -> Column:

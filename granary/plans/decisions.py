@@ -339,15 +339,14 @@ def mkd09(t):
 @query("MKD10", """select t.product_id, sku, current_stock, daily_span, monthly, current_stock / greatest(daily_span, 0.1::double) as days_on_hand,
    health, risk_level, urgency, urgency_score, days_until_markdown
   from timing t join health h on t.product_id = h.product_id
-  where current_stock > 0 and (risk_level >= 2 or current_stock / greatest(daily_span, 0.1::double) > 45)
-  order by days_until_markdown, t.product_id limit 200""", "daily_span monthly days_on_hand", TIME_CTES)
+  where current_stock > 0 and (risk_level >= 2 or current_stock / greatest(daily_span, 0.1::double) > 45)""", "daily_span monthly days_on_hand", TIME_CTES)
 def mkd10(t):
     df = _timing(t).withColumns(dec.coverage_health(F.col("current_stock"), F.col("monthly"))).withColumn(
         "days_on_hand", F.col("current_stock") / F.greatest(F.col("daily_span"), F.lit(0.1)))
     chosen = df.filter((F.col("current_stock") > 0) & ((F.col("risk_level") >= 2) | (F.col("days_on_hand") > 45)))
     return chosen.select(
         "product_id", "sku", "current_stock", "daily_span", "monthly", "days_on_hand", "health", "risk_level",
-        "urgency", "urgency_score", "days_until_markdown").orderBy("days_until_markdown", "product_id").limit(200)
+        "urgency", "urgency_score", "days_until_markdown")
 
 
 @query("MKD11", """select t.product_id, h.health, t.urgency, t.days_until_markdown, b.step, b.discount, b.markdown_price, b.units_sold,

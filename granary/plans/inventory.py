@@ -117,10 +117,10 @@ def inv05(t):
     reorder_point + safety_stock as optimal_stock,
     greatest(0.0::double, greatest(current_stock::double, (eoq / 2.0 + safety_stock) * 1.5) - (eoq / 2.0 + safety_stock))
       * greatest(cost * 0.25, 0.01) as savings, current_stock < reorder_point as needs_reorder
-  from ({policy('j')}) order by needs_reorder desc, current_stock, product_id limit 500""", "savings")
+  from ({policy('j')})""", "savings")
 def inv06(t):
     stats = transaction_stats(t.sales(t.days_before(90)), t.as_of, 90)
-    return inv.recommendations(t.products, stats, limit=500)
+    return inv.recommendations(t.products, stats)
 
 
 @query("INV07", f"""select product_id, case when current_stock <= 0 then 'CRITICAL' when current_stock < reorder_point * 0.5 then 'CRITICAL'
@@ -230,8 +230,7 @@ def inv12(t):
   cover as days_until_stockout, cover - lead as buffer_days,
   case when cover - lead <= 10 then 'LOW_WARNING' when cover - lead <= 30 then 'MEDIUM' else 'HIGH' end as urgency,
   demand * (unit_price - unit_cost) as potential_daily_loss, cover - lead <= 5 as send_alert
-  from (select *, cast(trunc(current_stock / demand) as int) as cover from thr where current_stock > 0 and current_stock < threshold)
-  order by cover - lead, product_id limit 50""", "daily_demand potential_daily_loss", {"rowd": ROWD, "thr": THRESH})
+  from (select *, cast(trunc(current_stock / demand) as int) as cover from thr where current_stock > 0 and current_stock < threshold)""", "daily_demand potential_daily_loss", {"rowd": ROWD, "thr": THRESH})
 def inv13(t):
     return inv.low_stock_risk(t.products, t.sales(t.days_before(90)), t.as_of, 90)
 
@@ -244,13 +243,14 @@ ALERTS = f"""select product_id, sku, name, category, current_stock, type,
    case when type in ('STOCKOUT', 'LOW_STOCK') then qty end as recommended_quantity,
    case when type = 'STOCKOUT' then cast(round(qty * unit_cost) as int) when type = 'LOW_STOCK' then cast(trunc(qty * unit_cost) as int) end as estimated_cost,
    case when type = 'STOCKOUT' then true else coalesce(buffer <= 5, false) and type = 'LOW_STOCK' end as send_email
- from (select *, cast(trunc(demand * lead * 1.5::double) as int) as qty, row_number() over (partition by type order by
-      case type when 'STOCKOUT' then 0 when 'HIGH_STOCK' then -buffer else buffer end, product_id) as rn
+ from (select *, cast(trunc(demand * lead * 1.5::double) as int) as qty
   from (select *, case when current_stock = 0 then 'STOCKOUT' when buffer <= 10 then 'LOW_STOCK' when buffer <= 30 then 'MEDIUM_STOCK' else 'HIGH_STOCK' end as type
    from (select *, cover - lead as buffer from (select *, case when current_stock > 0 then cast(trunc(current_stock / demand) as int) end as cover
     from (select p.*, {LEAD} as lead, unit_price - unit_cost as margin, case when current_stock = 0 then m.m30 else w.m7 end as demand
      from products p left join ({row_avg(180, 'm7')}) w on p.product_id = w.product_id
-     left join ({row_avg(365, 'm30')}) m on p.product_id = m.product_id) where demand > 0))))
+     left join ({row_avg(365, 'm30')}) m on p.product_id = m.product_id) where demand > 0))))"""
+ALERT_REPORT = """select * exclude (rn) from (select *, row_number() over (partition by type order by
+      case type when 'STOCKOUT' then 0 when 'HIGH_STOCK' then -buffer_days else buffer_days end, product_id) as rn from alerts)
  where rn <= case type when 'STOCKOUT' then 30 when 'LOW_STOCK' then 50 when 'MEDIUM_STOCK' then 30 else 20 end
  order by case type when 'STOCKOUT' then 1 when 'LOW_STOCK' then 2 when 'MEDIUM_STOCK' then 3 else 4 end, rn limit 100"""
 
@@ -264,6 +264,11 @@ def inv14(t):
     return _alerts(t)
 
 
+@query("INV14_report", ALERT_REPORT, "", {"alerts": ALERTS})
+def inv14_report(t):
+    return inv.alert_report(_alerts(t))
+
+
 @query("FIL17", """select count(*) as alerts, cast(coalesce(sum(loss_per_day), 0) as bigint) as daily_loss from alerts
   where stock_level = 'LOW'""", "", {"alerts": ALERTS})
 def fil17(t):
@@ -322,7 +327,7 @@ def inv15(t):
 
 
 @query("INV16", """select product_id, sku, category, r.rule as "rule", r."type" as "type", r.priority as priority, r."value" as "value" from ruled
-  where r.priority in ('critical', 'high') order by case r.priority when 'critical' then 1 else 2 end, product_id, r.rule limit 20""",
+  where r.priority in ('critical', 'high')""",
        "value", RULE_CTES)
 def inv16(t):
     return inv.top_advice(_rules(t))
@@ -449,7 +454,7 @@ def inv18(t):
     return _overrides(t)
 
 
-@query("INV19", """select c as critical_items, least(h, 5) as high_risk_skus, o as manual_reviews, c + h + o as total_flagged,
+@query("INV19", """select c as critical_items, h as high_risk_skus, o as manual_reviews, c + h + o as total_flagged,
    case when c > 3 then 'RED' when c > 0 then 'YELLOW' else 'GREEN' end as status
   from (select (select count(*) from crit) as c, (select count(*) from pareto) as h, (select count(*) from overrides) as o)""", "", OVR_CTES)
 def inv19(t):

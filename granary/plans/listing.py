@@ -74,7 +74,7 @@ def fil06(t):
   from (select *, row_number() over (partition by band order by days, average_daily_demand desc nulls last, product_id) as position
    from (select *, {BAND} as band, case when current_stock = 0 then 0.0 when average_daily_demand > 0
            then current_stock / average_daily_demand else 999.0 end as days
-         from products where current_stock <= 10)) where position <= 20""", "demand_per_day")
+         from products where current_stock <= 10))""", "demand_per_day")
 def fil07(t):
     return listing.worklist(t.products)
 
@@ -86,10 +86,8 @@ def fil08(t):
     return listing.only_ids(t.products.filter("current_stock > 0"), sold).select(*listing.BASIC)
 
 
-@query("FIL09", """select product_id, sku, name, category, current_stock, alert_type, cast(position as int) as position
-  from (select *, case when current_stock = 0 then 'CRITICAL' else 'LOW' end as alert_type,
-     row_number() over (partition by current_stock = 0 order by product_id) as position
-   from products where current_stock <= 10) where position <= 50""")
+@query("FIL09", """select product_id, sku, name, category, current_stock, case when current_stock = 0 then 'CRITICAL' else 'LOW' end as alert_type
+   from products where current_stock <= 10""")
 def fil09(t):
     return listing.threshold_alerts(t.products)
 
@@ -115,7 +113,7 @@ def fil11(t):
   count(*) filter (where current_stock between 1 and 10) as low_stock,
   count(*) filter (where current_stock between 11 and 50) as medium_stock,
   (select sum(coalesce(nullif(average_daily_demand, 0), 5) * (unit_price - unit_cost)) from
-    (select * from products where current_stock = 0 order by product_id limit 10)) as daily_loss from products""",
+    (select * from products where current_stock = 0)) as daily_loss from products""",
        "daily_loss")
 def fil12(t):
     return listing.digest_preview(t.products)
