@@ -425,14 +425,18 @@ def set02(t):
         F.array_sort(F.array_except(F.array(*[F.lit(c) for c in need]), have)).alias("missing"))
 
 
-@query("SET03", """select cast(g.w as date) as week, coalesce(units, 0) as units from (select unnest(generate_series(date_trunc('week', (select d from clock) - 200), (select d from clock)::timestamp, interval 7 day)) as w) g
-  left join (select cast(date_trunc('week', date) as date) as week, cast(sum(quantity_sold) as bigint) as units from sales where product_id = 77 and date >= (select d from clock) - 200 group by 1) s on cast(g.w as date) = s.week""")
+@query("SET03", """select p.product_id, cast(g.w as date) as week, coalesce(units, 0) as units from (select unnest(generate_series(date_trunc('week', (select d from clock) - 200), (select d from clock)::timestamp, interval 7 day)) as w) g cross join (select distinct product_id from sales where date >= (select d from clock) - 200) p
+  left join (select product_id, cast(date_trunc('week', date) as date) as week, cast(sum(quantity_sold) as bigint) as units from sales where date >= (select d from clock) - 200 group by 1, 2) s
+  on cast(g.w as date) = s.week and p.product_id = s.product_id""")
 def set03(t):
     start = F.date_trunc("week", F.lit(t.days_before(200))).cast("date")
-    weeks = t.spark.range(1).select(F.explode(F.sequence(start, F.lit(t.as_of), F.expr("interval 7 days"))).alias("week"))
-    seen = since(t.sales(t.days_before(200)), t.as_of, 200).filter("product_id = 77").groupBy(
-        F.date_trunc("week", "date").cast("date").alias("week")).agg(F.sum("quantity_sold").alias("u"))
-    return weeks.withColumn("u", F.lit(0).cast("bigint")).unionByName(seen).groupBy("week").agg(F.sum("u").alias("units"))
+    seen = since(t.sales(t.days_before(200)), t.as_of, 200).groupBy(
+        "product_id", F.date_trunc("week", "date").cast("date").alias("week")).agg(F.sum("quantity_sold").alias("u"))
+    # Every product that sold gets every week: its rows are the grid, filled in place.
+    weeks = seen.select("product_id").distinct().select(
+        "product_id", F.explode(F.sequence(start, F.lit(t.as_of), F.expr("interval 7 days"))).alias("week"))
+    grid = weeks.withColumn("u", F.lit(0).cast("bigint")).unionByName(seen)
+    return grid.groupBy("product_id", "week").agg(F.sum("u").alias("units"))
 
 
 @query("SET04", f"""select product_id, case when product_id in (select product_id from sales where {window(30)}) and current_stock > 0 then 'DEMAND' else 'OUT' end as source

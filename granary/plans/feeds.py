@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from granary.functions.prefix import work_folder
 from granary.operators import decision as dec  # noqa: F401
 from granary.plans.registry import query
 from granary.plans.sqlparts import window
@@ -298,6 +299,25 @@ def src17(t):
     return ingest.import_history(t.imports, "feed-1", "SUCCESS").select("id", "source_name", "status", "record_count", "created_at")
 
 
+@query("SRC15", """select p.product_id, s.date, quantity_sold, revenue from convs s join products p on s.sku = p.sku where s.date is not null""", "revenue", FEED)
+def src15(t):
+    """The landed documents once more through the mapping."""
+    folder, raw = work_folder(t.spark, "lake"), documents(t).select("body")
+    ingest.land_documents(raw, ingest.import_documents(raw, t.products, "sales", ITEM), folder, "run1")
+    return ingest.replay(t.spark, folder, "run1", t.products, "sales", ITEM).select("product_id", "date", "quantity_sold", "revenue")
+
+
+@query("SRC16", """select r.name, (select count(*) from convs s join products p on s.sku = p.sku where s.date is not null and s.line_no % 2 = r.k) as rows,
+  (select count(*) from raw_sales where line_no % 2 = r.k) as documents from (select unnest([0, 1]) as k, unnest(['even', 'odd']) as name) r""", "", FEED)
+def src16(t):
+    """Two landings, one of them retried: the manifest has one entry for each."""
+    folder = work_folder(t.spark, "lake")
+    for k, name in ((0, "even"), (1, "odd"), (1, "odd")):
+        raw = documents(t).filter(F.col("doc") % 2 == k).select("body")
+        manifest = ingest.land_documents(raw, ingest.import_documents(raw, t.products, "sales", ITEM), folder, name)
+    return manifest.select("name", "rows", "documents")
+
+
 @query("SNK03", "select count(*) filter (where date < (select d from clock) - 730) as deleted, count(*) filter (where date >= (select d from clock) - 730) as kept, (select d from clock) - 730 as cutoff from sales")
 def snk03(t):
     return ingest.retention_report(t.sales(), t.as_of)

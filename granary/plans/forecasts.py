@@ -6,9 +6,13 @@ cover every sales row.  Dense models run on brands, intermittent ones on parts.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from granary.functions.prefix import work_folder
+from granary.sources.ingest import append_forecasts
 from granary.operators import forecast as fc
 from granary.operators import series as ts
 from granary.plans.dashboard import SCORED, _scored
@@ -362,6 +366,18 @@ def tsf29(t):
     return _fallback(t)
 
 
+RUNS = "(select unnest([date '2001-11-03', date '2001-11-04']) as run_date) runs"
+
+
+@query("SNK01", f"select b.*, run_date from baseline b, {RUNS}", "forecast lower upper", {"baseline": BASELINE})
+def snk01(t):
+    """Two runs are appended, the second of them twice; the retry replaces its own partition."""
+    path = work_folder(t.spark, "forecasts")
+    for day in (3, 4, 4):
+        append_forecasts(tsf30(t), path, dt.date(2001, 11, day))
+    return t.spark.read.parquet(path)
+
+
 @query("TSF30", "select * from baseline", "forecast lower upper", {"baseline": BASELINE})
 def tsf30(t):
     return fc.baseline(t.products, t.as_of, 14)

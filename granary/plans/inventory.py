@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
+from granary.functions.prefix import work_folder
+from granary.sources.ingest import append_recommendations
 from granary.functions.mathx import norm_cdf_sql, norm_pdf_sql, norm_ppf_sql, z_value
 from granary.functions.prefix import running_totals
 from granary.operators import decision as dec
@@ -99,6 +103,15 @@ def inv04(t):
     return pol.full_policy(_span(t)).select(*FULL_COLS)
 
 
+@query("SNK02", f"select {', '.join(FULL_COLS)}, run_date from full_policy, (select unnest([date '2001-11-03', date '2001-11-04']) as run_date) runs", " ".join(FULL_COLS[1:-2]), OPT)
+def snk02(t):
+    """Two runs are appended, the second of them twice; the retry replaces its own partition."""
+    path = work_folder(t.spark, "recommendations")
+    for day in (3, 4, 4):
+        append_recommendations(inv04(t), path, dt.date(2001, 11, day))
+    return t.spark.read.parquet(path)
+
+
 @query("INV05", f"""with j as ({demand_join(YEAR)})
   select product_id, demand, sigma, safety_stock, reorder_point, eoq, order_quantity, risk_percentage, stockout_risk
   from ({policy('j')})""", "demand sigma risk_percentage")
