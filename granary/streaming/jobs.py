@@ -78,7 +78,8 @@ def replayed(stream: DataFrame, keys: list[str], result: Callable[[DataFrame], D
 
     def step(batch: DataFrame, number: int) -> None:
         (batch.select("*", part).write.mode("overwrite").partitionBy("part").parquet(f"{path}/log/batch={number}"))
-        log = spark.read.schema(batch.select("*", part).schema).parquet(*[f"{path}/log/batch={n}" for n in range(number + 1)])
+        parts = [f"{path}/log/batch={n}" for n in range(number + 1)]  # not those of a batch that was given up
+        log = spark.read.option("basePath", f"{path}/log").parquet(*parts).select(*batch.columns, "part")
         if horizon:
             newest = batch.agg(F.max(horizon[0]) - F.lit(horizon[1])).first()[0]
             log = log.filter(F.col(horizon[0]) >= F.lit(newest)) if newest is not None else log
