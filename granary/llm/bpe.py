@@ -29,7 +29,7 @@ BUCKETS = (4, 8, 16, 32, 64, 128, 256)
 #: Rows of one matrix.
 ROWS = 8192
 #: Pieces, and words of several pieces, whose ids a task remembers; when full, it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 NONE = np.int64(2**40)
 
 _CODECS: dict[tuple[str, str], Codec] = {}
