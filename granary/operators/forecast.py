@@ -380,49 +380,61 @@ def compare_models(series: DataFrame, alpha: float = 0.3, beta: float = 0.3) ->
 
     Scores follow the usual practice of the dashboard: smoothing and the moving average
     on the held-out rows, Holt, weighted average and line on the training rows, and the
-    decomposition on everything.
+    decomposition on everything.  One pass: windows over the product give the predictions of
+    each row, one aggregate scores them, and the two smoothers fold the ordered values.
     """
-    s = ts.numbered(series).filter("n >= 14").withColumn("split", F.floor(F.col("n") * 0.8).cast("int"))
-    i, n, k, q = F.col("i"), F.col("n"), F.col("split"), F.col("qty").cast("bigint")
-    train = s.filter("i < split")
-    test = s.filter("i >= split")
-
-    def score(df: DataFrame, pred: Column, name: str) -> DataFrame:
-        e = F.abs((F.col("qty") - F.col("p")) / F.col("qty"))
-        ok = F.col("qty") != 0
-        return df.withColumn("p", pred).groupBy(KEY).agg(
-            F.coalesce(F.avg(F.when(ok, e)) * 100, F.lit(100.0)).alias("mape"),
-            F.sqrt(F.avg(F.pow(F.col("qty") - F.col("p"), 2))).alias("rmse"),
-            F.max_by("p", "i").alias("last")).withColumn("model", F.lit(name))
-
-    w = Window.partitionBy(KEY).orderBy("i")
-    # Single smoothing: level of all rows before this one (a fold over the ordered values).
-    arr = s.groupBy(KEY).agg(F.max("split").alias("split"), F.transform(
-        F.array_sort(F.collect_list(F.struct("i", F.col("qty").cast("double").alias("y")))), lambda r: r["y"]).alias("ys"))
+    s = ts.trailing_decomposition(series).filter("n >= 14").withColumn("split", F.floor(F.col("n") * 0.8).cast("int"))
+    i, n, k, q = F.col("i").cast("bigint"), F.col("n"), F.col("split"), F.col("qty").cast("bigint")
+    held, train = i >= k, i < k
+    every = Window.partitionBy(KEY)
+    w = every.orderBy("i")
+
+    size = F.least(i + 1, F.lit(7)).cast("bigint")
+    total = F.lit(0).cast("bigint")
+    for back in range(7):
+        total = total + F.coalesce(F.lag(q, back).over(w), F.lit(0)) * F.greatest(F.lit(0).cast("bigint"), size - back)
+    sums = {"_sx": i, "_sy": q, "_sxy": i * q, "_sxx": i * i}
+    s = s.withColumns({
+        "p_ma": F.sum(F.when(i >= n - 7, q)).over(every).cast("double") / 7,
+        "p_wma": F.when(k < 7, q.cast("double")).otherwise(total.cast("double") / (size * (size + 1) / 2)),
+        "p_dec": F.col("trend") + F.col("seasonal"),
+        **{name: F.sum(F.when(train, x)).over(every) for name, x in sums.items()}})
+    sx, sy, sxy, sxx = (F.col(c) for c in sums)
+    b = F.coalesce(ratio((k * sxy - sx * sy).cast("double"), (k * sxx - sx * sx).cast("double")), F.lit(0.0))
+    s = s.withColumn("b", b).withColumn("a", sy.cast("double") / k - F.col("b") * sx / k)
+    s = s.withColumn("p_line", F.col("a") + F.col("b") * i)
+
+    def score(pred: str, rows: Column) -> Column:
+        e, known = F.col("qty") - F.col(pred), rows & (F.col("qty") != 0)
+        return F.struct(
+            F.coalesce(F.avg(F.when(known, F.abs(e / F.col("qty")))) * 100, F.lit(100.0)).alias("mape"),
+            F.sqrt(F.avg(F.when(rows, F.pow(e, 2)))).alias("rmse"),
+            F.max_by(F.when(rows, F.col(pred)), F.when(rows, F.col("i"))).alias("last"))
+
+    g = s.groupBy(KEY).agg(
+        F.max("split").alias("split"),
+        F.transform(F.array_sort(F.collect_list(F.struct("i", F.col("qty").cast("double").alias("y")))), lambda r: r["y"]).alias("ys"),
+        F.greatest(F.lit(0.0), F.max("a") + F.max("b") * F.max("split")).alias("line_last"),
+        score("p_ma", held).alias("ma"), score("p_wma", train).alias("wma"),
+        score("p_line", train).alias("line"), score("p_dec", F.lit(True)).alias("dec"))
 
+    # Single smoothing: level of all rows before this one (a fold over the ordered values).
     def fold_es(acc: Column, y: Column) -> Column:
-        held = acc["t"] >= F.col("split")
+        late = acc["t"] >= F.col("split")
         level, err = acc["level"], y - acc["level"]
-        ok = held & (y != 0)
+        ok = late & (y != 0)
         return F.struct(
             (acc["t"] + 1).alias("t"), F.when(acc["t"] == 0, y).otherwise(alpha * y + (1 - alpha) * level).alias("level"),
             (acc["ape"] + F.when(ok, F.abs(err / y)).otherwise(0.0)).alias("ape"),
             (acc["m"] + F.when(ok, 1).otherwise(0)).alias("m"),
-            (acc["sq"] + F.when(held, err * err).otherwise(0.0)).alias("sq"),
-            F.when(held, level).otherwise(acc["last"]).alias("last"))
+            (acc["sq"] + F.when(late, err * err).otherwise(0.0)).alias("sq"),
+            F.when(late, level).otherwise(acc["last"]).alias("last"))
 
     zero = F.struct(F.lit(0).alias("t"), F.lit(0.0).alias("level"), F.lit(0.0).alias("ape"), F.lit(0).alias("m"),
                     F.lit(0.0).alias("sq"), F.lit(0.0).alias("last"))
 
-    def finish(df: DataFrame, rows: Column, name: str) -> DataFrame:
-        return df.select(
-            KEY, F.when(F.col("r.m") > 0, F.col("r.ape") / F.col("r.m") * 100).otherwise(100.0).alias("mape"),
-            F.sqrt(F.col("r.sq") / rows).alias("rmse"), F.col("r.last").alias("last"), F.lit(name).alias("model"))
-
-    es = finish(arr.withColumn("r", F.aggregate("ys", zero, fold_es)), F.size("ys") - F.col("split"), "exponential_smoothing")
-
     def fold_holt(acc: Column, y: Column) -> Column:
-        first, second = acc["t"] == 0, acc["t"] == 1
+        first = acc["t"] == 0
         level = F.when(first, y).otherwise(alpha * y + (1 - alpha) * (acc["level"] + acc["trend"]))
         trend = F.when(first, F.get("ys", F.lit(1)) - y).otherwise(
             beta * (level - acc["level"]) + (1 - beta) * acc["trend"])
@@ -436,40 +448,37 @@ def compare_models(series: DataFrame, alpha: float = 0.3, beta: float = 0.3) ->
 
     zero2 = F.struct(F.lit(0).alias("t"), F.lit(0.0).alias("level"), F.lit(0.0).alias("trend"), F.lit(0.0).alias("ape"),
                      F.lit(0).alias("m"), F.lit(0.0).alias("sq"), F.lit(0.0).alias("last"))
-    holt = finish(arr.withColumn("r", F.aggregate(F.slice("ys", F.lit(1), F.col("split")), zero2, fold_holt)),
-                  F.col("split"), "double_exponential_smoothing")
+    g = g.withColumns({
+        "es": F.aggregate("ys", zero, fold_es),
+        "holt": F.aggregate(F.slice("ys", F.lit(1), F.col("split")), zero2, fold_holt)})
 
-    last7 = s.filter(i >= n - 7).groupBy(KEY).agg((F.sum(q).cast("double") / 7).alias("p7"))
-    ma = score(test.join(last7, KEY), F.col("p7"), "moving_average")
+    def folded(r: str, rows: Column, name: str) -> Column:
+        m = F.when(F.col(f"{r}.m") > 0, F.col(f"{r}.ape") / F.col(f"{r}.m") * 100).otherwise(100.0)
+        return row(m, F.sqrt(F.col(f"{r}.sq") / rows), F.col(f"{r}.last"), name)
 
-    size = F.least(i + 1, F.lit(7)).cast("bigint")
-    total = F.lit(0).cast("bigint")
-    for back in range(7):
-        total = total + F.coalesce(F.lag(q, back).over(w), F.lit(0)) * F.greatest(F.lit(0).cast("bigint"), size - back)
-    wma_p = F.when(k < 7, q.cast("double")).otherwise(total.cast("double") / (size * (size + 1) / 2))
-    wma = score(s.withColumn("p0", wma_p).filter("i < split"), F.col("p0"), "weighted_moving_average")
+    def row(mape: Column, rmse: Column, last: Column, name: str) -> Column:
+        return F.struct(mape.alias("mape"), rmse.alias("rmse"), last.alias("last"), F.lit(name).alias("model"))
 
-    fit = ts.line_fit(train.select(KEY, "date", "qty"))
-    line = score(train.join(fit.select(KEY, "slope", "intercept"), KEY),
-                 F.col("intercept") + F.col("slope") * i, "linear_regression").join(fit, KEY).withColumn(
-        "last", F.greatest(F.lit(0.0), F.col("intercept") + F.col("slope") * F.col("n"))).drop("n", "slope", "intercept")
+    return g.select(KEY, F.inline(F.array(
+        folded("es", F.size("ys") - F.col("split"), "exponential_smoothing"),
+        folded("holt", F.col("split"), "double_exponential_smoothing"),
+        row(F.col("ma.mape"), F.col("ma.rmse"), F.col("ma.last"), "moving_average"),
+        row(F.col("wma.mape"), F.col("wma.rmse"), F.col("wma.last"), "weighted_moving_average"),
+        row(F.col("line.mape"), F.col("line.rmse"), F.col("line_last"), "linear_regression"),
+        row(F.col("dec.mape"), F.lit(0.0), F.greatest(F.lit(0.0), F.col("dec.last")), "seasonal_decomposition"))))
 
-    parts = ts.trailing_decomposition(s.select(KEY, "date", "qty"))
-    dec = score(parts, F.col("trend") + F.col("seasonal"), "seasonal_decomposition").withColumn(
-        "rmse", F.lit(0.0)).withColumn("last", F.greatest(F.lit(0.0), F.col("last")))
-    out = es
-    for other in (holt, ma, wma, line, dec):
-        out = out.unionByName(other.select(*es.columns))
-    return out
 
+def pick_models(scores: DataFrame, beside: str | None = None) -> DataFrame:
+    """Best model and the mean of the three best last values, per product.
 
-def pick_models(scores: DataFrame) -> DataFrame:
-    """Best model and the mean of the three best last values, per product."""
+    ``beside`` names a model whose error is returned as ``naive_mape``.
+    """
     order = Window.partitionBy(KEY).orderBy(F.round("mape", 6), "model")
-    r = scores.withColumn("rn", F.row_number().over(order)).filter("rn <= 3")
+    r = scores.withColumn("rn", F.row_number().over(order))
+    naive = [F.max(F.when(F.col("model") == beside, F.col("mape"))).alias("naive_mape")] if beside else []
     return r.groupBy(KEY).agg(
         F.min_by("model", "rn").alias("best_model"), F.min_by("mape", "rn").alias("best_mape"),
-        (F.sum("last") / 3).alias("ensemble")).withColumn(
+        (F.sum(F.when(F.col("rn") <= 3, F.col("last"))) / 3).alias("ensemble"), *naive).withColumn(
         "confidence", F.when(F.col("best_mape") < 15, "high").when(F.col("best_mape") < 30, "medium").otherwise("low"))
 
 

@@ -265,11 +265,9 @@ def win15(t):
   join (select product_id, cast(sum(revenue) as double) / (max(date) - min(date) + 1) * 365 as annual_revenue from sales group by product_id) r on p.product_id = r.product_id""",
        "best_mape naive_mape annual_revenue error_reduction margin_saved", {**MODEL_CTES, "picked": PICK})
 def tsf20(t):
-    scores = fc.compare_models(t.part_daily())
-    naive = scores.filter("model = 'moving_average'").select("product_id", F.col("mape").alias("naive_mape"))
     span = F.datediff(F.max("date"), F.min("date")) + 1
     revenue = t.sales().groupBy("product_id").agg((F.sum("revenue").cast("double") / span * 365).alias("annual_revenue"))
-    df = fc.pick_models(scores).join(naive, "product_id").join(
+    df = fc.pick_models(fc.compare_models(t.part_daily()), beside="moving_average").join(
         t.products.select("product_id", "unit_price", "unit_cost"), "product_id").join(revenue, "product_id")
     gain = F.col("naive_mape") - F.col("best_mape")
     price = F.col("unit_price")
