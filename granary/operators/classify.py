@@ -117,15 +117,19 @@ def weighted_moving_average(series: DataFrame, window: int = 7) -> DataFrame:
     return series.withColumn("wma", F.when(n < window, F.col("qty").cast("double")).otherwise(mean))
 
 
-def lag_features(series: DataFrame, lags: tuple[int, ...], windows: tuple[int, ...]) -> DataFrame:
-    """Lagged values and rolling mean and sample deviation (0 when undefined)."""
+def lag_features(series: DataFrame, lags: tuple[int, ...], windows: tuple[int, ...], own: bool = True) -> DataFrame:
+    """Lagged values and rolling mean and sample deviation (0 when undefined).
+
+    Without ``own`` the rolling windows end before the row, so that they do not tell its value;
+    the first row then has no mean.
+    """
     w = by_time()
     q = F.col("qty").cast("bigint")
     out = {f"lag_{k}": F.lag("qty", k).over(w) for k in lags}
     for k in windows:
-        frame = w.rowsBetween(-(k - 1), 0)
+        frame = w.rowsBetween(-(k - 1), 0) if own else w.rowsBetween(-k, -1)
         n, s, ss = F.count(F.lit(1)).over(frame), F.sum(q).over(frame), F.sum(q * q).over(frame)
-        out[f"mean_{k}"] = s.cast("double") / n
+        out[f"mean_{k}"] = s.cast("double") / n if own else ratio(s.cast("double"), n)
         t = s.cast("double")
         out[f"sd_{k}"] = F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), (ss.cast("double") - t * t / n) / (n - 1)))).otherwise(0.0)
     return series.withColumns(out)

@@ -626,32 +626,40 @@ LAGS, ROLLS = (1, 2, 4, 8, 13), (4, 8, 13)
 CAL = ("week_of_year", "month", "quarter")
 
 
-def lag_table(weeks: DataFrame) -> DataFrame:
+def lag_table(weeks: DataFrame, own: bool = False) -> DataFrame:
     from granary.operators.classify import lag_features
 
-    df = lag_features(weeks.select(KEY, "date", "qty"), LAGS, ROLLS)
+    df = lag_features(weeks.select(KEY, "date", "qty"), LAGS, ROLLS, own)
     return ts.calendar_features(df).na.fill(0)
 
 
-def boosted_forecast(weeks: DataFrame, horizon: int = 4, rounds: int = 10) -> DataFrame:
+def boosted_forecast(weeks: DataFrame, horizon: int = 4, rounds: int = 100, own: bool = False) -> DataFrame:
     """One distributed tree ensemble over the weekly features of all products.
 
-    Future rows carry zero demand, so their lags and means reuse what is known.
+    Rolling features end before the week they describe, and weeks ahead stand in the lags of later
+    ones with the mean of the last 13 weeks.  With ``own`` the features hold the week's own demand
+    and weeks ahead stand with zero, as in the dashboard.  Bands are 1.96 deviations of the
+    product's residuals.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
     feats = [f"lag_{k}" for k in LAGS] + [f"{m}_{k}" for k in ROLLS for m in ("mean", "sd")] + list(CAL)
     asm = VectorAssembler(inputCols=feats, outputCol="features")
-    model = GBTRegressor(labelCol="qty", maxIter=rounds, maxDepth=4, stepSize=0.1, seed=42).fit(asm.transform(lag_table(weeks)))
-    last = weeks.groupBy(KEY).agg(F.max("date").alias("last"))
-    future = steps_ahead(last, horizon).select(
-        KEY, F.date_add("last", F.col("step") * 7).alias("date"), F.lit(0).cast("bigint").alias("qty"))
+    # Every round reads the features again; the weeks behind them are counted once.
+    known = asm.transform(materialise(lag_table(weeks, own)))
+    model = GBTRegressor(labelCol="qty", maxIter=rounds, maxDepth=4, stepSize=0.1, seed=42).fit(known)
+    spread_of = model.transform(known).groupBy(KEY).agg(
+        F.max("date").alias("last"), F.stddev_pop(F.col("qty") - F.col("prediction")).alias("sd"))
     keep = Window.partitionBy(KEY).orderBy(F.col("date").desc())
     recent = weeks.select(KEY, "date", "qty").withColumn("rn", F.row_number().over(keep)).filter("rn <= 13").drop("rn")
-    ahead = lag_table(recent.unionByName(future)).join(last, KEY).filter(F.col("date") > F.col("last"))
+    usual = F.lit(0) if own else F.round(F.avg("qty"))
+    future = steps_ahead(recent.groupBy(KEY).agg(F.max("date").alias("last"), usual.cast("bigint").alias("qty")), horizon).select(
+        KEY, F.date_add("last", F.col("step") * 7).alias("date"), "qty")
+    ahead = lag_table(recent.unionByName(future), own).join(spread_of, KEY).filter(F.col("date") > F.col("last"))
+    mean, band = F.greatest(F.lit(0.0), F.col("prediction")), 1.96 * F.col("sd")
     return model.transform(asm.transform(ahead)).select(
-        KEY, "date", F.greatest(F.lit(0.0), F.col("prediction")).alias("forecast"))
+        KEY, "date", mean.alias("forecast"), F.greatest(F.lit(0.0), mean - band).alias("lower"), (mean + band).alias("upper"))
 
 
 # ---- views on forecasts ---------------------------------------------------------------------

@@ -169,3 +169,64 @@ def test_backtest_uses_the_held_out_dates(fixture):
 def test_first_generation_picks_croston_for_intermittent(fixture):
     got = {r.product_id: r.model for r in fc.first_generation(fixture, 3).filter("step = 1").collect()}
     assert got[6] == "croston" and got[3] == "holt_winters:7" and got[8] == "recent_average"
+
+
+def model_scores(y):
+    """The six models as plain loops: (mape, rmse, last) on the rows each is judged on."""
+    n, k = len(y), int(len(y) * 0.8)
+
+    def errors(rows, last):
+        known = [abs((a - p) / a) for a, p in rows if a]
+        return (100 * sum(known) / len(known) if known else 100.0,
+                math.sqrt(sum((a - p) ** 2 for a, p in rows) / len(rows)), last)
+
+    level, es = y[0], []
+    for v in y:
+        es.append(level)
+        level = 0.3 * v + 0.7 * level
+    level, trend, holt = y[0], y[1] - y[0], [y[0]]
+    for v in y[1:k]:
+        new = 0.3 * v + 0.7 * (level + trend)
+        level, trend = new, 0.3 * (new - level) + 0.7 * trend
+        holt.append(level + trend)
+    mean7 = sum(y[-7:]) / 7
+    wma = []
+    for i in range(k):
+        part = y[max(0, i - 6): i + 1]
+        wma.append(sum(v * (j + 1) for j, v in enumerate(part)) / sum(range(1, len(part) + 1)) if k >= 7 else y[i])
+    b, a = np.polyfit(np.arange(k), y[:k], 1)
+    return {"exponential_smoothing": errors(list(zip(y[k:], es[k:])), es[-1]),
+            "double_exponential_smoothing": errors(list(zip(y[:k], holt)), holt[-1]),
+            "moving_average": errors([(v, mean7) for v in y[k:]], mean7),
+            "weighted_moving_average": errors(list(zip(y[:k], wma)), wma[-1]),
+            "linear_regression": errors([(y[i], a + b * i) for i in range(k)], max(0.0, a + b * k))}
+
+
+def test_model_comparison_equals_loops(spark):
+    series = {1: [3 + (i * 7919) % 11 for i in range(40)], 2: [5] * 14, 3: [0, 4] * 10, 4: [0] * 20, 5: [1] * 13,
+              6: [i for i in range(1, 31)]}
+    rows = [(p, START + dt.timedelta(days=i), v) for p, ys in series.items() for i, v in enumerate(ys)]
+    df = spark.createDataFrame(rows, "product_id long, date date, qty long").repartition(3)
+    got = {(r.product_id, r.model): (r.mape, r.rmse, r.last) for r in fc.compare_models(df).collect()}
+    assert {p for p, _ in got} == {1, 2, 3, 4, 6} and len(got) == 30
+    for p in (1, 2, 3, 4, 6):
+        for model, want in model_scores([float(v) for v in series[p]]).items():
+            assert got[p, model] == pytest.approx(want, abs=1e-6), (p, model)
+
+
+def test_model_comparison_reads_the_series_once(tables):
+    plan = fc.compare_models(tables.part_daily())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
+def test_pooled_trees(spark):
+    rows = [(p, START + dt.timedelta(days=7 * i), 20 * p + 10 * (i % 2)) for p in (1, 2) for i in range(60)]
+    weeks = spark.createDataFrame(rows, "product_id long, date date, qty long")
+    table = {(r.product_id, r.date): r for r in fc.lag_table(weeks).collect()}
+    third, first = table[1, START + dt.timedelta(days=14)], table[1, START]
+    assert third.mean_4 == 25.0 and third.lag_1 == 30 and first.mean_4 == 0.0  # weeks before it only
+    out = fc.boosted_forecast(weeks, horizon=3, rounds=5).collect()
+    assert len(out) == 6 and all(0 <= r.lower <= r.forecast <= r.upper for r in out)
+    ahead = {(r.product_id, r.date): r.forecast for r in out}
+    assert ahead[1, START + dt.timedelta(days=420)] == pytest.approx(20, abs=5)
+    assert len(fc.boosted_forecast(weeks, horizon=1, rounds=2, own=True).collect()) == 2
