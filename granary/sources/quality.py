@@ -82,10 +82,9 @@ RECORD_REQUIRED = {"products": ["sku", "name"], "sales": ["sku", "date", "quanti
 
 def validate_records(df: DataFrame, kind: str, record: str = "record") -> DataFrame:
     """Errors and warnings of JSON text records: required fields, types and unknown fields."""
-    fields = F.from_json(F.col(record), "map<string,string>")
-    df = df.withColumn("fields", fields)
-    m, types = F.col("fields"), RECORD_TYPES[kind]
-    keys = F.map_keys(m)
+    types = RECORD_TYPES[kind]
+    df = df.withColumn("fields", F.from_json(F.col(record), ", ".join(f"{c} string" for c in types)))
+    m, keys = F.col("fields"), F.json_object_keys(record)
     errors = [F.when(~F.array_contains(keys, c), F.lit(f"missing {c}")) for c in RECORD_REQUIRED[kind]]
     for c, t in types.items():
         v = m[c]
