@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, chat, packing, quality, rangejoin, secrets, simhash, toxicity, warc, wrapper
+from granary.llm import audit, bpe, chat, licenses, packing, quality, rangejoin, secrets, simhash, toxicity, warc, wrapper
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -147,3 +147,60 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("raw", 256).alias("decoded_sha256"),
     )
+
+
+@_query("op11_filter_audit", r"""
+with recursive d as (select row_number() over () as rid, doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
+w as (select rid, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from d),
+least as (select t, min(doc_id) as m from d group by t),
+lab as (select doc_id, max((quality = 1)::int) as g, max((toxic = 1)::int) as x from labels group by doc_id),
+f as (select part, coalesce(g, 0) as g, coalesce(x, 0) as x,
+    (len(ws) < 200)::int + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::int
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t))::int
+    + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(d.doc_id > m, false)::int as mask
+  from d join w using (rid) join least using (t) left join lab on lab.doc_id = d.doc_id),
+wm as (select part, mask, count(*) as n, sum(g) as g, sum(x) as x from f group by part, mask),
+perm(o) as (select '' union all select o || c from perm, (select unnest(['A', 'B', 'C', 'D', 'E']) as c) l where not contains(o, c)),
+step as (select o as filter_order, k as step, 1 << (instr('ABCDE', substr(o, k, 1)) - 1) as bit,
+    list_sum([1 << (instr('ABCDE', c) - 1) for c in string_split(substr(o, 1, k - 1), '') if c <> '']) as before
+  from (select o from perm where length(o) = 5) p, (select unnest(range(1, 6))::int as k) q),
+raw as (select part, filter_order, step, bit,
+    sum(case when mask & (bit | coalesce(before, 0)::int) = 0 then n else 0 end) as kept,
+    sum(case when mask & bit <> 0 and mask & coalesce(before, 0)::int = 0 then n else 0 end) as removed,
+    sum(case when mask & bit <> 0 and mask & coalesce(before, 0)::int <> 0 then n else 0 end) as redundant,
+    sum(case when mask = bit then n else 0 end) as unique_fails,
+    sum(case when mask & bit <> 0 and mask & coalesce(before, 0)::int = 0 then g else 0 end) as good_lost,
+    sum(case when mask & bit <> 0 and mask & coalesce(before, 0)::int = 0 then x else 0 end) as toxic_lost
+  from wm, (select filter_order, step, bit::int as bit, before from step) s group by part, filter_order, step, bit)
+select part, filter_order, step::int as step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant,
+  unique_fails::bigint as unique_fails, good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost,
+  (sum(removed) over (partition by part, bit))::bigint as shapley
+from raw""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    failed = audit.failures(table(spark, folder, "documents"))
+    return audit.audit(audit.weighted_masks(failed, table(spark, folder, "labels")))
+
+
+_LICENSE_LABELS = ", ".join(
+    f"case when regexp_matches(s, ' {licenses.pattern(licenses.parse(markup))}') then '{label}' end"
+    for label, markup in licenses.TEMPLATES
+)
+_LICENSE_PHRASES = ", ".join(
+    f"[{{'label': '{label}', 'word': i}} for i in range(0, len(ws)) if ws[i + 1:i + {len(p.split())}] = {p.split()}]"
+    for p, label in licenses.PHRASES.items()
+)
+
+
+@_query("op13_license_scan", rf"""
+with d as (select row_number() over () as rid, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+j as (select rid, doc_id, ws, ' ' || array_to_string(ws, ' ') || ' ' as s from d),
+p as (select rid, doc_id, ws, flatten([{_LICENSE_PHRASES}]) as named, list_filter([{_LICENSE_LABELS}], lambda x: x is not null) as accepted from j),
+l as (select *, [x.label for x in named] as names, [x.word for x in named] as starts from p)
+select doc_id, len(ws)::bigint as n_words, len(named)::bigint as n_base, list_min(starts)::bigint as first_word, list_max(starts)::bigint as last_word,
+  array_to_string(list_sort(list_distinct(names)), ',') as base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(names, accepted))), ',') as labels,
+  case when len(accepted) > 0 then {licenses.WHOLE}::double when len(named) > 0 then {licenses.NAMED}::double else 0::double end as score
+from l""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.summary(licenses.scan(table(spark, folder, "documents")))
