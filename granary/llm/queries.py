@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import audit, bpe, chat, licenses, packing, quality, rangejoin, secrets, simhash, toxicity, warc, wrapper
+from granary.llm import audit, bpe, chat, licenses, packing, quality, rangejoin, secrets, simhash, toxicity, trie, warc, wrapper
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -181,6 +181,33 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return audit.audit(audit.weighted_masks(failed, table(spark, folder, "labels")))
 
 
+# CRC-32 of the decimal digits of an id: eight shifts a byte, reflected polynomial.
+_CRC = """xor(list_reduce(list_concat([4294967295::bigint], list_transform(range(1, length({0}) + 1), lambda i: ascii(substr({0}, i, 1))::bigint)),
+  lambda a, b: list_reduce(list_concat([xor(a, b)], [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+
+@_query("op12_prefix_trie", rf"""
+with t as (select conv_id, turn, coalesce(text, '') as text,
+    sha256(sha256(coalesce(role, '')) || sha256(coalesce(text, ''))) as d from conversations where conv_id is not null),
+c as (select conv_id, list(d order by turn nulls first, d) as ds,
+    list(len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) order by turn nulls first, d) as ws
+  from t group by conv_id),
+h as (select *, ({_CRC.format("conv_id::varchar")} % 4)::int as h from c),
+r as (select h.conv_id, list_concat(coalesce(s.ds[1:h.h], []), h.ds[h.h + 1:]) as ds, list_concat(coalesce(s.ws[1:h.h], []), h.ws[h.h + 1:]) as ws
+  from h left join c s on s.conv_id = h.conv_id - h.conv_id % 20),
+p as (select conv_id, len(ds) as n, k, ds[1:k] as key, case when k = 0 then 0 else ws[k] end as w from (select *, unnest(range(0, len(ds) + 1)) as k from r)),
+n as (select key, k as depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(w) as w,
+    coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (n = k), '') as ends from p group by key, k),
+f as (select a.key, count(*) filter (b.depth = a.depth + 1) as n_children, sum((b.n_convs - 1) * b.w) as saved,
+    count(*) filter (not exists (select 1 from n c where c.depth = b.depth + 1 and c.key[1:b.depth] = b.key)) as leaves
+  from n a join n b on b.depth >= a.depth and b.key[1:a.depth] = a.key group by a.key)
+select n.conv_id, n.depth::bigint as depth, u.conv_id as parent_conv_id, n.n_convs, f.n_children, f.leaves as n_leaves,
+  f.saved::bigint as saved_tokens, sha256(n.ends) as ends_sha256
+from n join f using (key) left join n u on u.depth = n.depth - 1 and u.key = n.key[1:n.depth - 1]""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.trie(*trie.rebuilt(trie.placed_turns(table(spark, folder, "conversations"))))
+
+
 _LICENSE_LABELS = ", ".join(
     f"case when regexp_matches(s, ' {licenses.pattern(licenses.parse(markup))}') then '{label}' end"
     for label, markup in licenses.TEMPLATES
