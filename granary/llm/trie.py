@@ -56,8 +56,9 @@ def placed_turns(conversations: DataFrame) -> DataFrame:
         F.substring(F.unhex(F.sha2(F.concat(F.sha2(role, 256), F.sha2(text, 256)), 256)), 1, 16).alias("d"),
         F.size(words(text)).cast("long").alias("words"),
     )
+    # Written out first, as range partitioning reads its input twice, once for a sample.
     # Rows of equal turn and digest are equal, so their order does not matter.
-    numbered = running_totals(turns, [F.col("turn"), F.col("d")], {}, keys=("conv_id",), position="pos")
+    numbered = running_totals(materialise(turns), [F.col("turn"), F.col("d")], {}, keys=("conv_id",), position="pos")
     return materialise(numbered.select("conv_id", "pos", "d", "words"))
 
 
