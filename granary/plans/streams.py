@@ -34,8 +34,8 @@ def str01(t):
 def str01_stream(t):
     stream = jobs.event_deltas(jobs.read_files(t.spark, t.folder, "events.parquet"))
     base = work_folder(t.spark, "ledger")
-    jobs.ledger_job(stream, base, f"{base}/state", _opening(t)).awaitTermination()
-    return jobs.latest_version(t.spark, f"{base}/table").select("sku", "stock")
+    jobs.ledger_job(stream, base, f"{base}/state").awaitTermination()
+    return jobs.ledger_stock(t.spark, base, _opening(t)).select("sku", "stock")
 
 
 @query("STR01_rejected", "select sku, count(*) as events from deltas where sku not in (select sku from opening) group by sku", "", LEDGER_CTES)
@@ -44,11 +44,25 @@ def str01_rejected(t):
     return rejected.groupBy("sku").agg(F.count(F.lit(1)).alias("events"))
 
 
-@query("STR02", """select user_id as sku, cast(arg_max(floor("value"), {'a': ts, 'b': event_id}) as int) as stock, max(ts) as ts from events where event_type = 'view' group by user_id""")
+COUNTS = """select user_id as sku, cast(arg_max(floor("value"), {'a': ts, 'b': event_id}) as int) as stock, max(ts) as ts from events where event_type = 'view' group by user_id"""
+
+
+def _counts(events):
+    """View events stand for stock counts; the other kinds of event are no counts."""
+    return events.filter("event_type = 'view'").select(
+        F.col("user_id").alias("sku"), F.floor("value").cast("int").alias("stock"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+
+
+@query("STR02", COUNTS)
 def str02(t):
-    counts = t.events.filter("event_type = 'view'").select(
-        F.col("user_id").alias("sku"), F.floor("value").cast("int").alias("stock"), "ts", "event_id")
-    return jobs.latest_counts(counts)
+    return jobs.latest_counts(_counts(t.events))
+
+
+@query("STR02_stream", COUNTS)
+def str02_stream(t):
+    base = work_folder(t.spark, "counts")
+    jobs.sync_snapshots(_counts(jobs.read_files(t.spark, t.folder, "events.parquet")), base, f"{base}/state").awaitTermination()
+    return jobs.synced(t.spark, base).withColumn("stock", F.col("stock").cast("int"))
 
 
 ERRORS = "select 'user-' || user_id as alert_key, 'EMAIL' as channel, event_id as id, ts from events where event_type = 'error'"
@@ -73,7 +87,7 @@ def str04(t):
 def str04_stream(t):
     base = work_folder(t.spark, "alerts")
     jobs.dedupe_job(_errors(jobs.read_files(t.spark, t.folder, "events.parquet")), base, f"{base}/state").awaitTermination()
-    return jobs.latest_version(t.spark, f"{base}/table")
+    return jobs.sent_alerts(t.spark, base)
 
 
 ROUTED = """select product_id, type, severity, type || ':' || product_id as alert_key, unnest(list_filter([case when send_email then 'EMAIL' end, case when severity in ('CRITICAL', 'HIGH') then 'SLACK' end,
@@ -99,15 +113,26 @@ def str06(t):
     return jobs.daily_totals(jobs.sales_stream(t.spark, t.folder))
 
 
-@query("STR07", """select p_brand as brand, w as days, cast(date + k as date) as until, cast(sum(quantity_sold) as bigint) as units, sum(quantity_sold)::double / w as rate
-  from sales join part on product_id = p_partkey, (select unnest([7, 30]) as w) g, (select unnest(range(1, 31))::int as k) s where k <= w group by p_brand, w, date + k""", "rate")
+RATES = """select {key}, w as days, cast(date + k as date) as until, cast(sum(quantity_sold) as bigint) as units, sum(quantity_sold)::double / w as rate
+  from sales {brand}, (select unnest([7, 30]) as w) g, (select unnest(range(1, 31))::int as k) s where k <= w group by {by}, w, date + k"""
+
+
+def _rates(t, feed, key: str):
+    base = work_folder(t.spark, "rates")
+    jobs.day_sums(feed, [key], base, f"{base}/state").awaitTermination()
+    kind = {key: feed.schema[key].dataType.simpleString()}
+    return jobs.sliding_rate(jobs.summed(t.spark, base, kind), key, (7, 30))
+
+
+@query("STR07", RATES.format(key="p_brand as brand", brand="join part on product_id = p_partkey", by="p_brand"), "rate")
 def str07(t):
     brand = t.raw("part").select(F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("brand"))
-    base = work_folder(t.spark, "rates")
-    feed = jobs.sales_stream(t.spark, t.folder).join(brand, "product_id")
-    jobs.partial_sums(feed, ["brand"], f"{base}/parts", f"{base}/state").awaitTermination()
-    days = jobs.summed(t.spark, f"{base}/parts", ["brand"])
-    return jobs.sliding_rate(days, "brand", 7).unionByName(jobs.sliding_rate(days, "brand", 30))
+    return _rates(t, jobs.sales_stream(t.spark, t.folder).join(brand, "product_id"), "brand")
+
+
+@query("STR07_part", RATES.format(key="product_id", brand="", by="product_id"), "rate")
+def str07_part(t):
+    return _rates(t, jobs.sales_stream(t.spark, t.folder), "product_id")
 
 
 @query("STR08", """with b as (select product_id, cast(sum(quantity_sold) as double) / count(*) as mean, sqrt(greatest(0.0::double, cast(sum(quantity_sold * quantity_sold) as double) / count(*)

@@ -1,11 +1,10 @@
 """Stock ledger, snapshot sync, alerting and roll-ups as streams.
 
 A table is read as a folder of files (or a single file) in any order, with a limit on bytes per
-trigger.  Nothing is dropped for being late.  Sums are kept as partial sums per batch and added
-when they are read.  Results that depend on the order of events (ledger, alert suppression) keep
-the log, dealt by key, and replay the keys that a batch touches in event time, so a late row takes
-its place and corrects what came after it.  Every batch writes under its own number, so a retry
-replaces what it wrote before.
+trigger.  Nothing is dropped for being late.  Results that depend on the order of events (ledger,
+alert suppression) are keyed state by stretches of time, so a late row takes its place and corrects
+what came after it.  Tables are merged part by part under the number of the batch, so a batch
+rewrites what it touches and a retry changes nothing.
 """
 
 from __future__ import annotations
@@ -16,13 +15,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.window import Window
+
 from granary.functions.prefix import running_totals, work_folder
-from granary.streaming.dedupe import dedupe_log
+from granary.streaming.parts import PartTable, bucket, month, newest
+from granary.streaming.state import HOUR, Ledger, Suppression
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BYTES_PER_TRIGGER = 1 << 30
-#: Partitions of the replayed logs; a batch reads those that hold its keys.
-LOG_PARTS = 64
+#: Parts of tables that hold one row per key; a batch rewrites those that its keys fall in.
+BUCKETS = 64
 
 
 def read_files(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -63,41 +65,45 @@ def latest_version(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(f"{path}/version={max(numbers)}") if numbers else None
 
 
-# ---- replayed logs -----------------------------------------------------------------
+def keyed(rows: DataFrame, keys: list[str], processor, shape: str) -> DataFrame:
+    """Stream of what ``processor`` gives for the rows of each key; its state lies in RocksDB."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, shape, "update", "none")
+
+
+# ---- stock ledger ---------------------------------------------------------------
+
+LEDGER = "sku long, events long, floor long, total long"
 
-def replayed(stream: DataFrame, keys: list[str], result: Callable[[DataFrame], DataFrame], path: str, checkpoint: str,
-             interval: str | None = None, horizon: tuple[str, dt.timedelta] | None = None):
-    """Keep ``result(log)``, computed key by key, as a table of versions.
 
-    A batch is added to the log, the keys that it holds are computed again from their whole log,
-    and the other keys are copied from the version before.  ``horizon`` (time column, age) leaves
-    out log rows that are older than the newest row of the batch by more than that.
+def ledger_job(events: DataFrame, path: str, checkpoint: str, interval: str | None = None, stretch: int = HOUR,
+               buckets: int = BUCKETS):
+    """Keeps what all events of a sku (columns sku, ts, event_id, delta) do to its stock; see ``ledger_stock``.
+
+    ``stretch`` is the length in microseconds of the state's entries.
     """
-    spark = stream.sparkSession
-    part = F.pmod(F.xxhash64(*keys), F.lit(LOG_PARTS)).alias("part")
+    table = PartTable(events.sparkSession, path, LEDGER)
+    never = F.lit(-(2 ** 62))  # rows without a time come first, as they do in the batch form
+    rows = events.select(
+        F.col("sku").cast("long").alias("sku"), F.coalesce(F.unix_micros("ts"), never).alias("us"),
+        F.coalesce(F.col("event_id").cast("long"), never).alias("event_id"), F.coalesce(F.col("delta").cast("long"), F.lit(0)).alias("delta"))
 
     def step(batch: DataFrame, number: int) -> None:
-        (batch.select("*", part).write.mode("overwrite").partitionBy("part").parquet(f"{path}/log/batch={number}"))
-        parts = [f"{path}/log/batch={n}" for n in range(number + 1)]  # not those of a batch that was given up
-        log = spark.read.option("basePath", f"{path}/log").parquet(*parts).select(*batch.columns, "part")
-        if horizon:
-            newest = batch.agg(F.max(horizon[0]) - F.lit(horizon[1])).first()[0]
-            log = log.filter(F.col(horizon[0]) >= F.lit(newest)) if newest is not None else log
-        touched = spark.read.parquet(f"{path}/log/batch={number}").select("part", *keys).distinct()
-        new = result(log.join(touched, ["part", *keys], "left_semi").drop("part"))
-        if number:
-            old = spark.read.parquet(f"{path}/table/version={number - 1}")
-            new = old.join(touched.select(*keys), keys, "left_anti").select(*new.columns).unionByName(new)
-        new.write.mode("overwrite").parquet(f"{path}/table/version={number}")
-
-    return run_batches(stream, step, checkpoint, interval)
+        # A sku is in one row of a batch, which replaces the one before.
+        table.merge(batch, bucket(["sku"], buckets), number, newest(["sku"], ["events", "floor", "total"], []))
 
+    return run_batches(keyed(rows, ["sku"], Ledger(stretch), LEDGER), step, checkpoint, interval)
 
-# ---- stock ledger ---------------------------------------------------------------
 
-def ledger_job(events: DataFrame, path: str, checkpoint: str, opening: DataFrame | None = None, interval: str | None = None):
-    """Stock per sku after every batch (columns sku, ts, event_id, delta); see ``ledger_batch``."""
-    return replayed(events, ["sku"], lambda log: ledger_batch(log, opening), path, checkpoint, interval)
+def ledger_stock(spark: SparkSession, path: str, opening: DataFrame | None = None) -> DataFrame:
+    """Stock per sku after the last batch; with ``opening`` (sku, stock), unknown skus are left out."""
+    rows = PartTable(spark, path, LEDGER).read()
+    if opening is None:
+        start = F.lit(0)
+    else:
+        rows = rows.join(opening.groupBy("sku").agg(F.max("stock").alias("start")), "sku")
+        start = F.col("start")
+    return rows.select("sku", "events", F.greatest("floor", start + F.col("total")).cast("long").alias("stock"))
 
 
 def known_skus(events: DataFrame, opening: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -135,38 +141,60 @@ def event_deltas(events: DataFrame) -> DataFrame:
 
 # ---- snapshots --------------------------------------------------------------------
 
-def latest_counts(counts: DataFrame) -> DataFrame:
+def latest_counts(counts: DataFrame, *more: str) -> DataFrame:
     """Last absolute count per sku (ties by event id)."""
     return counts.groupBy("sku").agg(
-        F.max_by(F.struct("stock", "ts"), F.struct("ts", "event_id")).alias("c")).select("sku", "c.*")
+        F.max_by(F.struct("stock", "ts", *more), F.struct("ts", "event_id")).alias("c")).select("sku", "c.*")
 
 
-def sync_snapshots(counts: DataFrame, path: str, checkpoint: str):
-    """Keep a table of latest counts; each version is written under its batch number.
+COUNTS = "sku long, stock long, ts timestamp, event_id long"
 
-    A retried batch rewrites its own version from the one before, so nothing doubles.
-    """
-    spark = counts.sparkSession
 
-    def merge(batch: DataFrame, number: int) -> None:
-        new = batch.select("sku", "stock", "ts", "event_id")
-        if number > 0:
-            new = new.unionByName(spark.read.parquet(f"{path}/version={number - 1}"))
-        best = F.max_by(F.struct("stock", "ts", "event_id"), F.struct("ts", "event_id"))
-        new.groupBy("sku").agg(best.alias("c")).select("sku", "c.*").write.mode("overwrite").parquet(
-            f"{path}/version={number}")
+def sync_snapshots(counts: DataFrame, path: str, checkpoint: str, interval: str | None = None, buckets: int = BUCKETS):
+    """Keeps the latest count per sku (ties by event id); a batch rewrites the buckets of its skus."""
+    table = PartTable(counts.sparkSession, path, COUNTS)
+
+    def step(batch: DataFrame, number: int) -> None:
+        rows = batch.select("sku", F.col("stock").cast("long").alias("stock"), "ts", "event_id")
+        table.merge(latest_counts(rows, "event_id"), bucket(["sku"], buckets), number,
+                    newest(["sku"], ["stock", "ts", "event_id"], ["ts", "event_id"]))
+
+    return run_batches(counts, step, checkpoint, interval)
+
 
-    return (counts.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+def synced(spark: SparkSession, path: str) -> DataFrame:
+    """Latest counts after the last batch."""
+    return PartTable(spark, path, COUNTS).read().select("sku", "stock", "ts")
 
 
 # ---- alerting ---------------------------------------------------------------------
 
+FATES = "alert_key string, channel string, id long, ts timestamp, sent boolean"
+
+
 def dedupe_job(alerts: DataFrame, path: str, checkpoint: str, minutes: int = 120, interval: str | None = None,
-               horizon: dt.timedelta | None = None):
-    """Alerts that go out (columns alert_key, channel, id, ts), corrected when an earlier one arrives late."""
-    return replayed(alerts, ["alert_key", "channel"], lambda log: dedupe_log(log, minutes), path, checkpoint, interval,
-                    ("ts", horizon) if horizon else None)
+               horizon: dt.timedelta | None = None, stretch_windows: int = 12):
+    """Alerts that go out (columns alert_key, channel, id, ts), corrected when an earlier one arrives late.
+
+    Alerts without a time never go out.  ``horizon`` forgets what is older than a key's newest alert by more.
+    """
+    table = PartTable(alerts.sparkSession, path, FATES)
+    window = minutes * 60 * 1_000_000
+    age = None if horizon is None else horizon // dt.timedelta(microseconds=1)
+    rows = alerts.select("alert_key", "channel", F.col("id").cast("long").alias("id"), F.unix_micros("ts").alias("us")).where("us is not null")
+    changes = keyed(rows, ["alert_key", "channel"], Suppression(window, window * stretch_windows, age),
+                    "alert_key string, channel string, id long, us long, sent boolean")
+
+    def step(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumn("ts", F.timestamp_micros("us"))
+        table.merge(rows, month("ts"), number, newest(["alert_key", "channel", "id"], ["ts", "sent"], []))
+
+    return run_batches(changes, step, checkpoint, interval)
+
+
+def sent_alerts(spark: SparkSession, path: str) -> DataFrame:
+    """Alerts that go out, as known after the last batch."""
+    return PartTable(spark, path, FATES).read().where("sent").drop("sent")
 
 
 def route(alerts: DataFrame) -> DataFrame:
@@ -188,37 +216,65 @@ def evaluate_alerts(sales_stream: DataFrame, evaluate, path: str, checkpoint: st
 
 # ---- roll-ups ----------------------------------------------------------------------
 
-def partial_sums(sales: DataFrame, keys: list[str], path: str, checkpoint: str, interval: str | None = None):
-    """Sums per day and ``keys`` of every batch, written under its number; a late row just adds to its day."""
+_SUMS = {"quantity": "long", "revenue": "decimal(38,4)", "rows": "long"}
+
+
+def _day_table(spark: SparkSession, path: str, keys: dict[str, str]) -> PartTable:
+    columns = {"sale_date": "date"} | keys | _SUMS
+    return PartTable(spark, path, ", ".join(f"`{n}` {t}" for n, t in columns.items()))
+
+
+def day_sums(sales: DataFrame, keys: list[str], path: str, checkpoint: str, interval: str | None = None):
+    """Sums per day and ``keys``; a batch adds to the months that it holds, however late."""
+    kinds = {k: sales.schema[k].dataType.simpleString() for k in keys}
+    table = _day_table(sales.sparkSession, path, kinds)
+
+    def added(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("sale_date", *keys).agg(*[F.sum(c).cast(t).alias(c) for c, t in _SUMS.items()])
+
     def step(batch: DataFrame, number: int) -> None:
-        batch.groupBy(F.to_date("ts").alias("sale_date"), *keys).agg(
-            F.sum("quantity_sold").alias("quantity"), F.sum("revenue").alias("revenue"), F.count(F.lit(1)).alias("rows"),
-        ).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        days = batch.groupBy(F.to_date("ts").alias("sale_date"), *keys).agg(
+            F.sum("quantity_sold").alias("quantity"), F.sum("revenue").cast(_SUMS["revenue"]).alias("revenue"), F.count(F.lit(1)).alias("rows"))
+        table.merge(days, month("sale_date"), number, added)
 
     return run_batches(sales, step, checkpoint, interval)
 
 
-def summed(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Totals per day and ``keys`` of all batches so far."""
-    parts = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
-    return parts.groupBy("sale_date", *keys).agg(
-        F.sum("quantity").alias("quantity"), F.sum("revenue").alias("revenue"), F.sum("rows").alias("rows"))
+def summed(spark: SparkSession, path: str, keys: dict[str, str]) -> DataFrame:
+    """Totals per day and ``keys`` (name to type) after the last batch."""
+    return _day_table(spark, path, keys).read()
 
 
 def daily_totals(sales: DataFrame, folder: str | None = None) -> DataFrame:
     """Daily totals of an append feed (columns ts, quantity_sold, revenue)."""
     base = folder or work_folder(sales.sparkSession, "daily")
-    partial_sums(sales, [], f"{base}/parts", f"{base}/state").awaitTermination()
-    return summed(sales.sparkSession, f"{base}/parts", []).select(
+    day_sums(sales, [], base, f"{base}/state").awaitTermination()
+    return summed(sales.sparkSession, base, {}).select(
         "sale_date", F.col("quantity").alias("total_quantity"), F.col("revenue").cast("double").alias("total_revenue"),
         F.col("rows").alias("transactions"))
 
 
-def sliding_rate(days_sold: DataFrame, key: str, days: int = 30) -> DataFrame:
-    """Mean daily units of the ``days`` before each day; the input is summed per day, so each row enters once."""
-    day = days_sold.withColumn("until", F.explode(F.sequence(F.date_add("sale_date", 1), F.date_add("sale_date", days))))
-    return day.groupBy(key, "until").agg(F.sum("quantity").alias("units")).select(
-        key, F.lit(days).alias("days"), "until", "units", (F.col("units").cast("double") / days).alias("rate"))
+def sliding_rate(days_sold: DataFrame, key: str, spans: tuple[int, ...] = (30,)) -> DataFrame:
+    """Mean daily units of the ``spans`` days before each day that has sales in them.
+
+    The input has one row per key and day.  Days without sales stand in only up to the next sale or the
+    longest span, and all spans are frames over one sort.
+    """
+    longest = max(spans)
+    by_day = Window.partitionBy(key).orderBy("d")
+    dated = days_sold.where("sale_date is not null").select(key, F.unix_date("sale_date").alias("d"), F.col("quantity").cast("long").alias("quantity"))
+    upto = F.least(F.coalesce(F.lead("d").over(by_day) - 1, F.col("d") + longest), F.col("d") + longest)
+    days = dated.withColumn("upto", upto).withColumn("day", F.explode(F.sequence("d", "upto"))).select(
+        key, F.col("day").alias("d"), F.when(F.col("day") == F.col("d"), F.col("quantity")).alias("quantity"),
+        F.when(F.col("day") == F.col("d"), 1).alias("sold"))
+    spanned = [F.struct(F.lit(n).alias("days"), F.sum("quantity").over(by_day.rangeBetween(-n, -1)).alias("units"),
+                        F.count("sold").over(by_day.rangeBetween(-n, -1)).alias("seen")) for n in spans]
+    # Explosion of a few spans after the frames, so that the rows are sorted once.
+    each = days.select(key, "d", *[s.alias(f"s{k}") for k, s in enumerate(spanned)]).select(
+        key, "d", F.explode(F.array(*[f"s{k}" for k in range(len(spans))])).alias("s")).where("s.seen > 0")
+    units = F.col("s.units")
+    return each.select(key, F.col("s.days").alias("days"), F.date_from_unix_date("d").alias("until"), units.alias("units"),
+                       (units.cast("double") / F.col("s.days")).alias("rate"))
 
 
 def flag_anomalies(sales: DataFrame, baseline: DataFrame, sensitivity: float = 2.0) -> DataFrame:
