@@ -1,7 +1,7 @@
 """Forecasts for every product at once.
 
 Models that are sums or joins (seasonal naive, decomposition, fallback, baseline) are
-Spark plans.  Only the Holt-Winters recursion runs in grouped pandas, on weekly rows.
+Spark plans.  The Holt-Winters recursion runs on matrices of series (``holtwinters``).
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.mathx import ratio, t_passes
 from granary.functions.prefix import materialise
+from granary.operators import holtwinters as hw
 from granary.operators import series as ts
 
 KEY = "product_id"
@@ -78,50 +79,9 @@ def holt_winters(y: np.ndarray, horizon: int, period: int, seasonal: str = "add"
     return aic, ahead, float(resid.std())
 
 
-def _candidates(y: np.ndarray, horizon: int, period: int):
-    """Seasonal (both kinds), monthly, damped and plain trends; the lowest AIC wins."""
-    lifted = y + 0.1 if (y == 0).any() else y
-    plans = []
-    if period and len(y) >= period + 2:
-        plans.append(("seasonal-add", lifted, period, "add", 1.0))
-        if not (y == 0).any():
-            plans.append(("seasonal-mul", y, period, "mul", 1.0))
-    if period > 4 and len(y) >= 6:
-        plans.append(("monthly-add", lifted, 4, "add", 1.0))
-    plans += [("damped", y, 0, "add", 0.9), ("linear", y, 0, "add", 1.0)]
-    scored = []
-    for name, data, m, kind, damp in plans:
-        aic, ahead, sd = holt_winters(data, horizon, m, kind, damp)
-        if np.isfinite(aic) and np.isfinite(ahead).all():
-            scored.append((aic, name, ahead, sd))
-    return min(scored, key=lambda s: s[0])
-
-
-def season_length(n: int, grain: str) -> int:
-    """Periods per season by grain and history length (0 = none)."""
-    if grain == "biweekly":
-        return 6 if n >= 12 else 3 if n >= 6 else 0
-    return 13 if n >= 26 else 4 if n >= 8 else 0
-
-
-def _fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("date")
-    y = pdf["smooth"].to_numpy(dtype=float)
-    h = int(pdf["horizon"].iloc[0])
-    _, name, ahead, sd = _candidates(y, h, season_length(len(y), pdf["grain"].iloc[0]))
-    ahead = np.maximum(ahead, 0)
-    band = 1.96 * sd * (1 + 0.02 * np.arange(h))
-    return pd.DataFrame({
-        KEY: pdf[KEY].iloc[0], "step": np.arange(1, h + 1), "forecast": ahead,
-        "lower": np.maximum(ahead - band, 0), "upper": np.maximum(ahead + band, 0),
-        "model": f"holt_winters:{name}"})
-
-
 def fit_holt_winters(periods: DataFrame) -> DataFrame:
-    """``periods`` has product_id, date, smooth, grain, horizon; a group is a calendar of periods."""
-    kind = dict(periods.dtypes)[KEY]
-    return spread(periods.select(KEY, "date", "smooth", "grain", "horizon")).groupBy(KEY).applyInPandas(
-        _fit_group, FORECAST.format(key=kind))
+    """``periods`` has product_id, date, smooth, grain, horizon; a series is a calendar of periods."""
+    return hw.forecast_all(periods, KEY, "smooth", hw.best_of, lambda k: 1.96 * (1 + 0.02 * k), "holt_winters:")
 
 
 # ---- seasonal naive and decomposition ------------------------------------------
@@ -350,27 +310,10 @@ def first_generation(daily: DataFrame, horizon: int = 30) -> DataFrame:
     return cro.unionByName(avg).unionByName(hw)
 
 
-def _fit_days(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Additive season of 7 days, or a plain line where two weeks are not there."""
-    pdf = pdf.sort_values("date")
-    y = pdf["qty"].to_numpy(dtype=float)
-    h = int(pdf["horizon"].iloc[0])
-    if len(y) >= 14:
-        _, ahead, sd = holt_winters(y, h, 7)
-        name = "holt_winters:7"
-    else:
-        line = np.polyfit(np.arange(len(y)), y, 1) if len(y) > 1 else np.array([0.0, y[0]])
-        ahead, sd, name = np.polyval(line, np.arange(len(y), len(y) + h)), float(y.std()), "linear"
-    ahead = np.maximum(ahead, 0)
-    band = 1.96 * sd * np.sqrt(np.arange(1, h + 1))
-    return pd.DataFrame({KEY: pdf[KEY].iloc[0], "step": np.arange(1, h + 1), "forecast": ahead,
-                         "lower": np.maximum(ahead - band, 0), "upper": ahead + band, "model": name})
-
-
 def seasonal_days(filled: DataFrame, horizon: int = 30) -> DataFrame:
-    kind = dict(filled.dtypes)[KEY]
-    return spread(filled.select(KEY, "date", "qty").withColumn("horizon", F.lit(horizon))).groupBy(KEY).applyInPandas(
-        _fit_days, FORECAST.format(key=kind))
+    """Season of 7 days on zero-filled daily rows."""
+    rows = filled.select(KEY, "date", "qty", F.lit("daily").alias("grain"), F.lit(horizon).alias("horizon"))
+    return hw.forecast_all(rows, KEY, "qty", hw.weekly_seasons, lambda k: 1.96 * np.sqrt(k + 1))
 
 
 # ---- model comparison ---------------------------------------------------------------
