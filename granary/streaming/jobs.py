@@ -2,7 +2,7 @@
 
 A table is read as a folder of files (or a single file) in any order, with a limit on bytes per
 trigger.  Nothing is dropped for being late.  Results that depend on the order of events (ledger,
-alert suppression) are keyed state by stretches of time, so a late row takes its place and corrects
+alert suppression) are keyed state with a summary of every run of time, so a late row takes its place and corrects
 what came after it.  Tables are merged part by part under the number of the batch, so a batch
 rewrites what it touches and a retry changes nothing.
 """
@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from granary.functions.prefix import running_totals, work_folder
 from granary.streaming.parts import PartTable, bucket, month, newest
-from granary.streaming.state import HOUR, Ledger, Suppression
+from granary.streaming.state import LEAF, NEVER, Ledger, Suppression
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BYTES_PER_TRIGGER = 1 << 30
@@ -76,14 +76,14 @@ def keyed(rows: DataFrame, keys: list[str], processor, shape: str) -> DataFrame:
 LEDGER = "sku long, events long, floor long, total long"
 
 
-def ledger_job(events: DataFrame, path: str, checkpoint: str, interval: str | None = None, stretch: int = HOUR,
+def ledger_job(events: DataFrame, path: str, checkpoint: str, interval: str | None = None, leaf: int = LEAF,
                buckets: int = BUCKETS):
     """Keeps what all events of a sku (columns sku, ts, event_id, delta) do to its stock; see ``ledger_stock``.
 
-    ``stretch`` is the length in microseconds of the state's entries.
+    ``leaf`` is the number of events of an entry of the state.
     """
     table = PartTable(events.sparkSession, path, LEDGER)
-    never = F.lit(-(2 ** 62))  # rows without a time come first, as they do in the batch form
+    never = F.lit(NEVER)  # rows without a time come first, as they do in the batch form
     rows = events.select(
         F.col("sku").cast("long").alias("sku"), F.coalesce(F.unix_micros("ts"), never).alias("us"),
         F.coalesce(F.col("event_id").cast("long"), never).alias("event_id"), F.coalesce(F.col("delta").cast("long"), F.lit(0)).alias("delta"))
@@ -92,7 +92,7 @@ def ledger_job(events: DataFrame, path: str, checkpoint: str, interval: str | No
         # A sku is in one row of a batch, which replaces the one before.
         table.merge(batch, bucket(["sku"], buckets), number, newest(["sku"], ["events", "floor", "total"], []))
 
-    return run_batches(keyed(rows, ["sku"], Ledger(stretch), LEDGER), step, checkpoint, interval)
+    return run_batches(keyed(rows, ["sku"], Ledger(leaf), LEDGER), step, checkpoint, interval)
 
 
 def ledger_stock(spark: SparkSession, path: str, opening: DataFrame | None = None) -> DataFrame:
@@ -173,7 +173,7 @@ FATES = "alert_key string, channel string, id long, ts timestamp, sent boolean"
 
 
 def dedupe_job(alerts: DataFrame, path: str, checkpoint: str, minutes: int = 120, interval: str | None = None,
-               horizon: dt.timedelta | None = None, stretch_windows: int = 12):
+               horizon: dt.timedelta | None = None, leaf: int = LEAF):
     """Alerts that go out (columns alert_key, channel, id, ts), corrected when an earlier one arrives late.
 
     Alerts without a time never go out.  ``horizon`` forgets what is older than a key's newest alert by more.
@@ -182,7 +182,7 @@ def dedupe_job(alerts: DataFrame, path: str, checkpoint: str, minutes: int = 120
     window = minutes * 60 * 1_000_000
     age = None if horizon is None else horizon // dt.timedelta(microseconds=1)
     rows = alerts.select("alert_key", "channel", F.col("id").cast("long").alias("id"), F.unix_micros("ts").alias("us")).where("us is not null")
-    changes = keyed(rows, ["alert_key", "channel"], Suppression(window, window * stretch_windows, age),
+    changes = keyed(rows, ["alert_key", "channel"], Suppression(window, age, leaf),
                     "alert_key string, channel string, id long, us long, sent boolean")
 
     def step(batch: DataFrame, number: int) -> None:

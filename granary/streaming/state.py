@@ -1,10 +1,10 @@
 """Keyed state of the stock ledger and of alert suppression.
 
 Both depend on the order of events, and events come in any order.  The state of a key holds its
-events by stretch of time, and for every stretch a summary that tells what the stretch does to
-whatever stood before it.  A late row changes its own stretch; what follows is taken from the
-summaries.  A batch therefore reads the stretches that it has rows for and one row of summaries
-per key, whatever the age of the stream.
+events in leaves, runs of time that are split when they grow beyond ``LEAF`` rows, and one table
+with a row per leaf that tells what the leaf does to whatever stood before it.  A late row changes
+its own leaf; what follows is taken from the table.  A batch therefore reads the leaves that it has
+rows for and one table per key, whatever the age of the stream and the share of the key.
 
 A key's rows of one micro-batch meet in one task; bytes per trigger bound them.
 """
@@ -19,9 +19,10 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 NEVER = -(2 ** 62)
-HOUR = 3_600_000_000
+#: Rows of a leaf; a fuller one is split.
+LEAF = 1024
 
-_STRETCH = StructType([StructField("stretch", LongType())])
+_START = StructType([StructField("start", LongType())])
 _TABLE = StructType([StructField("rows", BinaryType())])
 
 
@@ -34,29 +35,26 @@ def _unpacked(value: tuple | None, columns: int) -> list[np.ndarray]:
     return list(raw.reshape(columns, -1))
 
 
-def _dealt(columns: list[np.ndarray], length: int) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """(stretch, columns) of rows whose first column is a time."""
-    stretch = columns[0] // length
-    order = np.argsort(stretch, kind="stable")
-    cuts = np.flatnonzero(np.diff(stretch[order])) + 1
-    for rows in np.split(order, cuts):
-        if len(rows):
-            yield int(stretch[rows[0]]), [c[rows] for c in columns]
-
-
 def _collected(batches: Iterator[pd.DataFrame], names: list[str]) -> list[np.ndarray]:
     parts = [[b[n].to_numpy("int64") for n in names] for b in batches]
     return [np.concatenate(c) for c in zip(*parts)] if parts else [np.empty(0, "int64") for _ in names]
 
 
-def _with(stretches: np.ndarray, summary: list[np.ndarray], stretch: int, values: tuple[int, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The summaries with those of one stretch replaced or put in its place."""
-    at = int(np.searchsorted(stretches, stretch))
-    if at < len(stretches) and stretches[at] == stretch:
-        for c, v in zip(summary, values):
-            c[at] = v
-        return stretches, summary
-    return np.insert(stretches, at, stretch), [np.insert(c, at, v) for c, v in zip(summary, values)]
+def _dealt(starts: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(leaf, columns) of rows whose first column is a time; a leaf goes on to the start of the next."""
+    leaf = np.searchsorted(starts, columns[0], side="right") - 1
+    order = np.argsort(leaf, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1):
+        if len(rows):
+            yield int(leaf[rows[0]]), [c[rows] for c in columns]
+
+
+def _split(us: np.ndarray, size: int) -> list[slice]:
+    """The rows of a leaf as one piece, or as pieces of about half its size; equal times stay together."""
+    if len(us) <= size:
+        return [slice(0, len(us))]
+    cuts = sorted({int(np.searchsorted(us, us[at], side="left")) for at in range(0, len(us), max(size // 2, 1))})
+    return [slice(x, y) for x, y in zip(cuts, [*cuts[1:], len(us)])]
 
 
 # ---- ledger ------------------------------------------------------------------------
@@ -76,29 +74,42 @@ def folded(floors: np.ndarray, totals: np.ndarray) -> tuple[int, int]:
 class Ledger(StatefulProcessor):
     """Rows (us, event_id, delta) of a sku; gives (sku, events, floor, total) of all its events so far.
 
-    State: the events of each stretch in order of (us, event_id), and one table of (stretch, events,
-    floor, total).  Equal rows are events of their own.
+    A leaf holds events in order of (us, event_id), its row in the table has (start, events, floor,
+    total).  Equal rows are events of their own.
     """
 
-    def __init__(self, length: int = HOUR):
-        self.length = length
+    def __init__(self, leaf: int = LEAF):
+        self.leaf = leaf
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.events = handle.getMapState("events", _STRETCH, _TABLE)
+        self.events = handle.getMapState("events", _START, _TABLE)
         self.runs = handle.getValueState("runs", _TABLE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        stretches, *summary = _unpacked(self.runs.get(), 4)
-        summary = [c.copy() for c in summary]
-        for stretch, new in _dealt(_collected(rows, ["us", "event_id", "delta"]), self.length):
-            held = _unpacked(self.events.getValue((stretch,)), 3)
-            us, event, delta = (np.concatenate(c) for c in zip(held, new))
-            order = np.lexsort((event, us))
-            self.events.updateValue((stretch,), _packed(us[order], event[order], delta[order]))
-            stretches, summary = _with(stretches, summary, stretch, (len(us), *run_pair(delta[order])))
-        self.runs.update(_packed(stretches, *summary))
-        floor, total = folded(summary[1], summary[2])
-        yield pd.DataFrame({"sku": [key[0]], "events": [int(summary[0].sum())], "floor": [floor], "total": [total]})
+        table = np.stack(_unpacked(self.runs.get(), 4))
+        if not table.size:
+            table = np.array([[NEVER], [0], [0], [0]])
+        pieces, done = [], 0
+        for leaf, new in _dealt(table[0], _collected(rows, ["us", "event_id", "delta"])):
+            pieces += [table[:, done:leaf], self._merged(int(table[0, leaf]), new)]
+            done = leaf + 1
+        table = np.concatenate([*pieces, table[:, done:]], axis=1)
+        self.runs.update(_packed(*table))
+        floor, total = folded(table[2], table[3])
+        yield pd.DataFrame({"sku": [key[0]], "events": [int(table[1].sum())], "floor": [floor], "total": [total]})
+
+    def _merged(self, start: int, new: list[np.ndarray]) -> np.ndarray:
+        """Rows of the table for the leaf with new events, one or more."""
+        held = _unpacked(self.events.getValue((start,)), 3)
+        us, event, delta = (np.concatenate(c) for c in zip(held, new))
+        order = np.lexsort((event, us))
+        us, event, delta = us[order], event[order], delta[order]
+        out = []
+        for k, piece in enumerate(_split(us, self.leaf)):
+            at = int(us[piece.start]) if k else start
+            self.events.updateValue((at,), _packed(us[piece], event[piece], delta[piece]))
+            out.append((at, piece.stop - piece.start, *run_pair(delta[piece])))
+        return np.array(out).T
 
     def close(self) -> None:
         pass
@@ -118,72 +129,73 @@ def sent_positions(at: np.ndarray, blocked_until: int, window: int) -> np.ndarra
 class Suppression(StatefulProcessor):
     """Rows (us, id) of a key and channel; gives (alert_key, channel, id, us, sent) of alerts whose fate changed.
 
-    State: the alerts of each stretch in order of (us, id) with a flag for those sent, and one table of
-    (stretch, last alert sent up to its end).  A batch works on the stretches that it enters, and on
-    those behind them until the last alert sent is what it was.
+    A leaf holds alerts in order of (us, id) with a flag for those sent, its row in the table has (start,
+    last alert sent up to its end).  A batch works on the leaves that it enters, and on those behind
+    them until the last alert sent is what it was.
 
-    With ``horizon``, rows older than the key's newest row by more than that are left out, and stretches
+    With ``horizon``, rows older than the key's newest row by more than that are left out, and leaves
     that ended before are forgotten.
     """
 
-    def __init__(self, window: int, length: int, horizon: int | None = None):
-        self.window, self.length, self.horizon = window, length, horizon
+    def __init__(self, window: int, horizon: int | None = None, leaf: int = LEAF):
+        self.window, self.horizon, self.leaf = window, horizon, leaf
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.alerts = handle.getMapState("alerts", _STRETCH, _TABLE)
+        self.alerts = handle.getMapState("alerts", _START, _TABLE)
         self.chain = handle.getValueState("chain", _TABLE)
 
-    def _forget(self, us: np.ndarray, stretches: np.ndarray, lasts: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-        """(oldest time that counts, chain without what ended before it)."""
-        if self.horizon is None or not len(us):
-            return NEVER, stretches, lasts
-        newest = int(us.max())
-        if len(stretches):
-            newest = max(newest, int(_unpacked(self.alerts.getValue((int(stretches[-1]),)), 3)[0].max(initial=NEVER)))
-        oldest = newest - self.horizon
-        # The last stretch that ended before stays in the chain: it says until when sending is blocked.
-        gone = int(np.searchsorted((stretches + 1) * self.length, oldest, side="right"))
-        for s in stretches[:gone].tolist():
-            self.alerts.removeKey((s,))
-        return oldest, stretches[max(gone - 1, 0):], lasts[max(gone - 1, 0):]
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        stretches, lasts = _unpacked(self.chain.get(), 2)
+        starts, lasts = _unpacked(self.chain.get(), 2)
+        if not len(starts):
+            starts, lasts = np.array([NEVER]), np.array([NEVER])
         us, ids = _collected(rows, ["us", "id"])
-        oldest, stretches, lasts = self._forget(us, stretches, lasts)
+        oldest, starts, lasts = self._forget(us, starts, lasts)
         counts = us >= oldest
-        entered = dict(_dealt([us[counts], ids[counts]], self.length))
-        order = sorted({*stretches.tolist(), *entered})
-        before = dict(zip(stretches.tolist(), lasts.tolist()))
+        entered = dict(_dealt(starts, [us[counts], ids[counts]]))
         out: list[pd.DataFrame] = []
-        last, was = NEVER, NEVER  # the last alert sent before a stretch, now and before this batch
-        chain = []
-        for s in order:
-            if s in entered or last != was:
-                last = self._settled(key, s, entered.get(s), last, out)
-            elif s in before:
-                last = before[s]
-            was = before.get(s, was)
-            chain.append((s, last))
-        self.chain.update(_packed(*(np.array(c, "int64") for c in zip(*chain))) if chain else _packed([], []))
+        chain: list[tuple[int, int]] = []
+        last, was = NEVER, NEVER  # the last alert sent before a leaf, now and before this batch
+        for leaf, (start, before) in enumerate(zip(starts.tolist(), lasts.tolist())):
+            if leaf in entered or last != was:
+                last = self._settled(key, start, entered.get(leaf), last, out, chain)
+            else:
+                last = before
+                chain.append((start, last))
+            was = before
+        self.chain.update(_packed(*np.array(chain).T))
         yield from out
 
-    def _settled(self, key, stretch: int, new: list[np.ndarray] | None, last: int, out: list[pd.DataFrame]) -> int:
-        """Decides a stretch anew, notes what changed, and returns the last alert sent up to its end."""
-        us, ids, was = _unpacked(self.alerts.getValue((stretch,)), 3)
+    def _forget(self, us: np.ndarray, starts: np.ndarray, lasts: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        """(oldest time that counts, table without the leaves that ended before it)."""
+        if self.horizon is None or not len(us):
+            return NEVER, starts, lasts
+        held = _unpacked(self.alerts.getValue((int(starts[-1]),)), 3)[0]
+        oldest = max(int(us.max()), int(held.max(initial=NEVER))) - self.horizon
+        gone = int(np.searchsorted(starts[1:], oldest, side="right"))
+        for s in starts[:gone].tolist():
+            self.alerts.removeKey((s,))
+        # The last of them stays in the table, empty: it says until when sending is blocked.
+        kept = max(gone - 1, 0)
+        return oldest, starts[kept:], lasts[kept:]
+
+    def _settled(self, key, start: int, new: list[np.ndarray] | None, last: int, out: list[pd.DataFrame], chain: list[tuple[int, int]]) -> int:
+        """Decides a leaf anew, notes what changed, and returns the last alert sent up to its end."""
+        us, ids, was = _unpacked(self.alerts.getValue((start,)), 3)
         if new is not None:
             us, ids, was = np.concatenate([us, new[0]]), np.concatenate([ids, new[1]]), np.concatenate([was, np.zeros(len(new[0]), "int64")])
             order = np.lexsort((was == 0, ids, us))
             us, ids, was = us[order], ids[order], was[order]
         sent = np.zeros(len(us), "int64")
-        picked = sent_positions(us, NEVER if last == NEVER else last + self.window, self.window)
-        sent[picked] = 1
+        sent[sent_positions(us, NEVER if last == NEVER else last + self.window, self.window)] = 1
+        for k, piece in enumerate(_split(us, self.leaf)):
+            at = int(us[piece.start]) if k else start
+            self.alerts.updateValue((at,), _packed(us[piece], ids[piece], sent[piece]))
+            last = int(us[piece][sent[piece] == 1].max(initial=last))
+            chain.append((at, last))
         changed = np.flatnonzero(sent != was)
-        if len(us):
-            self.alerts.updateValue((stretch,), _packed(us, ids, sent))
         if len(changed):
             out.append(pd.DataFrame({"alert_key": key[0], "channel": key[1], "id": ids[changed], "us": us[changed], "sent": sent[changed] == 1}))
-        return int(us[picked[-1]]) if len(picked) else last
+        return last
 
     def close(self) -> None:
         pass

@@ -60,22 +60,32 @@ def fed(processor, batches, key):
         yield (pd.concat(out) if out else pd.DataFrame()), handle.reads - start, handle
 
 
-@pytest.mark.parametrize("length", [1, 50, 10**6])
-def test_ledger_state_equals_the_loop_after_every_batch(length):
-    rng = random.Random(length)
+@pytest.mark.parametrize("leaf", [2, 20, 10**6])
+def test_ledger_state_equals_the_loop_after_every_batch(leaf):
+    rng = random.Random(leaf)
     rows = [(rng.randrange(400), k, rng.choice([-4, -1, 0, 3])) for k in range(300)] + [(7, 7, -1)] * 3
     rng.shuffle(rows)
     cuts = [rows[k:k + 30] for k in range(0, len(rows), 30)]
     frames = [pd.DataFrame(c, columns=["us", "event_id", "delta"]) for c in cuts]
     seen = []
-    for cut, (out, reads, _) in zip(cuts, fed(state.Ledger(length), frames, (1,))):
+    for cut, (out, reads, handle) in zip(cuts, fed(state.Ledger(leaf), frames, (1,))):
         seen += cut
         stock = 5
         for _, _, d in sorted(seen):
             stock = max(0, stock + d)
         row = out.iloc[0]
         assert (row.events, max(row.floor, 5 + row.total)) == (len(seen), stock)
-        assert reads <= len({us // length for us, _, _ in cut})  # its own stretches, however many there are
+        assert reads <= len(cut)
+    assert len(handle.maps["events"]) >= min(len(rows) // (leaf + 10), 100)
+
+
+def test_a_batch_reads_its_own_leaves():
+    """After many events, a late row opens one leaf of bounded size."""
+    frames = [pd.DataFrame({"us": np.arange(50_000), "event_id": np.arange(50_000), "delta": 1}),
+              pd.DataFrame({"us": [123], "event_id": [-1], "delta": [-1000]})]
+    (_, _, _), (out, reads, handle) = fed(state.Ledger(), frames, (1,))
+    assert reads == 1 and max(len(v[0]) // 24 for v in handle.maps["events"].values()) <= state.LEAF + 1
+    assert (out.iloc[0].events, out.iloc[0].floor, out.iloc[0].total) == (50_001, 50_000 - 123, 49_000)
 
 
 def test_runs_compose():
@@ -95,15 +105,15 @@ def suppressed(rows, window):
     return sent
 
 
-@pytest.mark.parametrize("length", [10, 100, 1000])
-def test_suppression_state_corrects_what_it_said(length):
-    rng = random.Random(length)
+@pytest.mark.parametrize("leaf", [3, 30, 1000])
+def test_suppression_state_corrects_what_it_said(leaf):
+    rng = random.Random(leaf)
     rows = [(rng.randrange(3000), k) for k in range(400)] + [(100, 900), (100, 901)]
     rng.shuffle(rows)
     cuts = [rows[k:k + 20] for k in range(0, len(rows), 20)]
     frames = [pd.DataFrame(c, columns=["us", "id"]) for c in cuts]
     seen, now = [], set()
-    for cut, (out, _, _) in zip(cuts, fed(state.Suppression(60, length), frames, ("k", "c"))):
+    for cut, (out, _, _) in zip(cuts, fed(state.Suppression(60, leaf=leaf), frames, ("k", "c"))):
         seen += cut
         for r in out.itertuples():
             assert r.sent != (r.id in now)  # only what changed is told
@@ -112,17 +122,24 @@ def test_suppression_state_corrects_what_it_said(length):
 
 
 def test_a_late_alert_opens_only_what_it_changes():
-    """Gaps longer than the window stop the correction after the stretch that the late row enters."""
+    """Gaps longer than the window stop the correction in the leaf that the late row enters, or the next one."""
     rows = [(s * 1000 + k * 10, s * 10 + k) for s in range(200) for k in range(5)]
-    frames = [pd.DataFrame(rows, columns=["us", "id"]), pd.DataFrame([(100_005, 9999)], columns=["us", "id"])]
-    (_, first, _), (out, second, _) = fed(state.Suppression(60, 1000), frames, ("k", "c"))
-    assert first >= 200 and second <= 2 and len(out) == 0  # it falls in the block of an alert sent before
-
-
-def test_horizon_forgets_stretches():
-    frames = [pd.DataFrame([(d * 1000, d)], columns=["us", "id"]) for d in range(50)]
-    *_, (_, _, handle) = fed(state.Suppression(60, 100, 5000), frames, ("k", "c"))
-    assert len(handle.maps["alerts"]) <= 8
+    frames = [pd.DataFrame(rows, columns=["us", "id"]), pd.DataFrame([(100_005, 9999)], columns=["us", "id"]),
+              pd.DataFrame([(99_950, 9998)], columns=["us", "id"])]
+    (first, _, handle), (second, reads, _), (third, more, _) = fed(state.Suppression(60, leaf=10), frames, ("k", "c"))
+    assert len(handle.maps["alerts"]) > 100 and len(first) == 200
+    assert reads <= 2 and len(second) == 0  # it falls in the block of an alert sent before
+    assert more <= 3 and {(r.id, r.sent) for r in third.itertuples()} == {(9998, True), (1000, False), (1002, True)}
+
+
+def test_horizon_forgets_leaves():
+    frames = [pd.DataFrame([(d * 1000 + k, d * 10 + k) for k in range(4)], columns=["us", "id"]) for d in range(50)]
+    *_, (out, _, handle) = fed(state.Suppression(60, 5000, leaf=4), frames, ("k", "c"))
+    assert len(handle.maps["alerts"]) <= 12 and {r.id for r in out.itertuples()} == {490}
+    late = pd.DataFrame([(44_000, 1), (49_100, 2)], columns=["us", "id"])
+    processor = state.Suppression(60, 5000, leaf=4)
+    processor.init(handle)
+    assert {r.id for r in pd.concat(processor.handleInputRows(("k", "c"), iter([late]), None)).itertuples()} == {2}
 
 
 def test_parts_after_fifty_batches(spark, tmp_path):
