@@ -10,11 +10,13 @@ import datetime as dt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.mathx import ratio, t_passes
 from granary.functions.prefix import materialise
+from granary.operators import batched as bt
 from granary.operators import holtwinters as hw
 from granary.operators import series as ts
 
@@ -264,33 +266,66 @@ def model_choice(segment: Column, n: Column) -> Column:
     return F.when(n < 4, "fallback").when(n >= 12, long).when(n >= 6, medium).otherwise("seasonal_naive")
 
 
+def period_table(daily: DataFrame, trend_threshold: float = 0.05) -> DataFrame:
+    """A row per product: segment, grain, periods with silent ones (``qty``), the same without spikes (``smooth``)."""
+    seg = ts.segments(daily, trend_threshold).select(KEY, "segment")
+    kind = dict(daily.dtypes)[KEY]
+
+    def run(batches):
+        for b in batches:
+            qty, smooth, days = [], [], []
+            for sold in b["sold"].to_pylist():
+                y, length = bt.dense_periods(np.array([r["week"] for r in sold]), np.array([r["y"] for r in sold]))
+                qty.append(y)
+                smooth.append(bt.capped(y))
+                days.append(7 * length)
+            floats = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays(
+                [b[KEY], b["segment"], pa.array(days, pa.int32()), pa.array([len(y) for y in qty], pa.int32()), pa.array(qty, floats), pa.array(smooth, floats)],
+                [KEY, "segment", "period_days", "n", "qty", "smooth"])
+
+    return bt.sold_weeks(daily).join(seg, KEY).mapInArrow(
+        run, f"{KEY} {kind}, segment string, period_days int, n int, qty array<double>, smooth array<double>")
+
+
+def forecast_periods(table: DataFrame, horizon: int) -> DataFrame:
+    """Period forecasts of ``period_table`` rows with ``choice``: model, then season for flat ones."""
+    kind = dict(table.dtypes)[KEY]
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, bt.CHUNK):
+                b = whole.slice(at, bt.CHUNK)
+                qty, smooth = ([np.array(y) for y in b[c].to_pylist()] for c in ("qty", "smooth"))
+                days = b["period_days"].to_pylist()
+                grains = ["biweekly" if d == 14 else "weekly" for d in days]
+                horizons = [max(1, -(-horizon // d)) for d in days]
+                steps = bt.model_steps(smooth, qty, grains, b["choice"].to_pylist(), max(horizons))
+                steps = bt.enriched(steps, qty, grains, horizons)
+                kept = [k for k, s in enumerate(steps) if s is not None]
+                row = np.repeat(kept, [horizons[k] for k in kept]).astype("int64")
+                mean, low, high = (np.concatenate([np.empty(0), *[steps[k][j][:horizons[k]] for k in kept]]) for j in range(3))
+                step = np.concatenate([np.empty(0, "int32"), *[np.arange(1, horizons[k] + 1, dtype="int32") for k in kept]])
+                names = pa.array([s[3] if s else None for s in steps], pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [b[KEY].take(pa.array(row)), pa.array(step, pa.int32()), pa.array(mean), pa.array(low), pa.array(high), names.take(pa.array(row))],
+                    [KEY, "step", "forecast", "lower", "upper", "model"])
+
+    return table.repartition(bt.tasks_for(table), KEY).mapInArrow(run, FORECAST.format(key=kind))
+
+
 def forecast_products(daily: DataFrame, horizon: int = 30, trend_threshold: float = 0.05) -> DataFrame:
     """Segment, aggregate, smooth, fit, enrich and disaggregate; one row per product and day."""
-    seg = ts.segments(daily, trend_threshold).select(KEY, "segment")
-    periods = ts.winsorise(ts.model_periods(daily))
-    n = F.count(F.lit(1)).over(Window.partitionBy(KEY))
-    length = F.when(F.col("grain") == "biweekly", 14).otherwise(7)
-    periods = periods.withColumns({"n_periods": n, "period_days": length}).join(seg, KEY).withColumns({
-        "choice": model_choice(F.col("segment"), F.col("n_periods")),
-        "horizon": F.greatest(F.lit(1), F.ceil(F.lit(horizon) / length).cast("int"))})
-    # Five branches read this table; writing it once keeps them from repeating its lineage.
-    periods = materialise(periods)
-    h = F.ceil(F.lit(horizon) / F.lit(7)).cast("int")
-    pick = {c: periods.filter(F.col("choice") == c) for c in ("holt_winters", "seasonal_naive", "decomposition")}
-    fitted = fit_holt_winters(pick["holt_winters"]).unionByName(
-        seasonal_naive(pick["seasonal_naive"], h)).unionByName(decomposition_forecast(pick["decomposition"], h))
-    info = periods.groupBy(KEY).agg(F.max("horizon").alias("hz"), F.max("period_days").alias("period_days"))
-    fitted = fitted.join(info.select(KEY, "hz"), KEY).filter(F.col("step") <= F.col("hz")).drop("hz")
-    # A few rows per product, read twice by the enrichment; the fits must not run twice.
-    fitted = materialise(fitted)
-    fitted = enrich(fitted, periods.select(KEY, "date", "qty", "grain"))
+    # A row per product, read by the fits, the fallback and the lengths of the periods.
+    table = materialise(period_table(daily, trend_threshold).withColumn("choice", model_choice(F.col("segment"), F.col("n"))))
+    fitted = forecast_periods(table.where("choice != 'fallback'"), horizon)
     weights = ts.weekday_weights(daily)
-    last = daily.groupBy(KEY).agg(F.max("date").alias("last")).join(info.select(KEY, "period_days"), KEY)
+    last = daily.groupBy(KEY).agg(F.max("date").alias("last")).join(table.select(KEY, "period_days"), KEY)
     days = to_days(fitted, last, weights, horizon)
-    short = daily.join(periods.filter("choice = 'fallback'").select(KEY).distinct(), KEY, "left_semi")
+    short = daily.join(table.where("choice = 'fallback'").select(KEY), KEY, "left_semi")
     rest = fallback(short, weights, horizon).select(
         KEY, F.col("step").alias("day"), "date", "forecast", "lower", "upper", F.lit("fallback").alias("model"))
-    return days.unionByName(rest).join(seg, KEY)
+    return days.unionByName(rest).join(table.select(KEY, "segment"), KEY)
 
 
 def first_generation(daily: DataFrame, horizon: int = 30) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.operators import batched
 from granary.operators.demand import population_sd
 from granary.operators.series_terms import slope
 
@@ -226,7 +227,7 @@ def segments(series: DataFrame, trend_threshold: float = 0.05) -> DataFrame:
     stats = s.groupBy(KEY).agg(
         n.alias("rows"), (tot.cast("double") / n).alias("mean"), population_sd(n, tot, sq).alias("sd"),
         (F.count_if(q == 0) / n).alias("zero_share"))
-    best = seasonality(decompose(s.filter("n >= 14"), "qty", SEGMENT_PERIODS))
+    best = batched.seasonality(series, SEGMENT_PERIODS, 14)
     df = stats.join(best, KEY, "left").join(trend_slope(s).select(KEY, "slope", "direction"), KEY)
     cv = F.when(F.col("mean") > 0, F.col("sd") / F.col("mean")).otherwise(999.0)
     df = df.withColumns({"cv": cv, "strength": F.coalesce("strength", F.lit(0.0))})
