@@ -58,12 +58,14 @@ class PartTable:
         only.  Returns the parts that the batch touched.
         """
         staged = f"{self.path}/new/batch={number}"
-        # Written first: the batch is computed once, and its parts are known from its folders.
-        rows.select(*self.schema.names, part.cast("string").alias("part")).write.mode("overwrite").partitionBy("part").parquet(staged)
-        touched = {p.rsplit("/", 1)[-1] for p in self._found(f"new/batch={number}/part=*")}
+        # Written first, so that the batch is computed once.
+        rows.select(*self.schema.names, part.cast("string").alias("part")).write.mode("overwrite").parquet(staged)
+        new = self.spark.read.schema(StructType([*self.schema.fields]).add("part", "string")).parquet(staged)
+        # As many names as the batch has parts.
+        names = [r.part for r in new.select("part").distinct().collect()]
+        touched = {f"part={'__HIVE_DEFAULT_PARTITION__' if p is None else p}" for p in names}
         if touched:
-            with_part = StructType([*self.schema.fields]).add("part", "string")
-            new = self.spark.read.schema(with_part).parquet(staged).select(*self.schema.names, F.lit(True).alias("is_new"))
+            new = new.select(*self.schema.names, F.lit(True).alias("is_new"))
             old = self.read(touched, number).withColumn("is_new", F.lit(False))
             merged = combine(old.unionByName(new)).select(*self.schema.names)
             merged.withColumn("part", part.cast("string")).hint("rebalance", "part").write.mode("overwrite").partitionBy(
