@@ -18,6 +18,7 @@ from granary.functions.mathx import ratio, t_passes
 from granary.functions.prefix import materialise
 from granary.operators import batched as bt
 from granary.operators import holtwinters as hw
+from granary.operators import regression as reg
 from granary.operators import series as ts
 
 KEY = "product_id"
@@ -29,15 +30,6 @@ def steps_ahead(df: DataFrame, horizon: Column | int) -> DataFrame:
     return df.withColumn("step", F.explode(F.sequence(F.lit(1), h)))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Hash by product into the configured number of partitions.
-
-    Grouped pandas work is bound by CPU, not bytes, so the partitions must not be
-    merged by size; the grouped map then needs no further shuffle.
-    """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), KEY)
-
-
 # ---- Holt-Winters -------------------------------------------------------------
 
 def holt_winters(y: np.ndarray, horizon: int, period: int, seasonal: str = "add", damp: float = 1.0):
@@ -540,51 +532,91 @@ def feature_selection(series: DataFrame, min_corr: float = 0.1) -> DataFrame:
 
 # ---- holdout selection with a calendar regression -------------------------------------
 
-def _auto_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Hold out the last fifth, choose a model, blend it with weekday means, look ahead."""
-    pdf = pdf.sort_values("date")
-    y, h = pdf["qty"].to_numpy(dtype=float), int(pdf["horizon"].iloc[0])
-    days = pd.to_datetime(pdf["date"])
-    future = pd.date_range(days.iloc[-1] + pd.Timedelta(days=1), periods=h)
-
-    def smooth(v, k):
-        level = v[0]
-        for x in v[1:]:
-            level = 0.3 * x + 0.7 * level
-        return np.full(k, level)
-
-    def line(v, k):
-        return np.polyval(np.polyfit(np.arange(len(v)), v, 1), np.arange(len(v), len(v) + k))
-
-    models = {"exponential_smoothing": smooth, "linear_trend": line,
-              "seasonal_naive": lambda v, k: v[-7:][np.arange(k) % 7],
-              "holt_winters": lambda v, k: holt_winters(v, k, 7)[1]}
-    cut = int(len(y) * 0.8)
-    weight, choice = 0.7, "exponential_smoothing"
-    if len(y) >= 30:
-        errors = {m: np.abs(y[cut:] - f(y[:cut], len(y) - cut)).mean() for m, f in models.items()}
+def _smooth_level(y: np.ndarray) -> float:
+    back = np.arange(len(y) - 1, -1, -1)
+    return float(y @ (np.where(back == len(y) - 1, 1.0, 0.3) * 0.7 ** back))
+
+
+def _simple(name: str, y: np.ndarray, h: int) -> np.ndarray:
+    if name == "seasonal_naive":
+        return y[-7:][np.arange(h) % min(7, len(y))]
+    if name == "linear_trend":
+        return np.polyval(np.polyfit(np.arange(len(y)), y, 1), np.arange(len(y), len(y) + h))
+    return np.full(h, _smooth_level(y))
+
+
+def holdout_models(series: list[np.ndarray], horizons: list[int]) -> list[tuple[str, np.ndarray, float | None]]:
+    """(model, forecast, held-out error) of each series: the least mean error on its last fifth, from 30 rows on.
+
+    Shorter series are smoothed and have no error; of equal models the first by name stands.
+    """
+    cuts = [int(len(y) * 0.8) for y in series]
+    long = [k for k, y in enumerate(series) if len(y) >= 30]
+    out = [("exponential_smoothing", _simple("", y, h), None) for y, h in zip(series, horizons)]
+    if not long:
+        return out
+    trains = [series[k][:cuts[k]] for k in long]
+    _, seasonal, _ = hw.fit(trains, max(len(series[k]) - cuts[k] for k in long), 7)
+    picked: list[int] = []
+    for k, train, ahead in zip(long, trains, seasonal):
+        held = series[k][cuts[k]:]
+        errors = {m: np.abs(held - _simple(m, train, len(held))).mean() for m in ("exponential_smoothing", "linear_trend", "seasonal_naive")}
+        errors["holt_winters"] = np.abs(held - ahead[:len(held)]).mean()
         choice = min(sorted(errors), key=errors.get)
-    design = np.eye(7)[days.dt.dayofweek.to_numpy()]
-    coef = np.linalg.lstsq(design, y, rcond=None)[0]
-    if len(y) >= 30:
-        a, b = 1 / (errors[choice] + 1), 1 / (np.abs(y[cut:] - (design @ coef)[cut:]).mean() + 1)
-        weight = float(np.clip(a / (a + b), 0.2, 0.8))
-    core = models[choice](y, h) if len(y) >= 14 else smooth(y, h)
-    ahead = np.maximum(weight * core + (1 - weight) * coef[future.dayofweek], 0)
-    change = (ahead[-7:].mean() - ahead[:7].mean()) / max(ahead[:7].mean(), 1) * 100 if h > 7 else 0.0
-    band = 1.96 * y.std() * np.sqrt(np.arange(1, h + 1)) / np.sqrt(max(len(y), 1))
-    return pd.DataFrame({
-        KEY: pdf[KEY].iloc[0], "step": np.arange(1, h + 1), "forecast": ahead, "lower": np.maximum(ahead - band, 0),
-        "upper": ahead + band, "model": choice,
-        "direction": "increasing" if change > 10 else "decreasing" if change < -10 else "stable"})
+        out[k] = choice, _simple(choice, series[k], horizons[k]), float(errors[choice])
+        picked += [k] if choice == "holt_winters" else []
+    if picked:
+        _, ahead, _ = hw.fit([series[k] for k in picked], max(horizons[k] for k in picked), 7)
+        for k, values in zip(picked, ahead):
+            out[k] = "holt_winters", values[:horizons[k]], out[k][2]
+    return out
 
 
 def auto_forecast(series: DataFrame, horizon: int | Column = 30) -> DataFrame:
-    """Forecast of the holdout winner for every product (daily rows, calendar-sized groups)."""
+    """Forecast of the holdout winner blended with the calendar regression, for every product.
+
+    The weights are the inverse errors of the two on the last fifth of the rows; the regression uses the
+    features selected for the product.  ``direction`` compares the last week ahead with the first.
+    """
     h = horizon if isinstance(horizon, Column) else F.lit(horizon)
     kind = dict(series.dtypes)[KEY]
-    return spread(series.withColumn("horizon", h).select(KEY, "date", "qty", "horizon")).groupBy(KEY).applyInPandas(
-        _auto_group, FORECAST.format(key=kind) + ", direction string")
+    # Read by the selection, the regression, its error and the models.
+    s = materialise(ts.numbered(series.withColumn("horizon", h.cast("int"))))
+    daily = s.select(KEY, "date", "qty")
+    coefs = materialise(reg.calendar_fit(daily, reg.selected_features(daily)))
+    held = ts.calendar_features(s.filter(F.col("i") >= F.floor(F.col("n") * 0.8)).filter("n >= 30")).join(coefs, KEY)
+    error = held.groupBy(KEY).agg(F.avg(F.abs(F.col("qty") - reg.calendar_value())).alias("calendar_mae"))
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, bt.CHUNK):
+                b = whole.slice(at, bt.CHUNK)
+                ys, horizons = [np.array(y) for y in b["ys"].to_pylist()], b["horizon"].to_pylist()
+                found = holdout_models(ys, horizons)
+                take = pa.array(np.repeat(np.arange(len(ys)), horizons))
+                steps = np.concatenate([np.arange(1, h + 1, dtype="int32") for h in horizons])
+                yield pa.RecordBatch.from_arrays(
+                    [b[KEY].take(take), b["last"].take(take), pa.array(steps, pa.int32()),
+                     pa.array(np.concatenate([f[1] for f in found])), pa.array([f[0] for f in found]).take(take),
+                     pa.array([f[2] for f in found], pa.float64()).take(take), pa.array([y.std() / np.sqrt(len(y)) for y in ys]).take(take)],
+                    [KEY, "last", "step", "core", "model", "series_mae", "sd"])
+
+    arrays = bt.as_arrays(s, "qty", F.max("date").alias("last"), F.max("horizon").alias("horizon"))
+    core = arrays.repartition(bt.tasks_for(s.select(KEY).distinct()), KEY).mapInArrow(
+        run, f"{KEY} {kind}, last date, step int, core double, model string, series_mae double, sd double")
+    a, b = 1 / (F.col("series_mae") + 1), 1 / (F.col("calendar_mae") + 1)
+    weight = F.coalesce(F.greatest(F.lit(0.2), F.least(F.lit(0.8), a / (a + b))), F.lit(0.7))
+    ahead = ts.calendar_features(core.withColumn("date", F.date_add("last", F.col("step")))).join(coefs, KEY).join(error, KEY, "left")
+    w = Window.partitionBy(KEY)
+    mean = F.greatest(F.lit(0.0), weight * F.col("core") + (1 - weight) * reg.calendar_value())
+    ahead = ahead.withColumn("forecast", mean).withColumn("_h", F.max("step").over(w)).withColumns({
+        "_a": F.avg(F.when(F.col("step") <= 7, F.col("forecast"))).over(w),
+        "_b": F.avg(F.when(F.col("step") > F.col("_h") - 7, F.col("forecast"))).over(w)})
+    change = F.when(F.col("_h") > 7, (F.col("_b") - F.col("_a")) / F.greatest(F.col("_a"), F.lit(1.0)) * 100).otherwise(0.0)
+    band = 1.96 * F.col("sd") * F.sqrt("step")
+    return ahead.select(
+        KEY, "step", "forecast", F.greatest(F.lit(0.0), F.col("forecast") - band).alias("lower"), (F.col("forecast") + band).alias("upper"),
+        "model", F.when(change > 10, "increasing").when(change < -10, "decreasing").otherwise("stable").alias("direction"))
 
 
 def backtest(series: DataFrame, min_rows: int = 30, share: float = 0.6) -> DataFrame:

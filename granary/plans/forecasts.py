@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from granary.functions.prefix import work_folder
 from granary.sources.ingest import append_forecasts
 from granary.operators import forecast as fc
+from granary.operators import regression as reg
 from granary.operators import series as ts
 from granary.plans.dashboard import SCORED, _scored
 from granary.plans.registry import query
@@ -137,17 +138,55 @@ def tsf11(t):
     return fc.feature_selection(t.brand_daily())
 
 
-@query("TSF12", """with s as (select *, avg(qty) over (partition by product_id order by i rows between 7 preceding and 1 preceding) as p1, floor(n * 0.8) as k from nums),
-   c as (select product_id, isodow(date) as wd, avg(qty) as p2 from s where i < k group by 1, 2),
-   g as (select s.product_id, max(n) as n, count(*) as held, avg(abs(qty - p1)) as m1, avg(abs(qty - p2)) as m2 from s left join c on s.product_id = c.product_id and isodow(s.date) = c.wd where i >= k group by s.product_id),
+def _solved(m: int) -> dict[str, str]:
+    """CTEs that solve the normal equations ``eq`` (a{i}_{j}, the right side is column m) by elimination; zero pivots give 0."""
+    out, src = {}, "eq"
+    for k in range(m):
+        columns, pivot = ["product_id"], f"a{k}_{k} > 1e-9 * d{k}"
+        for i in range(m):
+            for j in range(m + 1):
+                new = f"a{i}_{j} - a{i}_{k} * a{k}_{j} / a{k}_{k}" if i != k else f"a{k}_{j} / a{k}_{k}"
+                columns.append(f"case when {pivot} then {new} else {f'a{i}_{j}' if i != k else '0.0::double'} end as a{i}_{j}")
+        out[f"step{k}"] = f"select {', '.join(columns)}, {', '.join(f'd{i}' for i in range(m))} from {src}"
+        src = f"step{k}"
+    return out
+
+
+FOUR = ("isodow(date) - 1", "day(date)", "month(date)", "case when isodow(date) >= 6 then 1 else 0 end")
+XY = f"select product_id, i, n, k, qty, {', '.join(f'({x})::bigint as x{j}' for j, x in enumerate(FOUR))} from (select *, floor(n * 0.8) as k from series)"
+EQ = "select product_id, " + ", ".join(
+    [f"(count(*) * sum(x{i} * {f'x{j}' if j < 4 else 'qty'}) - sum(x{i}) * sum({f'x{j}' if j < 4 else 'qty'}))::double as a{i}_{j}" for i in range(4) for j in range(5)]
+    + [f"(count(*) * sum(x{i} * x{i}) - sum(x{i}) * sum(x{i}))::double as d{i}" for i in range(4)]) + " from xy where i < k group by product_id"
+BLEND = f"""with m as (select product_id, avg(qty) as my, {', '.join(f'avg(x{j}) as m{j}' for j in range(4))} from xy where i < k group by product_id),
+   l as (select product_id, sum(qty * pow(0.7::double, k - 1 - i) * case when i = 0 then 1.0::double else 0.3::double end) as level from xy where i < k group by product_id),
+   g as (select xy.product_id, max(n) as n, count(*) as held, avg(abs(qty - level)) as m1,
+     avg(abs(qty - my - ({' + '.join(f'a{j}_4 * (x{j} - m{j})' for j in range(4))}))) as m2
+     from xy join m on m.product_id = xy.product_id join l on l.product_id = xy.product_id join step3 s on s.product_id = xy.product_id where i >= k group by xy.product_id),
    w as (select *, case when n < 30 or held < 5 then 0.7 else greatest(0.2, least(0.8, (1.0 / (m1 + 1)) / (1.0 / (m1 + 1) + 1.0 / (m2 + 1)))) end as wt from g)
-  select product_id, m1 as series_mae, m2 as calendar_mae, wt as series_weight, 1.0 - wt as calendar_weight from w""", "series_mae calendar_mae series_weight calendar_weight", {"nums": BN})
+  select product_id, m1 as series_mae, m2 as calendar_mae, wt as series_weight, 1.0 - wt as calendar_weight from w"""
+
+
+def _blend_ctes(series: str) -> dict[str, str]:
+    return {"series": series, "xy": XY, "eq": EQ, **_solved(4)}
+
+
+def _blend(series):
+    """Smoothing and calendar regression, both fitted on the first four fifths of the rows."""
+    s = ts.numbered(series).withColumn("k", F.floor(F.col("n") * 0.8))
+    coefs = reg.calendar_fit(s, rows=F.col("i") < F.col("k"))
+    level = ts.smoothed_level(s.filter("i < k").select("product_id", "date", "qty")).select("product_id", F.col("level").alias("series_pred"))
+    held = ts.calendar_features(s.filter("i >= k")).join(coefs, "product_id").join(level, "product_id")
+    return fc.ensemble_weights(held.withColumn("calendar_pred", reg.calendar_value()))
+
+
+@query("TSF12", BLEND, "series_mae calendar_mae series_weight calendar_weight", _blend_ctes(BN))
 def tsf12(t):
-    w = Window.partitionBy("product_id").orderBy("i").rowsBetween(-7, -1)
-    s = ts.numbered(t.brand_daily()).withColumns({"series_pred": F.avg("qty").over(w), "wd": F.weekday("date")})
-    k = F.floor(F.col("n") * 0.8)
-    cal = s.filter(F.col("i") < k).groupBy("product_id", "wd").agg(F.avg("qty").alias("calendar_pred"))
-    return fc.ensemble_weights(s.filter(F.col("i") >= k).join(cal, ["product_id", "wd"], "left"))
+    return _blend(t.brand_daily())
+
+
+@query("TSF12_parts", BLEND, "series_mae calendar_mae series_weight calendar_weight", _blend_ctes(PN))
+def tsf12_parts(t):
+    return _blend(t.part_daily())
 
 
 def with_meta(products):
@@ -299,6 +338,11 @@ NAIVE = """select product_id, cast(step as int) as step, greatest(0.0, qty::doub
 NAIVE_CTES = {"pweeks": week_sql("part_daily"), "wnums": NUM.format(src="pweeks"), "naive": NAIVE}
 
 
+@query("TSF22_parts")
+def tsf22_parts(t):
+    return fc.fit_holt_winters(ts.winsorise(ts.model_periods(t.part_daily())).withColumn("horizon", F.lit(8)))
+
+
 @query("TSF23", "select * from naive", "forecast lower upper", NAIVE_CTES)
 def tsf23(t):
     return fc.seasonal_naive(ts.weekly(t.part_daily()), 6)
@@ -386,11 +430,22 @@ def tsf31(t):
     return fc.auto_forecast(ts.fill_days(t.brand_daily()), 30)
 
 
+@query("TSF31_parts")
+def tsf31_parts(t):
+    return fc.auto_forecast(t.part_daily(), 30)
+
+
 @query("TSF32")
 def tsf32(t):
     return fc.seasonal_days(ts.fill_days(t.brand_daily()), 30)
 
 
+@query("TSF32_parts")
+def tsf32_parts(t):
+    """Selling days as they are; a part sells on about thirty days in seven years."""
+    return fc.seasonal_days(t.part_daily(), 30)
+
+
 @query("TSF33")
 def tsf33(t):
     return fc.forecast_products(t.brand_daily(), 30)
