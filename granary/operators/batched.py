@@ -237,3 +237,82 @@ def enriched(steps: list[Steps | None], qty: list[np.ndarray], grains: list[str]
             share = np.clip(1.0 + cycle[np.arange(len(mean)) % p] / level, 0.4, 2.0)
             out[k] = mean * share, low * share, high * share, name if name.startswith("seasonal") else f"{name}+season"
     return out
+
+
+# ---- rolling-origin scores -----------------------------------------------------------------
+
+MODELS = ("double_exponential_smoothing", "exponential_smoothing", "linear_regression", "moving_average",
+          "seasonal_decomposition", "weighted_moving_average")
+
+
+def smoothed_states(series: list[np.ndarray], alpha: float, beta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(single level, double level, trend) after every value; a matrix of all series, a step of time at once."""
+    width = max(len(y) for y in series)
+    y = np.zeros((len(series), width))
+    for k, s in enumerate(series):
+        y[k, :len(s)] = s
+    single, level, trend = y.copy(), y.copy(), np.zeros_like(y)
+    if width > 1:
+        trend[:, 0] = y[:, 1] - y[:, 0]
+    for t in range(1, width):
+        single[:, t] = alpha * y[:, t] + (1 - alpha) * single[:, t - 1]
+        level[:, t] = alpha * y[:, t] + (1 - alpha) * (level[:, t - 1] + trend[:, t - 1])
+        trend[:, t] = beta * (level[:, t] - level[:, t - 1]) + (1 - beta) * trend[:, t - 1]
+    return single, level, trend
+
+
+def rolling_forecasts(y: np.ndarray, states: tuple, cuts: list[int], period: int = 7) -> dict[str, np.ndarray]:
+    """Forecast of every row from the first cut on by each model, fitted on the rows before the last cut behind it.
+
+    Sums over the rows before a cut are differences of running sums, so further cuts cost no further pass.
+    """
+    n, i = len(y), np.arange(len(y))
+    run = {name: np.concatenate([[0.0], np.cumsum(v)]) for name, v in (("y", y), ("iy", i * y))}
+    mean = np.array([(run["y"][k + 1] - run["y"][max(0, k + 1 - period)]) / min(period, k + 1) for k in range(n)])
+    off = y - mean
+    out: dict[str, list[np.ndarray]] = {m: [] for m in MODELS}
+    single, level, trend = states
+    for c, end in zip(cuts, [*cuts[1:], n]):
+        rows = i[c:end]
+        sx, sxx = c * (c - 1) / 2, (c - 1) * c * (2 * c - 1) / 6
+        slope = (c * run["iy"][c] - sx * run["y"][c]) / (c * sxx - sx * sx)
+        phase = np.bincount(i[:c] % period, weights=off[:c], minlength=period) / np.bincount(i[:c] % period, minlength=period)
+        weights = np.arange(1, period + 1)
+        ahead = {
+            "exponential_smoothing": np.full(len(rows), single[c - 1]),
+            "double_exponential_smoothing": level[c - 1] + trend[c - 1] * (rows - c + 1),
+            "moving_average": np.full(len(rows), (run["y"][c] - run["y"][c - period]) / period),
+            "weighted_moving_average": np.full(len(rows), (y[c - period:c] * weights).sum() / weights.sum()),
+            "linear_regression": np.maximum((run["y"][c] - slope * sx) / c + slope * rows, 0.0),
+            "seasonal_decomposition": np.maximum(mean[c - 1] + (phase - phase.mean())[rows % period], 0.0),
+        }
+        for m, v in ahead.items():
+            out[m].append(v)
+    return {m: np.concatenate(v) for m, v in out.items()}
+
+
+def rolling_scores(series: DataFrame, shares: tuple[float, ...], alpha: float, beta: float, min_rows: int = 14) -> DataFrame:
+    """Error and last value of six models on the same held-out rows: those from each cut to the next."""
+    kind = dict(series.dtypes)[KEY]
+    arrays = as_arrays(series, "qty").where(F.size("ys") >= min_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, CHUNK):
+                b = whole.slice(at, CHUNK)
+                ys = [np.array(y) for y in b["ys"].to_pylist()]
+                single, level, trend = smoothed_states(ys, alpha, beta)
+                rows = []
+                for k, y in enumerate(ys):
+                    cuts = sorted({int(len(y) * s) for s in shares})
+                    held = y[cuts[0]:]
+                    known = held != 0
+                    for model, p in rolling_forecasts(y, (single[k], level[k], trend[k]), cuts).items():
+                        mape = float(np.abs((held - p)[known] / held[known]).mean() * 100) if known.any() else 100.0
+                        rows.append((mape, float(np.sqrt(((held - p) ** 2).mean())), float(p[-1]), model))
+                mape, rmse, last, model = zip(*rows) if rows else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays(
+                    [b[KEY].take(pa.array(np.repeat(np.arange(len(ys)), len(MODELS)))), pa.array(mape, pa.float64()), pa.array(rmse, pa.float64()),
+                     pa.array(last, pa.float64()), pa.array(model, pa.string())], [KEY, "mape", "rmse", "last", "model"])
+
+    return arrays.mapInArrow(run, f"{KEY} {kind}, mape double, rmse double, last double, model string")

@@ -345,14 +345,18 @@ def seasonal_days(filled: DataFrame, horizon: int = 30) -> DataFrame:
 
 # ---- model comparison ---------------------------------------------------------------
 
-def compare_models(series: DataFrame, alpha: float = 0.3, beta: float = 0.3) -> DataFrame:
+def compare_models(series: DataFrame, alpha: float = 0.3, beta: float = 0.3, scoring: str = "reference",
+                   shares: tuple[float, ...] = (0.6, 0.7, 0.8, 0.9)) -> DataFrame:
     """Error and last value of six models on an 80/20 split in time, per product.
 
-    Scores follow the usual practice of the dashboard: smoothing and the moving average
+    ``scoring="holdout"`` judges all models on the same rows: from each share of the rows on, a model
+    fitted on the rows before forecasts those up to the next share.  Otherwise scores follow the usual practice of the dashboard: smoothing and the moving average
     on the held-out rows, Holt, weighted average and line on the training rows, and the
     decomposition on everything.  One pass: windows over the product give the predictions of
     each row, one aggregate scores them, and the two smoothers fold the ordered values.
     """
+    if scoring == "holdout":
+        return bt.rolling_scores(series, shares, alpha, beta)
     s = ts.trailing_decomposition(series).filter("n >= 14").withColumn("split", F.floor(F.col("n") * 0.8).cast("int"))
     i, n, k, q = F.col("i").cast("bigint"), F.col("n"), F.col("split"), F.col("qty").cast("bigint")
     held, train = i >= k, i < k

@@ -298,15 +298,16 @@ def win15(t):
     return fc.pick_models(fc.compare_models(t.part_daily()))
 
 
-@query("TSF20", """select p.product_id, best_model, best_mape, m.mape as naive_mape, annual_revenue, greatest(0.0, (m.mape - best_mape) / greatest(m.mape, 1e-6)) as error_reduction,
+GAINS = """select p.product_id, best_model, best_mape, m.mape as naive_mape, annual_revenue, greatest(0.0, (m.mape - best_mape) / greatest(m.mape, 1e-6)) as error_reduction,
    annual_revenue * (m.mape - best_mape) / 100.0 * (case when unit_price > 0 then greatest(0.0, unit_price - unit_cost) / unit_price else 0.3 end) as margin_saved
   from picked p join models m on p.product_id = m.product_id and m.model = 'moving_average' join products c on p.product_id = c.product_id
-  join (select product_id, cast(sum(revenue) as double) / (max(date) - min(date) + 1) * 365 as annual_revenue from sales group by product_id) r on p.product_id = r.product_id""",
-       "best_mape naive_mape annual_revenue error_reduction margin_saved", {**MODEL_CTES, "picked": PICK})
-def tsf20(t):
+  join (select product_id, cast(sum(revenue) as double) / (max(date) - min(date) + 1) * 365 as annual_revenue from sales group by product_id) r on p.product_id = r.product_id"""
+
+
+def _gains(t, scores):
     span = F.datediff(F.max("date"), F.min("date")) + 1
     revenue = t.sales().groupBy("product_id").agg((F.sum("revenue").cast("double") / span * 365).alias("annual_revenue"))
-    df = fc.pick_models(fc.compare_models(t.part_daily()), beside="moving_average").join(
+    df = fc.pick_models(scores, beside="moving_average").join(
         t.products.select("product_id", "unit_price", "unit_cost"), "product_id").join(revenue, "product_id")
     gain = F.col("naive_mape") - F.col("best_mape")
     price = F.col("unit_price")
@@ -316,6 +317,51 @@ def tsf20(t):
                      (F.col("annual_revenue") * gain / 100.0 * share).alias("margin_saved"))
 
 
+@query("TSF20", GAINS,
+       "best_mape naive_mape annual_revenue error_reduction margin_saved", {**MODEL_CTES, "picked": PICK})
+def tsf20(t):
+    return _gains(t, fc.compare_models(t.part_daily()))
+
+
+ROLLING = """with cuts as (select product_id, n, c::bigint as c, coalesce(lead(c) over (partition by product_id order by c), n)::bigint as e
+     from (select distinct product_id, n, floor(n * share) as c from nums, (select unnest([0.6::double, 0.7::double, 0.8::double, 0.9::double]) as share) where n >= 14)),
+   before as (select k.product_id, k.c, k.e, sum(qty * pow(0.7::double, c - 1 - i) * case when i = 0 then 1.0::double else 0.3::double end) as es,
+       sum(case when i >= c - 7 then qty end) / 7.0::double as ma, sum(case when i >= c - 7 then qty * (i - c + 8) end) / 28.0::double as wma,
+       regr_slope(qty, i) as b, regr_intercept(qty, i) as a
+     from cuts k join nums s on s.product_id = k.product_id and s.i < k.c group by k.product_id, k.c, k.e),
+   avg7 as (select product_id, i, avg(qty) over (partition by product_id order by i rows between 6 preceding and current row) as mean, qty from nums),
+   phases as (select k.product_id, k.c, i % 7 as ph, avg(qty - mean) as m from cuts k join avg7 s on s.product_id = k.product_id and s.i < k.c group by k.product_id, k.c, i % 7),
+   season as (select *, m - avg(m) over (partition by product_id, c) as s from phases),
+   p as (select s.product_id, s.i, s.qty, unnest([
+       {'m': 'exponential_smoothing', 'p': b.es}, {'m': 'double_exponential_smoothing', 'p': h.level + h.trend * (s.i - b.c + 1)},
+       {'m': 'moving_average', 'p': ma}, {'m': 'weighted_moving_average', 'p': wma},
+       {'m': 'linear_regression', 'p': greatest(0.0::double, a + b.b * s.i)}, {'m': 'seasonal_decomposition', 'p': greatest(0.0::double, t.mean + z.s)}]) as x
+     from before b join nums s on s.product_id = b.product_id and s.i >= b.c and s.i < b.e join smooth h on h.product_id = b.product_id and h.i = b.c - 1
+     join avg7 t on t.product_id = b.product_id and t.i = b.c - 1 join season z on z.product_id = b.product_id and z.c = b.c and z.ph = s.i % 7)
+  select product_id, coalesce(avg(abs((qty - x.p) / nullif(qty, 0))) * 100, 100.0::double) as mape, sqrt(avg((qty - x.p) * (qty - x.p))) as rmse,
+    arg_max(x.p, i) as last, x.m as model from p group by product_id, x.m"""
+ROLLING_CTES = {"nums": PN, "smooth": SMOOTH, "models": ROLLING}
+
+
+def _rolling(t):
+    return fc.compare_models(t.part_daily(), scoring="holdout")
+
+
+@query("TSF19_holdout", "select * from models", "mape rmse last", ROLLING_CTES)
+def tsf19_holdout(t):
+    return _rolling(t)
+
+
+@query("WIN15_holdout", "select * from picked", "best_mape ensemble", {**ROLLING_CTES, "picked": PICK})
+def win15_holdout(t):
+    return fc.pick_models(_rolling(t))
+
+
+@query("TSF20_holdout", GAINS, "best_mape naive_mape annual_revenue error_reduction margin_saved", {**ROLLING_CTES, "picked": PICK})
+def tsf20_holdout(t):
+    return _gains(t, _rolling(t))
+
+
 @query("TSF21")
 def tsf21(t):
     return fc.forecast_products(t.part_daily(), 28)
