@@ -19,8 +19,8 @@ from granary.operators import holtwinters as hw
 
 KEY = "product_id"
 CHUNK = hw.CHUNK
-#: Monday of the week that day 0 of the calendar (a Thursday) lies in, in days.
-MONDAY = -3
+#: The first Monday of the calendar, in days; weeks are counted from it.
+MONDAY = 4
 
 
 def tasks_for(df: DataFrame, per_task: int = hw.SERIES_PER_TASK) -> int:
@@ -123,7 +123,7 @@ def as_arrays(series: DataFrame, value: str, *more: Column) -> DataFrame:
 
 def sold_weeks(daily: DataFrame) -> DataFrame:
     """A row per product with its selling weeks (number of the week, quantity) in order."""
-    week = F.floor((F.unix_date("date") - MONDAY - 7) / 7).cast("int")
+    week = F.floor((F.unix_date("date") - MONDAY) / 7).cast("int")
     sold = daily.groupBy(KEY, week.alias("week")).agg(F.sum("qty").cast("double").alias("y"))
     return sold.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("week", "y"))).alias("sold"))
 

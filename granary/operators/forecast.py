@@ -248,11 +248,13 @@ def to_days(forecast: DataFrame, last_days: DataFrame, weights: DataFrame, horiz
 def model_choice(segment: Column, n: Column) -> Column:
     """First available model of the segment's list.
 
-    The naive model always fits, decomposition fits from two seasons on, and Holt-Winters
-    from four periods on, so the list reduces to a rule on segment and history length.
+    The naive model always fits, decomposition fits from two seasons on, Holt-Winters from four
+    periods on, and the pooled trees from one cycle of lags on, so the list reduces to a rule on
+    segment and history length.
     """
     long = (
         F.when(segment.isin("SEASONAL_STABLE", "STABLE_TRENDING"), "holt_winters")
+        .when(segment == "VOLATILE", "boosted")
         .when(segment == "INTERMITTENT", "seasonal_naive").otherwise("decomposition"))
     medium = F.when(segment.isin("SEASONAL_STABLE", "SEASONAL_VOLATILE", "VOLATILE"), "seasonal_naive").otherwise("holt_winters")
     return F.when(n < 4, "fallback").when(n >= 12, long).when(n >= 6, medium).otherwise("seasonal_naive")
@@ -265,24 +267,37 @@ def period_table(daily: DataFrame, trend_threshold: float = 0.05) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            qty, smooth, days = [], [], []
+            qty, smooth, days, first = [], [], [], []
             for sold in b["sold"].to_pylist():
                 y, length = bt.dense_periods(np.array([r["week"] for r in sold]), np.array([r["y"] for r in sold]))
+                first.append(7 * sold[0]["week"] + bt.MONDAY)
                 qty.append(y)
                 smooth.append(bt.capped(y))
                 days.append(7 * length)
             floats = pa.list_(pa.float64())
             yield pa.RecordBatch.from_arrays(
-                [b[KEY], b["segment"], pa.array(days, pa.int32()), pa.array([len(y) for y in qty], pa.int32()), pa.array(qty, floats), pa.array(smooth, floats)],
-                [KEY, "segment", "period_days", "n", "qty", "smooth"])
+                [b[KEY], b["segment"], pa.array(first, pa.int32()), pa.array(days, pa.int32()), pa.array([len(y) for y in qty], pa.int32()),
+                 pa.array(qty, floats), pa.array(smooth, floats)], [KEY, "segment", "first", "period_days", "n", "qty", "smooth"])
 
     return bt.sold_weeks(daily).join(seg, KEY).mapInArrow(
-        run, f"{KEY} {kind}, segment string, period_days int, n int, qty array<double>, smooth array<double>")
+        run, f"{KEY} {kind}, segment string, first int, period_days int, n int, qty array<double>, smooth array<double>")
 
 
-def forecast_periods(table: DataFrame, horizon: int) -> DataFrame:
-    """Period forecasts of ``period_table`` rows with ``choice``: model, then season for flat ones."""
+def forecast_periods(table: DataFrame, horizon: int, rounds: int = 100) -> DataFrame:
+    """Period forecasts of ``period_table`` rows with ``choice``: model, then season for flat ones.
+
+    The pooled trees learn from all products that they are chosen for, and forecast them first.
+    """
     kind = dict(table.dtypes)[KEY]
+    pooled = table.where("choice = 'boosted'").select(KEY, "first", "period_days", F.posexplode("smooth").alias("i", "qty")).select(
+        KEY, F.date_from_unix_date(F.col("first") + F.col("i") * F.col("period_days")).alias("date"), "qty", F.col("period_days").alias("days"))
+    steps = "array<struct<step: int, forecast: double, lower: double, upper: double>>"
+    if pooled.isEmpty():
+        table = table.withColumn("known", F.lit(None).cast(steps))
+    else:
+        ahead = boosted_forecast(pooled, max(1, -(-horizon // 7)), rounds).groupBy(KEY).agg(
+            F.sort_array(F.collect_list(F.struct("step", "forecast", "lower", "upper"))).alias("known"))
+        table = table.join(ahead, KEY, "left")
 
     def run(batches):
         for whole in batches:
@@ -293,6 +308,9 @@ def forecast_periods(table: DataFrame, horizon: int) -> DataFrame:
                 grains = ["biweekly" if d == 14 else "weekly" for d in days]
                 horizons = [max(1, -(-horizon // d)) for d in days]
                 steps = bt.model_steps(smooth, qty, grains, b["choice"].to_pylist(), max(horizons))
+                for k, known in enumerate(b["known"].to_pylist()):
+                    if known:
+                        steps[k] = (*(np.array([r[c] for r in known]) for c in ("forecast", "lower", "upper")), "boosted")
                 steps = bt.enriched(steps, qty, grains, horizons)
                 kept = [k for k, s in enumerate(steps) if s is not None]
                 row = np.repeat(kept, [horizons[k] for k in kept]).astype("int64")
@@ -306,11 +324,11 @@ def forecast_periods(table: DataFrame, horizon: int) -> DataFrame:
     return table.repartition(bt.tasks_for(table), KEY).mapInArrow(run, FORECAST.format(key=kind))
 
 
-def forecast_products(daily: DataFrame, horizon: int = 30, trend_threshold: float = 0.05) -> DataFrame:
+def forecast_products(daily: DataFrame, horizon: int = 30, trend_threshold: float = 0.05, rounds: int = 100) -> DataFrame:
     """Segment, aggregate, smooth, fit, enrich and disaggregate; one row per product and day."""
     # A row per product, read by the fits, the fallback and the lengths of the periods.
     table = materialise(period_table(daily, trend_threshold).withColumn("choice", model_choice(F.col("segment"), F.col("n"))))
-    fitted = forecast_periods(table.where("choice != 'fallback'"), horizon)
+    fitted = forecast_periods(table.where("choice != 'fallback'"), horizon, rounds)
     weights = ts.weekday_weights(daily)
     last = daily.groupBy(KEY).agg(F.max("date").alias("last")).join(table.select(KEY, "period_days"), KEY)
     days = to_days(fitted, last, weights, horizon)
@@ -648,32 +666,51 @@ def lag_table(weeks: DataFrame, own: bool = False) -> DataFrame:
 
 
 def boosted_forecast(weeks: DataFrame, horizon: int = 4, rounds: int = 100, own: bool = False) -> DataFrame:
-    """One distributed tree ensemble over the weekly features of all products.
+    """One distributed tree ensemble over the periodic features of all products, stepped ahead.
 
-    Rolling features end before the week they describe, and weeks ahead stand in the lags of later
-    ones with the mean of the last 13 weeks.  With ``own`` the features hold the week's own demand
-    and weeks ahead stand with zero, as in the dashboard.  Bands are 1.96 deviations of the
+    ``weeks`` has product_id, date, qty and optionally ``days``, the length of a product's periods (7).
+    Rolling features end before the period they describe, and the forecast of a step stands in the
+    lags of the next one, for all products at once.  With ``own`` the features hold the period's own
+    demand and periods ahead stand with zero, as in the dashboard.  Bands are 1.96 deviations of the
     product's residuals.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
+    if "days" not in weeks.columns:
+        weeks = weeks.withColumn("days", F.lit(7))
     feats = [f"lag_{k}" for k in LAGS] + [f"{m}_{k}" for k in ROLLS for m in ("mean", "sd")] + list(CAL)
     asm = VectorAssembler(inputCols=feats, outputCol="features")
     # Every round reads the features again; the weeks behind them are counted once.
     known = asm.transform(materialise(lag_table(weeks, own)))
     model = GBTRegressor(labelCol="qty", maxIter=rounds, maxDepth=4, stepSize=0.1, seed=42).fit(known)
-    spread_of = model.transform(known).groupBy(KEY).agg(
-        F.max("date").alias("last"), F.stddev_pop(F.col("qty") - F.col("prediction")).alias("sd"))
+    spread_of = model.transform(known).groupBy(KEY).agg(F.stddev_pop(F.col("qty") - F.col("prediction")).alias("sd"))
     keep = Window.partitionBy(KEY).orderBy(F.col("date").desc())
-    recent = weeks.select(KEY, "date", "qty").withColumn("rn", F.row_number().over(keep)).filter("rn <= 13").drop("rn")
-    usual = F.lit(0) if own else F.round(F.avg("qty"))
-    future = steps_ahead(recent.groupBy(KEY).agg(F.max("date").alias("last"), usual.cast("bigint").alias("qty")), horizon).select(
-        KEY, F.date_add("last", F.col("step") * 7).alias("date"), "qty")
-    ahead = lag_table(recent.unionByName(future), own).join(spread_of, KEY).filter(F.col("date") > F.col("last"))
-    mean, band = F.greatest(F.lit(0.0), F.col("prediction")), 1.96 * F.col("sd")
-    return model.transform(asm.transform(ahead)).select(
-        KEY, "date", mean.alias("forecast"), F.greatest(F.lit(0.0), mean - band).alias("lower"), (mean + band).alias("upper"))
+    frame = materialise(weeks.select(KEY, "date", F.col("qty").cast("double").alias("qty"), "days").withColumn(
+        "rn", F.row_number().over(keep)).filter("rn <= 13").withColumn("step", F.lit(0)).drop("rn"))
+    newest = frame.groupBy(KEY).agg(F.max("date").alias("last"), F.max("days").alias("days"))
+
+    def later(steps: Column) -> DataFrame:
+        return newest.withColumn("step", F.explode(steps)).select(
+            KEY, F.date_add("last", F.col("step") * F.col("days")).alias("date"), F.lit(0.0).alias("qty"), "days", "step")
+
+    def predicted(rows: DataFrame) -> DataFrame:
+        """Rows ahead with the features that the frame gives them."""
+        marks = rows.select(KEY, "date", "step").where("step > 0")
+        table = lag_table(rows.select(KEY, "date", "qty"), own).join(marks, [KEY, "date"])
+        return model.transform(asm.transform(table)).select(KEY, "date", F.greatest(F.lit(0.0), F.col("prediction")).alias("qty"), "step")
+
+    if own:
+        ahead = predicted(frame.unionByName(later(F.sequence(F.lit(1), F.lit(horizon)))))
+    else:
+        # A few rows per product; a step needs the values of those before it.
+        for step in range(1, horizon + 1):
+            found = predicted(frame.unionByName(later(F.array(F.lit(step))))).where(F.col("step") == step)
+            frame = materialise(frame.unionByName(found.join(newest.select(KEY, "days"), KEY)))
+        ahead = frame.where("step > 0").select(KEY, "date", "qty", "step")
+    mean, band = F.col("qty"), 1.96 * F.col("sd")
+    return ahead.join(spread_of, KEY).select(
+        KEY, "date", "step", mean.alias("forecast"), F.greatest(F.lit(0.0), mean - band).alias("lower"), (mean + band).alias("upper"))
 
 
 # ---- views on forecasts ---------------------------------------------------------------------

@@ -171,3 +171,34 @@ def test_dense_periods():
     y, length = bt.dense_periods(np.array([0, 3, 9]), np.array([1.0, 2.0, 3.0]))
     assert length == 2 and y.tolist() == [1, 2, 0, 0, 3]
     assert hw.season_length(12, "biweekly") == 6
+
+
+def test_trees_step_ahead_on_their_own_forecasts(spark, monkeypatch):
+    """A step sees the forecasts of those before it in its lags: the frames equal a plain loop over steps."""
+    rows = [(p, START + dt.timedelta(days=7 * i), 20 * p + 10 * (i % 2) + i % 5) for p in (1, 2, 3) for i in range(40)]
+    weeks = spark.createDataFrame(rows, "product_id long, date date, qty long")
+    out = {(r.product_id, r.step): r for r in fc.boosted_forecast(weeks, horizon=3, rounds=4).collect()}
+    assert len(out) == 9 and all(0 <= r.lower <= r.forecast <= r.upper for r in out.values())
+    assert {r.date for (p, s), r in out.items() if s == 3} == {START + dt.timedelta(days=7 * 42)}
+    # The first two steps put into the history give the third as a first step.
+    grown = weeks.selectExpr("product_id", "date", "cast(qty as double) qty")
+    known = spark.createDataFrame([(p, out[p, s].date, out[p, s].forecast) for p in (1, 2, 3) for s in (1, 2)], grown.schema)
+    from pyspark.ml.regression import GBTRegressor
+
+    fit, kept = GBTRegressor.fit, []
+    monkeypatch.setattr(GBTRegressor, "fit", lambda self, df, *a: kept.append(fit(self, df, *a)) or kept[-1])
+    fc.boosted_forecast(weeks, horizon=1, rounds=4).collect()
+    monkeypatch.setattr(GBTRegressor, "fit", lambda self, df, *a: kept[0])
+    third = {r.product_id: r.forecast for r in fc.boosted_forecast(grown.unionByName(known), horizon=1, rounds=4).collect()}
+    assert third == pytest.approx({p: out[p, 3].forecast for p in (1, 2, 3)})
+
+
+def test_volatile_products_take_the_trees_first(spark):
+    rng = np.random.default_rng(2)
+    series = {1: rng.gamma(0.7, 40, 300).astype(int) + 1, 2: rng.gamma(0.8, 30, 250).astype(int) + 1, 3: np.full(200, 9)}
+    daily = spark.createDataFrame(rows_of(series), "product_id long, date date, qty long")
+    got = {r.product_id: r for r in fc.forecast_products(daily, 14, rounds=3).where("day = 1").collect()}
+    volatile = {p for p, r in got.items() if r.segment == "VOLATILE"}
+    assert volatile and all(got[p].model.startswith("boosted") for p in volatile)
+    assert all(not got[p].model.startswith("boosted") for p in got.keys() - volatile)
+    assert fc.forecast_products(daily, 14, rounds=3).groupBy("product_id").count().where("count != 14").isEmpty()
