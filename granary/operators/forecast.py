@@ -283,7 +283,11 @@ def period_table(daily: DataFrame, trend_threshold: float = 0.05) -> DataFrame:
         run, f"{KEY} {kind}, segment string, first int, period_days int, n int, qty array<double>, smooth array<double>")
 
 
-def forecast_periods(table: DataFrame, horizon: int, rounds: int = 100) -> DataFrame:
+#: Rounds and learning rate of the pooled trees inside the pipeline; alone they default to 100 and 0.1.
+PIPELINE_TREES = (20, 0.3)
+
+
+def forecast_periods(table: DataFrame, horizon: int, trees: tuple[int, float] = PIPELINE_TREES) -> DataFrame:
     """Period forecasts of ``period_table`` rows with ``choice``: model, then season for flat ones.
 
     The pooled trees learn from all products that they are chosen for, and forecast them first.
@@ -295,7 +299,7 @@ def forecast_periods(table: DataFrame, horizon: int, rounds: int = 100) -> DataF
     if pooled.isEmpty():
         table = table.withColumn("known", F.lit(None).cast(steps))
     else:
-        ahead = boosted_forecast(pooled, max(1, -(-horizon // 7)), rounds).groupBy(KEY).agg(
+        ahead = boosted_forecast(pooled, max(1, -(-horizon // 7)), *trees).groupBy(KEY).agg(
             F.sort_array(F.collect_list(F.struct("step", "forecast", "lower", "upper"))).alias("known"))
         table = table.join(ahead, KEY, "left")
 
@@ -324,11 +328,12 @@ def forecast_periods(table: DataFrame, horizon: int, rounds: int = 100) -> DataF
     return table.repartition(bt.tasks_for(table), KEY).mapInArrow(run, FORECAST.format(key=kind))
 
 
-def forecast_products(daily: DataFrame, horizon: int = 30, trend_threshold: float = 0.05, rounds: int = 100) -> DataFrame:
+def forecast_products(daily: DataFrame, horizon: int = 30, trend_threshold: float = 0.05,
+                      trees: tuple[int, float] = PIPELINE_TREES) -> DataFrame:
     """Segment, aggregate, smooth, fit, enrich and disaggregate; one row per product and day."""
     # A row per product, read by the fits, the fallback and the lengths of the periods.
     table = materialise(period_table(daily, trend_threshold).withColumn("choice", model_choice(F.col("segment"), F.col("n"))))
-    fitted = forecast_periods(table.where("choice != 'fallback'"), horizon, rounds)
+    fitted = forecast_periods(table.where("choice != 'fallback'"), horizon, trees)
     weights = ts.weekday_weights(daily)
     last = daily.groupBy(KEY).agg(F.max("date").alias("last")).join(table.select(KEY, "period_days"), KEY)
     days = to_days(fitted, last, weights, horizon)
@@ -665,7 +670,7 @@ def lag_table(weeks: DataFrame, own: bool = False) -> DataFrame:
     return ts.calendar_features(df).na.fill(0)
 
 
-def boosted_forecast(weeks: DataFrame, horizon: int = 4, rounds: int = 100, own: bool = False) -> DataFrame:
+def boosted_forecast(weeks: DataFrame, horizon: int = 4, rounds: int = 100, rate: float = 0.1, own: bool = False) -> DataFrame:
     """One distributed tree ensemble over the periodic features of all products, stepped ahead.
 
     ``weeks`` has product_id, date, qty and optionally ``days``, the length of a product's periods (7).
@@ -683,7 +688,7 @@ def boosted_forecast(weeks: DataFrame, horizon: int = 4, rounds: int = 100, own:
     asm = VectorAssembler(inputCols=feats, outputCol="features")
     # Every round reads the features again; the weeks behind them are counted once.
     known = asm.transform(materialise(lag_table(weeks, own)))
-    model = GBTRegressor(labelCol="qty", maxIter=rounds, maxDepth=4, stepSize=0.1, seed=42).fit(known)
+    model = GBTRegressor(labelCol="qty", maxIter=rounds, maxDepth=4, stepSize=rate, seed=42).fit(known)
     spread_of = model.transform(known).groupBy(KEY).agg(F.stddev_pop(F.col("qty") - F.col("prediction")).alias("sd"))
     keep = Window.partitionBy(KEY).orderBy(F.col("date").desc())
     frame = materialise(weeks.select(KEY, "date", F.col("qty").cast("double").alias("qty"), "days").withColumn(

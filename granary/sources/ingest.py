@@ -63,12 +63,12 @@ def unknown_codes(raw_sales: DataFrame, products: DataFrame) -> DataFrame:
 
 # Header candidates per role of the onboarding mapper, best first.
 ROLES = {
-    "date": "date order_date invoice_date transaction_date sales_date sale_date",
-    "sku": "sku product_code item_code item_id productid product_id upc",
-    "quantity_sold": "quantity_sold quantity qty units units_sold sales_qty sold_units",
-    "revenue": "revenue amount line_total sales_amount total_price net_sales",
-    "name": "product_name name item_name description",
-    "category": "category product_category segment",
+    "date": ("date", "order_date", "invoice_date", "transaction_date", "sales_date", "sale_date"),
+    "sku": ("sku", "product_code", "item_code", "item_id", "productid", "product_id", "upc"),
+    "quantity_sold": ("quantity_sold", "quantity", "qty", "units", "units_sold", "sales_qty", "sold_units"),
+    "revenue": ("revenue", "amount", "line_total", "sales_amount", "total_price", "net_sales"),
+    "name": ("product_name", "name", "item_name", "description"),
+    "category": ("category", "product_category", "segment"),
 }
 
 
@@ -77,7 +77,7 @@ def resolve_roles(columns: list[str], required: tuple[str, ...] = ("date", "sku"
     by_norm = {c.strip().lower().replace(" ", "_"): c for c in columns}
     found = {}
     for role, names in ROLES.items():
-        for n in names.split():
+        for n in names:
             if n in by_norm:
                 found[role] = by_norm[n]
                 break

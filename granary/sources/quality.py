@@ -71,11 +71,11 @@ def dry_run(df: DataFrame, contract: Contract, kind: str, as_of: dt.date) -> Dat
 
 # The looser contract of JSON records.
 RECORD_TYPES = {
-    "products": {"sku": "s", "name": "s", "category": "s", "current_stock": "i", "unit_cost": "f", "unit_price": "f",
-                 "lead_time_days": "i", "reorder_point": "i", "safety_stock": "i", "average_daily_demand": "f",
-                 "seasonality_factor": "f"},
-    "sales": {"sku": "s", "date": "s", "quantity_sold": "i", "revenue": "f", "unit_price": "f", "discount": "f",
-              "channel": "s", "region": "s"},
+    "products": {"sku": "string", "name": "string", "category": "string", "current_stock": "int", "unit_cost": "double", "unit_price": "double",
+                 "lead_time_days": "int", "reorder_point": "int", "safety_stock": "int", "average_daily_demand": "double",
+                 "seasonality_factor": "double"},
+    "sales": {"sku": "string", "date": "string", "quantity_sold": "int", "revenue": "double", "unit_price": "double", "discount": "double",
+              "channel": "string", "region": "string"},
 }
 RECORD_REQUIRED = {"products": ["sku", "name"], "sales": ["sku", "date", "quantity_sold"]}
 
@@ -83,18 +83,19 @@ RECORD_REQUIRED = {"products": ["sku", "name"], "sales": ["sku", "date", "quanti
 def validate_records(df: DataFrame, kind: str, record: str = "record") -> DataFrame:
     """Errors and warnings of JSON text records: required fields, types and unknown fields."""
     types = RECORD_TYPES[kind]
-    df = df.withColumn("fields", F.from_json(F.col(record), ", ".join(f"{c} string" for c in types)))
-    m, keys = F.col("fields"), F.json_object_keys(record)
+    # Both are parsed once a row: an expression that is used more than once stays a column of its own.
+    df = df.withColumns({"fields": F.from_json(F.col(record), ", ".join(f"{c} string" for c in types)), "_keys": F.json_object_keys(record)})
+    m, keys = F.col("fields"), F.col("_keys")
     errors = [F.when(~F.array_contains(keys, c), F.lit(f"missing {c}")) for c in RECORD_REQUIRED[kind]]
     for c, t in types.items():
         v = m[c]
-        if t == "i":
+        if t == "int":
             errors.append(F.when(v.isNotNull() & v.try_cast("int").isNull(), F.lit(f"type {c}")))
-        elif t == "f":
+        elif t == "double":
             errors.append(F.when(v.isNotNull() & v.try_cast("double").isNull(), F.lit(f"type {c}")))
     known = F.array(*[F.lit(c) for c in types])
     warnings = F.array_sort(F.array_except(keys, known))
-    return df.withColumns({"errors": F.array_compact(F.array(*errors)), "warnings": warnings})
+    return df.withColumns({"errors": F.array_compact(F.array(*errors)), "warnings": warnings}).drop("_keys")
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -169,7 +170,7 @@ def refresh_metrics(products: DataFrame, sales: DataFrame, as_of: dt.date, days:
 def enrich_catalogue(products: DataFrame, order_cost: float = 50.0) -> DataFrame:
     """Margin, classes, order quantities and a five-band status; class limits are quantiles."""
     rev = F.col("unit_price") * F.col("average_daily_demand")
-    limits = exact_quantiles(products.withColumn("_rev", rev), "_rev", "product_id", [0.2, 0.5]).scalar()
+    limits = exact_quantiles(products.select(rev.alias("_rev")), "_rev", [0.2, 0.5]).scalar()
     d, stock = F.col("average_daily_demand"), F.col("current_stock")
     df = products.withColumns({
         "_rev": rev, "_q": limits, "_eoq": F.round(F.sqrt(2 * d * 365 * order_cost / (F.col("storage_cost_per_unit") * 365 + 0.01)))})

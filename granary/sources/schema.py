@@ -13,14 +13,14 @@ class Contract:
     """Target columns with types, accepted header spellings, defaults and required sets."""
 
     types: dict[str, str]
-    aliases: dict[str, str]
+    aliases: dict[str, tuple[str, ...]]
     defaults: dict[str, object] = field(default_factory=dict)
     required: dict[str, list[str]] = field(default_factory=dict)
 
     def target(self, header: str) -> str:
         name = header.lower().strip()
         for column, spellings in self.aliases.items():
-            if name in spellings.split():
+            if name in spellings:
                 return column
         return name
 
@@ -28,46 +28,71 @@ class Contract:
 # Column types, header spellings, defaults and required columns of both feeds.
 PRODUCT = Contract(
     types={
-        **dict.fromkeys("sku name category supplier_id abc_classification xyz_classification product_priority "
-                        "stock_status description".split(), "string"),
-        **dict.fromkeys("current_stock lead_time_days min_order_qty max_order_qty shelf_life_days "
-                        "order_frequency_days".split(), "int"),
-        **dict.fromkeys("unit_cost unit_price reorder_point safety_stock average_daily_demand seasonality_factor "
-                        "demand_volatility profit_margin weight_kg volume_m3 storage_cost_per_unit "
-                        "stockout_cost_per_unit target_service_level economic_order_qty inventory_turnover "
-                        "weeks_of_supply".split(), "double"),
-        **dict.fromkeys("is_perishable is_hazardous".split(), "boolean"),
-        **dict.fromkeys("last_order_date last_sale_date".split(), "date"),
+        "sku": "string",
+        "name": "string",
+        "category": "string",
+        "supplier_id": "string",
+        "abc_classification": "string",
+        "xyz_classification": "string",
+        "product_priority": "string",
+        "stock_status": "string",
+        "description": "string",
+        "current_stock": "int",
+        "lead_time_days": "int",
+        "min_order_qty": "int",
+        "max_order_qty": "int",
+        "shelf_life_days": "int",
+        "order_frequency_days": "int",
+        "unit_cost": "double",
+        "unit_price": "double",
+        "reorder_point": "double",
+        "safety_stock": "double",
+        "average_daily_demand": "double",
+        "seasonality_factor": "double",
+        "demand_volatility": "double",
+        "profit_margin": "double",
+        "weight_kg": "double",
+        "volume_m3": "double",
+        "storage_cost_per_unit": "double",
+        "stockout_cost_per_unit": "double",
+        "target_service_level": "double",
+        "economic_order_qty": "double",
+        "inventory_turnover": "double",
+        "weeks_of_supply": "double",
+        "is_perishable": "boolean",
+        "is_hazardous": "boolean",
+        "last_order_date": "date",
+        "last_sale_date": "date",
     },
     aliases={
-        "sku": "id product_id product_code code item_code",
-        "name": "product_name title item_name",
-        "description": "desc product_description brand",
-        "min_order_qty": "minimumorderquantity min_order min_qty",
-        "max_order_qty": "max_order max_qty",
-        "current_stock": "stock inventory quantity qty stock_level on_hand",
-        "unit_cost": "cost cost_price purchase_price",
-        "unit_price": "price selling_price retail_price sale_price",
-        "lead_time_days": "lead_time leadtime delivery_days",
-        "category": "type product_type product_category",
-        "abc_classification": "class abc",
-        "xyz_classification": "xyz",
-        "product_priority": "priority",
-        "average_daily_demand": "daily_demand avg_demand demand",
-        "seasonality_factor": "seasonality",
-        "demand_volatility": "volatility variability",
-        "inventory_turnover": "turnover",
-        "weight_kg": "weight",
-        "volume_m3": "volume",
-        "shelf_life_days": "shelf_life",
-        "is_perishable": "perishable",
-        "is_hazardous": "hazardous",
-        "storage_cost_per_unit": "storage_cost holding_cost",
-        "stockout_cost_per_unit": "stockout_cost shortage_cost",
-        "supplier_id": "supplier vendor vendor_id",
-        "economic_order_qty": "eoq",
-        "target_service_level": "service_level",
-        "stock_status": "status",
+        "sku": ("id", "product_id", "product_code", "code", "item_code"),
+        "name": ("product_name", "title", "item_name"),
+        "description": ("desc", "product_description", "brand"),
+        "min_order_qty": ("minimumorderquantity", "min_order", "min_qty"),
+        "max_order_qty": ("max_order", "max_qty"),
+        "current_stock": ("stock", "inventory", "quantity", "qty", "stock_level", "on_hand"),
+        "unit_cost": ("cost", "cost_price", "purchase_price"),
+        "unit_price": ("price", "selling_price", "retail_price", "sale_price"),
+        "lead_time_days": ("lead_time", "leadtime", "delivery_days"),
+        "category": ("type", "product_type", "product_category"),
+        "abc_classification": ("class", "abc"),
+        "xyz_classification": ("xyz",),
+        "product_priority": ("priority",),
+        "average_daily_demand": ("daily_demand", "avg_demand", "demand"),
+        "seasonality_factor": ("seasonality",),
+        "demand_volatility": ("volatility", "variability"),
+        "inventory_turnover": ("turnover",),
+        "weight_kg": ("weight",),
+        "volume_m3": ("volume",),
+        "shelf_life_days": ("shelf_life",),
+        "is_perishable": ("perishable",),
+        "is_hazardous": ("hazardous",),
+        "storage_cost_per_unit": ("storage_cost", "holding_cost"),
+        "stockout_cost_per_unit": ("stockout_cost", "shortage_cost"),
+        "supplier_id": ("supplier", "vendor", "vendor_id"),
+        "economic_order_qty": ("eoq",),
+        "target_service_level": ("service_level",),
+        "stock_status": ("status",),
     },
     defaults={"category": "General", "current_stock": 0, "unit_cost": 10.0, "unit_price": 15.0, "lead_time_days": 7,
               "seasonality_factor": 1.0, "demand_volatility": 0.5, "target_service_level": 0.95,
@@ -84,20 +109,20 @@ SALES = Contract(
         "sales_channel": "string", "customer_id": "string", "region": "string",
     },
     aliases={
-        "date": "sale_date transaction_date order_date",
-        "sku": "product_sku product_id item_id product_code",
-        "quantity_sold": "quantity qty_sold units_sold qty",
-        "revenue": "sales total_sales amount total_amount",
-        "unit_price_at_sale": "unit_price price selling_price",
-        "unit_cost_at_sale": "unit_cost cost",
-        "profit_loss_amount": "profit profit_amount",
-        "profit_margin_pct": "profit_margin margin",
-        "discount_applied": "discount discount_pct",
-        "promotion_id": "promo_id campaign_id",
-        "transaction_type": "transaction sale_type",
-        "sales_channel": "channel",
-        "customer_id": "customer customer_code",
-        "region": "location area",
+        "date": ("sale_date", "transaction_date", "order_date"),
+        "sku": ("product_sku", "product_id", "item_id", "product_code"),
+        "quantity_sold": ("quantity", "qty_sold", "units_sold", "qty"),
+        "revenue": ("sales", "total_sales", "amount", "total_amount"),
+        "unit_price_at_sale": ("unit_price", "price", "selling_price"),
+        "unit_cost_at_sale": ("unit_cost", "cost"),
+        "profit_loss_amount": ("profit", "profit_amount"),
+        "profit_margin_pct": ("profit_margin", "margin"),
+        "discount_applied": ("discount", "discount_pct"),
+        "promotion_id": ("promo_id", "campaign_id"),
+        "transaction_type": ("transaction", "sale_type"),
+        "sales_channel": ("channel",),
+        "customer_id": ("customer", "customer_code"),
+        "region": ("location", "area"),
     },
     defaults={"revenue": 0.0, "transaction_type": "Normal"},
     required={"core": ["date", "sku", "quantity_sold"], "revenue": ["date", "sku", "quantity_sold", "revenue"],

@@ -197,8 +197,8 @@ def test_volatile_products_take_the_trees_first(spark):
     rng = np.random.default_rng(2)
     series = {1: rng.gamma(0.7, 40, 300).astype(int) + 1, 2: rng.gamma(0.8, 30, 250).astype(int) + 1, 3: np.full(200, 9)}
     daily = spark.createDataFrame(rows_of(series), "product_id long, date date, qty long")
-    got = {r.product_id: r for r in fc.forecast_products(daily, 14, rounds=3).where("day = 1").collect()}
+    got = {r.product_id: r for r in fc.forecast_products(daily, 14, trees=(3, 0.3)).where("day = 1").collect()}
     volatile = {p for p, r in got.items() if r.segment == "VOLATILE"}
     assert volatile and all(got[p].model.startswith("boosted") for p in volatile)
     assert all(not got[p].model.startswith("boosted") for p in got.keys() - volatile)
-    assert fc.forecast_products(daily, 14, rounds=3).groupBy("product_id").count().where("count != 14").isEmpty()
+    assert fc.forecast_products(daily, 14, trees=(3, 0.3)).groupBy("product_id").count().where("count != 14").isEmpty()

@@ -1,9 +1,11 @@
 import itertools
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from granary.functions.mathx import norm_cdf, norm_ppf, z_value
+from granary.functions import prefix
 from granary.functions.prefix import exact_quantiles, running_totals
 
 
@@ -31,8 +33,28 @@ def test_running_totals_ignore_layout(spark, parts):
 
 
 def test_exact_quantiles(spark):
-    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate([1, 2, 3, 4, 10])], "id long, v double")
-    assert exact_quantiles(df, "v", "id", [0.2, 0.5]).first()[0] == pytest.approx([1.8, 3.0])
+    df = spark.createDataFrame([(float(x),) for x in (10, 1, 3, 2, 4)] + [(None,)], "v double")
+    assert exact_quantiles(df, "v", [0.2, 0.5, 0.0, 1.0]).first()[0] == pytest.approx([1.8, 3.0, 1.0, 10.0])
+    assert exact_quantiles(df.where("v is null"), "v", [0.5]).first()[0] == [None]
+
+
+@pytest.mark.parametrize("accuracy", [5, 100, 10_000])
+def test_quantiles_with_ties_equal_numpy(spark, accuracy):
+    rng = np.random.default_rng(accuracy)
+    values = np.concatenate([np.repeat([3.0, 7.0], 2000), rng.normal(5, 4, 3000), np.full(10, -1e9)])
+    df = spark.createDataFrame([(float(x),) for x in values], "v double").repartition(5)
+    fractions = [0.0, 0.01, 0.2, 0.5, 0.77, 0.999, 1.0]
+    got = exact_quantiles(df, "v", fractions, accuracy).first()[0]
+    np.testing.assert_allclose(got, np.quantile(values, fractions))
+
+
+def test_only_the_bracket_is_ranked(spark, monkeypatch):
+    ranked = []
+    own = prefix.running_totals
+    monkeypatch.setattr(prefix, "running_totals", lambda df, *a, **k: ranked.append(df.count()) or own(df, *a, **k))
+    df = spark.range(200_000).selectExpr("cast(hash(id) as double) as v")
+    exact_quantiles(df, "v", [0.2, 0.5])
+    assert len(ranked) == 2 and sum(ranked) < 0.02 * 200_000
 
 
 def test_normal_distribution(spark):
