@@ -284,7 +284,7 @@ def period_table(daily: DataFrame, trend_threshold: float = 0.05) -> DataFrame:
 
 
 #: Rounds and learning rate of the pooled trees inside the pipeline; alone they default to 100 and 0.1.
-PIPELINE_TREES = (20, 0.3)
+PIPELINE_TREES = (10, 0.4)
 
 
 def forecast_periods(table: DataFrame, horizon: int, trees: tuple[int, float] = PIPELINE_TREES) -> DataFrame:
@@ -686,9 +686,11 @@ def boosted_forecast(weeks: DataFrame, horizon: int = 4, rounds: int = 100, rate
         weeks = weeks.withColumn("days", F.lit(7))
     feats = [f"lag_{k}" for k in LAGS] + [f"{m}_{k}" for k in ROLLS for m in ("mean", "sd")] + list(CAL)
     asm = VectorAssembler(inputCols=feats, outputCol="features")
-    # Every round reads the features again; the weeks behind them are counted once.
-    known = asm.transform(materialise(lag_table(weeks, own)))
-    model = GBTRegressor(labelCol="qty", maxIter=rounds, maxDepth=4, stepSize=rate, seed=42).fit(known)
+    # Every round reads the features again; the weeks behind them are counted once.  Trees are bound by
+    # CPU, so the tasks follow from the number of rows and not from their bytes.
+    table = materialise(lag_table(weeks, own))
+    known = asm.transform(table.repartition(bt.tasks_for(table, 20_000), KEY))
+    model = GBTRegressor(labelCol="qty", maxIter=rounds, maxDepth=4, stepSize=rate, seed=42).fit(known.select("qty", "features"))
     spread_of = model.transform(known).groupBy(KEY).agg(F.stddev_pop(F.col("qty") - F.col("prediction")).alias("sd"))
     keep = Window.partitionBy(KEY).orderBy(F.col("date").desc())
     frame = materialise(weeks.select(KEY, "date", F.col("qty").cast("double").alias("qty"), "days").withColumn(
