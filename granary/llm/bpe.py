@@ -1,7 +1,9 @@
 """Byte-level BPE over length-bucketed, padded numpy matrices.
 
-A text is parted into pieces by the tokenizer's pattern; each task remembers the ids of pieces it
-has seen.  New pieces are bytes, bucketed by length into matrices of token ids padded with -1.  In
+A text is parted into words at single spaces and newlines, which always begin a piece, and words
+into pieces by the tokenizer's pattern.  A task remembers the ids of words in two generations: what
+is used moves to the young one, and when that is full it becomes the old one and the old one goes,
+so that frequent words are never learned again.  New pieces are bytes, bucketed by length into matrices of token ids padded with -1.  In
 every round each unfinished row looks up the ranks of its neighbouring pairs in a hash table of
 pairs, merges its leftmost pair of least rank, and closes the gap; rows without a mergeable pair
 leave the matrix.  Pieces longer than the widest bucket, which would need as many rounds as they
@@ -18,8 +20,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.exprs import parcels
@@ -28,9 +31,13 @@ from granary.llm.exprs import parcels
 BUCKETS = (4, 8, 16, 32, 64, 128, 256)
 #: Rows of one matrix.
 ROWS = 8192
-#: Pieces, and words of several pieces, whose ids a task remembers; when full, it starts afresh.
-REMEMBERED = 300_000
-NONE = np.int64(2**40)
+#: Words of a generation, and pieces inside words, whose ids a task remembers.
+REMEMBERED = 400_000
+#: Texts whose ids and bytes are held at once.
+HELD = 1000
+#: A run of letters and one of these behind it are pieces of their own.
+MARKS = frozenset(".,!?;:")
+NONE = np.int32(2**31 - 1)
 
 _CODECS: dict[tuple[str, str], Codec] = {}
 
@@ -42,7 +49,7 @@ class PairTable:
         keys = (left.astype(np.int64) << 32) | right
         self.mask = np.int64((1 << max(4, int(4 * len(keys)).bit_length())) - 1)
         self.keys = np.full(int(self.mask) + 1, -1, dtype=np.int64)
-        self.values = np.full(int(self.mask) + 1, NONE, dtype=np.int64)
+        self.values = np.full(int(self.mask) + 1, NONE, dtype=np.int32)
         todo, slot = np.arange(len(keys)), self._slot(keys)
         while len(todo):
             empty = self.keys[slot[todo]] == -1
@@ -60,7 +67,7 @@ class PairTable:
         """Merged id, which is the rank, of each pair, or ``NONE``."""
         keys = (left.astype(np.int64) << 32) | np.maximum(right, 0)
         flat = keys.ravel()
-        out = np.full(len(flat), NONE, dtype=np.int64)
+        out = np.full(len(flat), NONE, dtype=np.int32)
         todo = np.flatnonzero(((left >= 0) & (right >= 0)).ravel())
         slot = self._slot(flat[todo])
         while len(todo):
@@ -82,15 +89,17 @@ class Codec:
         self.bytes = [b""] * self.size
         for token, rank in self.ranks.items():
             self.bytes[rank] = token
-        self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         pairs = [
             (self.ranks[t[:k]], self.ranks[t[k:]], r)
             for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks
         ]
         self.pairs = PairTable(*np.array(pairs, dtype=np.int64).T)
         self.pattern = regex.compile(pattern)
-        self.ids: dict[str, bytes] = {}
-        self.known: dict[str, bytes | None] = {}
+        self.ids: dict[str, bytes] = {}  # of pieces that do not begin with a space
+        # A word ``w`` stands for " " + w, with a newline in front for itself; a text's first word is a tuple.
+        self.known: dict[str | tuple, bytes | None] = {}
+        self.old: dict[str | tuple, bytes | None] = {}
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Codec:
@@ -173,9 +182,9 @@ class Codec:
                 ids[np.arange(width) >= lengths[part][:, None]] = -1
                 done = self.merged(ids)
                 filled = (done >= 0).sum(axis=1)
-                small = done.astype("<u4")
-                for k, row, n in zip(part.tolist(), small, filled.tolist()):
-                    out[k] = row[:n].tobytes()
+                raw, ends = done[done >= 0].astype("<u4").tobytes(), (4 * np.cumsum(filled)).tolist()
+                for k, start, end in zip(part.tolist(), [0, *ends], ends):
+                    out[k] = raw[start:end]
             low = width
         for k in np.flatnonzero(lengths > BUCKETS[-1]).tolist():
             out[k] = np.array(self.heaped(new[k]), dtype="<u4").tobytes()
@@ -189,49 +198,101 @@ class Codec:
             new = list(distinct)
         self.ids.update(zip(new, self.pieces([p.encode("utf-8", "surrogatepass") for p in new])))
 
-    def learn(self, words: list[str]) -> None:
+    def recall(self, words: set) -> set:
+        """Brings words of the old generation into the young one; returns those in neither."""
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.old, self.known, new = self.known, {}, words
+        back = self.old.keys() & new
+        self.known.update((w, self.old[w]) for w in back)
+        return new - back
+
+    def learn(self, words: set) -> None:
         """Remembers the ids of words; None for a word whose edge is white space, as it has no ids of its own."""
-        parts: dict[str, list[str]] = {}
-        for w in words:
-            bare = w[1:] if w[:1] == " " else w
-            if not bare or bare[0].isspace() or bare[-1].isspace():
-                self.known[w] = None
+        known = self.known
+        first = {w for w in words if type(w) is tuple}
+        words = words - first
+        whole = {w for w in words if w.isalpha()}
+        words = words - whole
+        ending = {w for w in words if w[-1:] in MARKS and w[:-1].isalpha()}
+        whole.update({w[:-1] for w in ending}.difference(known))
+        new = list(whole)
+        known.update(zip(new, self.pieces([b" " + w.encode("utf-8", "surrogatepass") for w in new])))
+        parts: dict[str | tuple, list[str]] = {}
+        for w in words - ending:
+            bare = w[1:] if w[:1] == "\n" else w
+            if w == "\n":
+                parts[w] = [w]
+            elif not bare or bare[0].isspace() or bare[-1].isspace():
+                known[w] = None
+            else:
+                parts[w] = self.pattern.findall(" " + w if bare is w else w)
+        for w in first:
+            if w[0][-1:].isspace():
+                known[w] = None
             else:
-                parts[w] = [w] if bare.isalpha() else self.pattern.findall(w)
-        self.settle({p for ps in parts.values() for p in ps})
+                parts[w] = self.pattern.findall(w[0])
+        self.settle({p for ps in parts.values() for p in ps} | MARKS)
+        ids = self.ids
+        for w in ending:
+            known[w] = known[w[:-1]] + ids[w[-1]]
         for w, ps in parts.items():
-            self.known[w] = self.ids[ps[0]] if len(ps) == 1 else b"".join([self.ids[p] for p in ps])
+            known[w] = b"".join([ids[p] for p in ps])
+
+    def split(self, text: str) -> list | None:
+        """Words of a text, which may be looked up one by one; None where the text must be parted as a whole.
+
+        A single space between two characters that are not white space begins a piece, a single newline
+        is one, and so is each of two newlines between such characters.
+        """
+        if " \n" in text:
+            return None
+        if not ("\r" in text or "\n\n\n" in text or "\n\n " in text or text.endswith("\n\n")):
+            text = text.replace("\n", " \n")
+        words: list = text.split(" ")
+        words[0] = (words[0],)
+        return words
 
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of texts, each as little-endian unsigned 32-bit bytes.
 
-        A single space between two characters that are not white space always begins a piece, so a
-        text may be parted there and the parts taken from memory.  New parts of about a million
-        characters of text are learned at once.
+        New words of about a million characters of text are learned at once.
         """
         for part in parcels(texts):
-            split = []
-            for text in part:
-                words = text.split(" ")
-                words[1:] = [" " + w for w in words[1:]]
-                split.append(words if text else [])
-            new = set().union(*split).difference(self.known)
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                new = set().union(*split)
-            self.learn(list(new))
+            split = [self.split(t) for t in part]
+            self.learn(self.recall(set().union(*[words for words in split if words])))
+            known = self.known.__getitem__
             for text, words in zip(part, split):
-                found = list(map(self.known.__getitem__, words))
-                if None in found:
+                try:
+                    yield b"".join(map(known, words))
+                except TypeError:  # no words, or one without ids of its own
                     pieces = self.pattern.findall(text)
                     self.settle(set(pieces))
-                    found = map(self.ids.__getitem__, pieces)
-                yield b"".join(found)
+                    yield b"".join(map(self.ids.__getitem__, pieces))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
+def coded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Table (doc_id, ids, raw): ids of each text, four little-endian bytes each, and the bytes they decode to."""
+
+    def run(batches):
+        codec = Codec.of(path, pattern)
+        for b in batches:
+            for at in range(0, b.num_rows, HELD):
+                part = b.slice(at, HELD)
+                ids = list(codec.encode_all([t or "" for t in part["text"].to_pylist()]))
+                raw = map(codec.decode, ids)
+                yield pa.RecordBatch.from_arrays(
+                    [part["doc_id"], pa.array(ids, pa.binary()), pa.array(raw, pa.binary())], ["doc_id", "ids", "raw"]
+                )
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    return source.mapInArrow(run, f"doc_id {kind}, ids binary, raw binary")
+
+
 def encode(text: Column, path: str, pattern: str) -> Column:
     """Binary column: ids of the text, four little-endian bytes each."""
 

@@ -11,8 +11,13 @@ unfilled last bins of a group weigh little.
 Defined results: null text is the empty text (its only token is the end mark); repeated rows are
 packed as often as they occur; further columns play no part.
 
+Strings of special tokens in a text get the ids of these tokens, which is the library's default;
+``special=False`` takes them for ordinary text.
+
 Tokens of a word do not depend on its neighbours when words are parted at ASCII white space, so
-each task keeps the ids of the words it has seen and asks the tokenizer for new ones only.
+each task keeps the ids of words and asks the tokenizer for new ones only, many of them joined to
+one text by a character that stands in none of them.  The words are kept in two generations: what is
+used moves to the young one, and when that is full it becomes the old one and the old one goes.
 """
 
 from __future__ import annotations
@@ -33,37 +38,73 @@ LENGTH = 4096
 END = 2
 #: Tokens of a group: 512 sequences.
 GROUP_TOKENS = 512 * LENGTH
-#: Words whose ids a task remembers; when full, it starts afresh.
-REMEMBERED = 600_000
+#: Words of a generation whose ids a task remembers.
+REMEMBERED = 400_000
+#: Words that are encoded as one text, and the character between them.
+JOINED = 500
+BETWEEN = "\x01"
+#: A run of letters and one of these behind it are tokens of their own.
+MARKS = frozenset(".,!?;:")
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
 
 
 class WordEncoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes, word by word."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special
+        self.marked = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
+        #: Words can be joined where the character between them is one token, which no other text gives.
+        self.between = between[0] if len(between) == 1 else None
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @classmethod
-    def of(cls, path: str) -> WordEncoder:
-        if path not in _ENCODERS:
-            _ENCODERS[path] = cls(path)
-        return _ENCODERS[path]
+    def of(cls, path: str, special: bool = True) -> WordEncoder:
+        if (path, special) not in _ENCODERS:
+            _ENCODERS[path, special] = cls(path, special)
+        return _ENCODERS[path, special]
+
+    def recall(self, words: set[str]) -> set[str]:
+        """Brings words of the old generation into the young one; returns those in neither."""
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.old, self.known, new = self.known, {}, words
+        back = self.old.keys() & new
+        self.known.update((w, self.old[w]) for w in back)
+        return new - back
 
     def learn(self, words: set[str]) -> None:
-        # A letter run and the mark behind it are tokens of their own: only the run may be new.
-        ending = {w for w in words if len(w) > 1 and w[-1] in ".,!?;:" and w[:-1].isalpha()}
-        new = list((words - ending) | {w[:-1] for w in ending}.difference(self.known) | {w[-1] for w in ending})
-        for at in range(0, len(new), 10_000):
-            part = new[at:at + 10_000]
+        # The run stays one of letters when the tokenizer normalises it: a dotted capital I does not.
+        ending = {
+            w for w in words if w[-1:] in MARKS and w[:-1].isalpha()
+            and (w.isascii() or unicodedata.normalize("NFC", w[:-1]).lower().isalpha())
+        }
+        new = words - ending
+        new.update({w[:-1] for w in ending}.difference(self.known), {w[-1] for w in ending})
+        alone = [w for w in new if BETWEEN in w] if self.between is not None else list(new)
+        joined = list(new.difference(alone))
+        gap = f" {BETWEEN} "
+        for at in range(0, len(joined), 100 * JOINED):
+            part = joined[at:at + 100 * JOINED]
+            runs = [gap.join(part[k:k + JOINED]) + gap for k in range(0, len(part), JOINED)]
+            ids = np.concatenate([
+                np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)
+            ])
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(part, (4 * np.flatnonzero(ids == self.between)).tolist(), strict=True):
+                self.known[w] = raw[start:end]
+                start = end + 4
+        for at in range(0, len(alone), 10_000):
+            part = alone[at:at + 10_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
         for w in ending:
@@ -73,30 +114,31 @@ class WordEncoder:
         """Ids of texts; new words of about a million characters of text are learned at once."""
         for part in parcels(texts):
             split = [self.split(t) for t in part]
-            new = set().union(*split).difference(self.known)
-            if len(self.known) + 2 * len(new) > REMEMBERED:
-                self.known.clear()
-                new = set().union(*split)
-            self.learn(new)
+            self.learn(self.recall(set().union(*split)))
+            known = self.known.__getitem__
             for words in split:
-                yield b"".join(map(self.known.__getitem__, words))
-
-    @staticmethod
-    def split(text: str) -> list[str]:
-        if unicodedata.is_normalized("NFC", text) and "\u03a3" not in text and "\u0130" not in text:
-            text = text.lower()  # as the tokenizer would; the two letters excepted depend on their neighbours
+                yield b"".join(map(known, words))
+
+    def split(self, text: str) -> list[str]:
+        low = text.lower()  # as the tokenizer would; two letters excepted, which depend on their neighbours
+        if (
+            unicodedata.is_normalized("NFC", text) and "\u03a3" not in text and "\u0130" not in text
+            and not any(t in low for t in self.marked)  # special tokens are found before lower-casing
+        ):
+            text = low
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
 def tokenise(
-    docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, id_col: str = "doc_id", text_col: str = "text",
+    special: bool = True,
 ) -> DataFrame:
     """Table (doc_id, start, length, doc_tokens, ids): pieces with their ids, 4 bytes each, little-endian."""
     mark = np.array([end], dtype="<u4").tobytes()
     width = 4 * length
 
     def run(batches):
-        encoder = WordEncoder.of(tokenizer)
+        encoder = WordEncoder.of(tokenizer, special)
         for b in batches:
             row, start, size, whole, ids = [], [], [], [], []
             texts = [t or "" for t in b["text"].to_pylist()]

@@ -141,9 +141,7 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op7_byte_bpe")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    ids = docs.select("doc_id", bpe.encode(F.col("text"), path, pattern).alias("ids"))
-    return ids.withColumn("raw", bpe.decode(F.col("ids"), path, pattern)).select(
+    return bpe.coded(table(spark, folder, "documents"), path, pattern).select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("raw", 256).alias("decoded_sha256"),
     )

@@ -15,9 +15,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def ids_of(tokenizer, text):
@@ -47,13 +45,17 @@ def test_tree_is_first_fit_decreasing():
 
 def test_word_memory_equals_the_tokenizer(tokenizer, monkeypatch):
     rng = random.Random(2)
-    texts = ["", " ", "ΣΟΦΟΣ x", "İstanbul", "Été é.", "it's 'll ' s", "...a..b, c,d ,e", "<|endoftext|> <|startoftext|>x", "a\x1cb\xa0c d", "日本語。 \U0001f389!"]
-    texts += ["".join(rng.choice("aB .,;:'éÉΣ1\n\t́") for _ in range(rng.randint(1, 50))) for _ in range(400)]
+    texts = ["", " ", "ΣΟΦΟΣ x", "İstanbul", "Été é.", "it's 'll ' s", "...a..b, c,d ,e", "<|endoftext|> <|startoftext|>x", "<|ENDOFTEXT|> a<|endoftext|>B.", "İ. İ, aİ! x", "\u0958. क़,", "a\x01b \x01 c", "\x01", "a\x1cb\xa0c d", "日本語。 \U0001f389!"]
+    texts += ["".join(rng.choice("aB .,;:'éÉΣİ1\n\t\x01́") for _ in range(rng.randint(1, 50))) for _ in range(400)]
     encoder = packing.WordEncoder(PATH)
     for limit in (600_000, 20):
         monkeypatch.setattr(packing, "REMEMBERED", limit)
         got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_all(texts)]
         assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    plain = Tokenizer.from_file(PATH)
+    plain.encode_special_tokens = True
+    got = [np.frombuffer(x, "<u4").tolist() for x in packing.WordEncoder(PATH, special=False).encode_all(texts)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 @pytest.mark.parametrize("group", [packing.GROUP_TOKENS, 3000])

@@ -36,7 +36,6 @@ def test_stages_against_loops(spark):
         assert masked[k].text == want + text[at:]
 
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     packed = frames[-1].collect()
     assert sum(p.length for p in packed) == sum(len(ids_of(tokenizer, r.text)) for r in masked.values())
     assert {p.doc_id for p in packed} == set(masked)
