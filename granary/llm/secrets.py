@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.exprs import let
+from granary.llm.exprs import let, scan
 
 # The patterns of the base spans, by kind, in the order in which ties are listed.
 ASSIGN = (
@@ -32,6 +32,7 @@ ASSIGN = (
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "entropy")
+ENTROPY = 3
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
@@ -49,7 +50,8 @@ ALLOW = (
     r".*(?:[Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Xx]{6}|0123456789|123456789|[Pp]laceholder).*",
 )
 
-SPAN = "array<struct<start:int,end:int>>"
+PLACE = "struct<start:int,end:int>"
+SPAN = f"array<{PLACE}>"
 
 
 def _placed(text: Column, pattern: str, keep=None) -> Column:
@@ -64,19 +66,10 @@ def _placed(text: Column, pattern: str, keep=None) -> Column:
     def spans(m: Column, g: Column) -> Column:
         both = F.zip_with(m, g, lambda x, y: F.struct(F.length(y).alias("gap"), F.length(x).alias("len")))
         both = F.filter(both, lambda x: x["len"].isNotNull())
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-        return F.aggregate(
-            both,
-            start,
-            lambda a, x: F.struct(
-                (a["at"] + x["gap"] + x["len"]).alias("at"),
-                F.concat(
-                    a["out"],
-                    F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["len"]).alias("end"))),
-                ).alias("out"),
-            ),
-            lambda a: a["out"],
-        )
+        return scan(both, F.lit(0), lambda at, x: F.struct(
+            (at + x["gap"] + x["len"]).alias("state"),
+            F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["len"]).alias("end")).alias("value"),
+        ), PLACE)
 
     placed = let(found, lambda m: let(gaps, lambda g: spans(m, g)))
     if keep is not None:
@@ -144,18 +137,26 @@ def window_spans(candidate: Column) -> Column:
 
 def _entropy(text: Column) -> Column:
     """Entropy spans of the text's candidates."""
-    return let(
-        _placed(text, CANDIDATE),
-        lambda places: F.flatten(F.transform(
-            places,
-            lambda p: let(
-                F.substring(text, p["start"] + 1, p["end"] - p["start"]),
-                lambda c: F.transform(window_spans(c), lambda s: F.struct(
-                    (s["start"] + p["start"]).alias("start"), (s["end"] + p["start"]).alias("end")
-                )),
-            ),
-        )),
+    # The candidates come with their places: cutting them out by position would walk the text for each.
+    both = F.arrays_zip(
+        _placed(text, CANDIDATE).alias("place"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("candidate")
     )
+    return F.flatten(F.transform(
+        both,
+        lambda p: F.transform(window_spans(p["candidate"]), lambda s: F.struct(
+            (s["start"] + p["place"]["start"]).alias("start"), (s["end"] + p["place"]["start"]).alias("end")
+        )),
+    ))
+
+
+def _outside(base: Column, more: Column) -> Column:
+    """The spans of ``more`` that lie in no span of ``base``, by one pass over both in order of their start."""
+    both = F.array_sort(F.concat(base, _of_kind(more, ENTROPY)))
+    seen = scan(both, F.lit(0), lambda reach, x: F.struct(
+        F.when(x["kind"] < ENTROPY, F.greatest(reach, x["end"])).otherwise(reach).alias("state"),
+        F.when((x["kind"] == ENTROPY) & (x["end"] > reach), x).alias("value"),
+    ), "struct<start:int,kind:int,end:int>")
+    return F.filter(seen, lambda x: x.isNotNull())
 
 
 def _listed(spans: list[tuple[int, Column]]) -> Column:
@@ -178,14 +179,10 @@ def found(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.col("_text")
     rows = rows.withColumn("base", _listed([(0, _assign(text)), (1, _placed(text, ACCESS)), (2, _placed(text, HEX))]))
     more = F.when(text.rlike(CANDIDATE), _entropy(text)).otherwise(F.array().cast(SPAN))
-    new = let(
-        F.col("base"),
-        lambda b: F.filter(more, lambda e: ~F.exists(b, lambda x: (x["start"] <= e["start"]) & (x["end"] >= e["end"]))),
-    )
-    rows = rows.withColumn("_extra", new)
+    rows = rows.withColumn("_extra", _outside(F.col("base"), more))
     return rows.withColumn(
         "spans",
-        F.array_sort(F.concat("base", _of_kind(F.col("_extra"), 3))),
+        F.array_sort(F.concat("base", "_extra")),
     ).select("_in", "_text", "base", "spans")
 
 
@@ -203,23 +200,17 @@ def rendered(spans: Column) -> Column:
 def mask(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", mark: str = "[SECRET]") -> DataFrame:
     """The documents with every span (overlapping ones as one) replaced by ``mark``."""
     rows = found(docs, text_col)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def take(t: Column):
-        # Up to ``at`` the text is copied or masked; a span that begins before it only extends the mask.
-        return lambda a, s: F.when(
-            (s["start"] >= a["at"]) | (F.size(a["out"]) == 0),
-            F.struct(
-                s["end"].alias("at"),
-                F.concat(a["out"], F.array(F.substring(t, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).alias("out"),
-            ),
-        ).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")))
+        # Up to the state the text is copied or masked; a span that begins before it only extends the mask.
+        return lambda at, s: F.struct(
+            F.greatest(at, s["end"]).alias("state"),
+            F.when(s["start"] >= at, F.concat(F.substring(t, at + 1, s["start"] - at), F.lit(mark))).otherwise("").alias("value"),
+        )
 
     def whole(t: Column) -> Column:
-        return F.aggregate(
-            F.col("spans"), start, take(t),
-            lambda a: F.concat(F.array_join(a["out"], ""), F.substring(t, a["at"] + 1, F.length(t))),
-        )
+        rest = F.substring(t, F.array_max(F.transform("spans", lambda s: s["end"])) + 1, F.length(t))
+        return F.concat(F.array_join(scan(F.col("spans"), F.lit(0), take(t), "string"), ""), rest)
 
     changed = F.size("spans") > 0
     rows = rows.withColumn("_masked", F.when(changed, let(F.col("_text"), whole)))
