@@ -3,18 +3,26 @@
 Pages of a host share a template.  One page per host (the one nearest to a given size) is the
 model tree.  Every page's DOM tree is aligned with the model by simple tree matching: roots must
 carry the same label, and the children of matched nodes are aligned in order so that the number
-of matched nodes below is largest.  Over all pages of the host, the text of every model node is
-compared with the aligned nodes: a node whose text is the same on most different pages is
-constant and belongs to the template, a node whose text varies is a slot.
-
-A page's text is what stands in its slots and in nodes that the template lacks, unless markup says
-that the place is a menu, header, footer, sidebar, notice, advert, form, script, style or reader
-comment.  Where a page marks its article (``article``, ``main``), only what is inside counts, and
-there a constant node goes only if its markup alone would let it be either, so that copies of an
-article are never taken for a template.
-
-Pages with equal html vote once, and hosts with fewer than ``LEAST_PAGES`` different pages have no
-template.  Votes are summed per host and node on the map side; a host may hold any share of pages.
+of matched nodes below is largest.  The pages of a host vote on the model's nodes, and the template
+that they elect decides on every page of the host, whether it marks an article or not:
+
+* a run of text that is the same on most pages is constant and belongs to the template; the others
+  are slots;
+* the region of the host is the innermost element that holds ``REGION`` of the varying text and of
+  the varying headings; slots outside it are furniture whatever their names;
+* an element that markup calls an article on most pages is one on all of them, and so is a menu,
+  header, footer, sidebar, notice, advert, form or reader comment.
+
+A page's text is what stands in slots and in nodes that the template lacks, inside the region.
+Markup breaks ties: a marked article (``article``, ``main``) says where in the region the article
+begins, furniture that varies from page to page inside the region is known by its names, and pages
+without a template are read by markup alone.
+
+Pages with equal html vote once.  Inside a marked article a page that agrees with the model in more
+than half of its characters is a copy of the model's article and has no vote there, so that an
+article of many copies is not taken for template.  Hosts with fewer than ``LEAST_PAGES`` different
+pages have no template.  Votes are summed per host and node on the map side; a host may hold any
+share of pages.
 
 Defined results: null html gives the empty text; a page with null or odd URL belongs to no host
 and is read by its markup alone; repeated rows and further columns are plain.
@@ -35,8 +43,12 @@ from granary.functions.prefix import materialise
 #: Different pages a host needs, and the share of them on which a text is constant.
 LEAST_PAGES = 5
 CONSTANT = 0.6
+#: Share of a host's varying text and headings that its region holds.
+REGION = 0.8
 #: The model page of a host is the one whose html is nearest to this many characters.
 MODEL_CHARS = 2000
+#: Characters of model pages whose trees a task keeps.
+KEPT_CHARS = 2_000_000
 
 # Element names of HTML by their role here.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -80,6 +92,8 @@ ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(
 SPLIT = re.compile(r"[^a-z]+")
 SPACE = re.compile(r"\s+")
 HEADLINE = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements that hold text and no layout: the region is never one of them.
+TEXTUAL = HEADLINE | {"p", "li", "dt", "dd", "td", "th", "pre", "blockquote", "figcaption", "caption", "address"}
 
 
 class Node:
@@ -233,14 +247,14 @@ def _matching(model: Node, page: Node) -> dict:
     return weights
 
 
-def aligned(model: Node, page: Node) -> list[tuple[Node, Node]]:
-    """Matched pairs (model node, page node) of text runs."""
+def matched(model: Node, page: Node) -> list[tuple[Node, Node]]:
+    """Matched pairs (model node, page node)."""
     weights = _matching(model, page)
     out, stack = [], [(model, page)] if weights else []
     while stack:
         a, b = stack.pop()
+        out.append((a, b))
         if a.label == "#":
-            out.append((a, b))
             continue
         table = weights[id(a), id(b)][1]
         i, j = len(a.children), len(b.children)
@@ -255,28 +269,169 @@ def aligned(model: Node, page: Node) -> list[tuple[Node, Node]]:
     return out
 
 
-def content(page: Node, constant: set[int]) -> str:
-    """Blocks of the page outside furniture and template; ``constant`` holds ids of text runs."""
-    articles, stack = [], [page]
-    while stack:
-        n = stack.pop()
-        if n.furniture:
-            continue
-        if n.article:
-            articles.append(n)
+def aligned(model: Node, page: Node) -> list[tuple[Node, Node]]:
+    """Matched pairs of text runs."""
+    return [(a, b) for a, b in matched(model, page) if a.label == "#"]
+
+
+def _tag(node: Node) -> str:
+    return node.label.partition(".")[0]
+
+
+class Template:
+    """The model tree of a host and, once votes are counted, what they say of its nodes."""
+
+    def __init__(self, model: str):
+        self.root = tree(model)
+        number(self.root)
+        self.inside: set[int] = set()  # text runs of the model's marked articles
+        stack = [(self.root, False)]
+        while stack:
+            n, article = stack.pop()
+            article = article or n.article
+            if article and n.label == "#":
+                self.inside.add(n.key)
+            stack.extend((c, article) for c in n.children)
+        self.constant: set[int] = set()
+        self.furniture: set[int] = set()
+        self.articles: set[int] = set()
+        self.region: int | None = None
+
+    def ballot(self, page: Node) -> dict[int, list[int]]:
+        """Votes of a page per model node: met, same, varying characters, varying headings, marked as furniture or article.
+
+        Text that the model lacks counts for the nearest matched element above.  The keys -1 and -2
+        count the pages that vote at all and inside articles.
+        """
+        pairs = matched(self.root, page)
+        to = {id(b): a for a, b in pairs}
+        votes = {-1: [1, 0, 0, 0, 0, 0]}
+        total, stack = 0, [(page, self.root, False, False)]
+        while stack:
+            n, near, head, article = stack.pop()
+            match = to.get(id(n))
+            near, article = match or near, article or n.article
+            if n.label != "#":
+                if match:
+                    vote = votes.setdefault(match.key, [0] * 6)
+                    vote[0] += 1
+                    vote[5] += n.article
+                if n.furniture:
+                    if match:
+                        votes[match.key][4] += 1
+                    continue
+                head = head or _tag(n) in HEADLINE
+                stack.extend((c, near, head, article) for c in n.children)
+                continue
+            total += len(n.text) if article else 0
+            if match is None or match.text != n.text:
+                vote = votes.setdefault(near.key, [0] * 6)
+                vote[2] += len(n.text)
+                vote[3] += head
+        agreed = sum(len(a.text) for a, b in pairs if a.key in self.inside and a.text == b.text)
+        judge = total > 0 and 2 * agreed <= total
+        if judge:
+            votes[-2] = [1, 0, 0, 0, 0, 0]
+        for a, b in pairs:
+            if a.label == "#" and (judge or a.key not in self.inside):
+                vote = votes.setdefault(a.key, [0] * 6)
+                vote[0] += 1
+                vote[1] += a.text == b.text
+        return votes
+
+    def elect(self, votes: dict[int, tuple]) -> Template:
+        """Draws the conclusions from the summed votes of a host."""
+        none = (0, 0, 0, 0, 0, 0)
+        pages, judges = votes.get(-1, none)[0], votes.get(-2, none)[0]
+        order, stack = [], [self.root]
+        while stack:
+            n = stack.pop()
+            order.append(n)
+            stack.extend(n.children)
+        chars, heads = {}, {}
+        for n in reversed(order):
+            met, same, varying, headings, marked, article = votes.get(n.key, none)
+            if n.label == "#":
+                voters = judges if n.key in self.inside else pages
+                if voters >= LEAST_PAGES and same >= CONSTANT * voters:
+                    self.constant.add(n.key)
+            elif met and 2 * marked >= met:
+                self.furniture.add(n.key)
+            elif met and 2 * article >= met:
+                self.articles.add(n.key)
+            alive = [c.key for c in n.children if c.key not in self.furniture]
+            chars[n.key] = varying + sum(chars[k] for k in alive)
+            heads[n.key] = headings + sum(heads[k] for k in alive)
+        at = self.root
+        least, least_heads = REGION * chars[at.key], REGION * heads[at.key]
+        while least > 0 and at.key not in self.articles:
+            inner = next((
+                c for c in at.children if c.label != "#" and _tag(c) not in TEXTUAL and c.key not in self.furniture
+                and chars[c.key] >= least and heads[c.key] >= least_heads), None)
+            if inner is None:
+                break
+            at = inner
+        self.region = at.key if at is not self.root else None
+        return self
+
+    def text(self, page: Node) -> str:
+        """Text of a page of the host."""
+        constant, furniture, main, region = set(), set(), set(), None
+        for a, b in matched(self.root, page):
+            if a.label == "#":
+                if a.key in self.constant and a.text == b.text:
+                    constant.add(id(b))
+            elif a.key in self.furniture:
+                furniture.add(id(b))
+            elif a.key in self.articles:
+                main.add(id(b))
+            elif a.key == self.region:
+                region = b
+        return content(page, constant, furniture, main, region)
+
+
+def content(
+    page: Node, constant: set[int], furniture: set[int] = frozenset(), main: set[int] = frozenset(), region: Node | None = None
+) -> str:
+    """Blocks of the page inside its articles or region, outside furniture and template; sets of ``id``."""
+
+    def articles(top: Node) -> list[Node]:
+        found, stack = [], [top]
+        while stack:
+            n = stack.pop()
+            if n.furniture or id(n) in furniture:
+                continue
+            if n.article or id(n) in main:
+                found.append(n)
+            else:
+                stack.extend(n.children)
+        return found
+
+    roots = {id(n) for n in articles(page)}
+    if region is not None and not articles(region):
+        if roots:  # marked articles that hold the region or stand beside it
+            stack = [n for n in [page] if id(n) not in roots]
+            beside = False
+            while stack:
+                n = stack.pop()
+                beside = beside or n is region
+                stack.extend(c for c in n.children if id(c) not in roots)
+            if beside:
+                roots.add(id(region))
         else:
-            stack.extend(reversed(n.children))
+            roots = {id(region)}
     blocks = []
-    stack = list(reversed(articles)) if articles else [page]
+    stack = [(page, not roots)]
     while stack:
-        n = stack.pop()
-        if n.furniture:
+        n, inside = stack.pop()
+        inside = inside or id(n) in roots
+        if n.furniture or id(n) in furniture:
             continue
         if n.label == "#":
-            if articles or id(n) not in constant:
+            if inside and id(n) not in constant:
                 blocks.append(n.text)
         else:
-            stack.extend(reversed(n.children))
+            stack.extend((c, inside) for c in reversed(n.children))
     return "\n".join(blocks)
 
 
@@ -286,25 +441,44 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
+class _Kept:
+    """The templates that a task has met, as many as ``KEPT_CHARS`` characters of model pages."""
+
+    def __init__(self):
+        self.known: dict = {}
+        self.chars = 0
+
+    def __call__(self, key, model: str, votes=None) -> Template:
+        if key not in self.known:
+            if self.chars + len(model) > KEPT_CHARS:
+                self.known.clear()
+                self.chars = 0
+            found = Template(model)
+            if votes is not None:
+                found.elect({v["node"]: tuple(v[c] for c in TALLY) for v in votes})
+            self.known[key] = found
+            self.chars += len(model)
+        return self.known[key]
+
+
+TALLY = ("met", "same", "chars", "heads", "marked", "article")
+
+
 def _votes(batches):
-    """Per page and text run of its host's model: does the aligned text agree?"""
-    trees: dict[str, Node] = {}
+    """Votes of the pages of a batch, summed per host and model node."""
+    kept = _Kept()
     for frame in batches:
         rows: dict[tuple[str, int], list[int]] = {}
         for host, page, model in zip(frame["host"], frame["html"], frame["model"]):
-            if model not in trees:
-                trees.clear()
-                trees[model] = tree(model)
-                number(trees[model])
-            for a, b in aligned(trees[model], tree(page)):
-                vote = rows.setdefault((host, a.key), [0, 0])
-                vote[0] += 1
-                vote[1] += a.text == b.text
-        yield pd.DataFrame([(h, k, *v) for (h, k), v in rows.items()], columns=["host", "node", "met", "same"])
+            for key, vote in kept(host, model).ballot(tree(page)).items():
+                held = rows.setdefault((host, key), [0] * len(TALLY))
+                for k, x in enumerate(vote):
+                    held[k] += x
+        yield pd.DataFrame([(h, k, *v) for (h, k), v in rows.items()], columns=["host", "node", *TALLY])
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """Table (host, model, constant): model html and numbers of its constant text runs."""
+    """Table (host, model, votes): model html and the votes on its nodes, no more than it has nodes and two."""
     different = pages.filter("host is not null").groupBy("host", F.xxhash64("html").alias("h")).agg(
         F.min(F.struct(F.abs(F.length("html") - MODEL_CHARS).alias("far"), F.col("page_id").alias("page_id"))).alias("near"),
         F.count(F.lit(1)).alias("copies"),
@@ -324,28 +498,26 @@ def templates(pages: DataFrame) -> DataFrame:
         pages.withColumn("h", F.xxhash64("html")).join(again, ["host", "h"], "left")
         .filter(F.col("first").isNull() | (F.col("page_id") == F.col("first"))).join(models.select("host", "model"), "host")
     )
-    votes = voting.select("host", "html", "model").mapInPandas(_votes, "host string, node int, met long, same long")
-    constant = (
-        votes.groupBy("host", "node").agg(F.sum("same").alias("same")).join(models.select("host", "n"), "host")
-        .filter(F.col("same") >= CONSTANT * F.col("n")).groupBy("host").agg(F.collect_set("node").alias("constant"))
+    votes = voting.select("host", "html", "model").mapInPandas(
+        _votes, "host string, node int, " + ", ".join(f"{c} long" for c in TALLY)
     )
-    return materialise(models.select("host", "model").join(constant, "host"))
+    summed = votes.groupBy("host", "node").agg(*[F.sum(c).alias(c) for c in TALLY])
+    told = summed.groupBy("host").agg(F.collect_list(F.struct("node", *TALLY)).alias("votes"))
+    return materialise(models.select("host", "model").join(told, "host"))
 
 
 def _extract(batches):
-    trees: dict[str, Node] = {}
+    kept = _Kept()
     for b in batches:
         out = []
-        for page, model, constant in zip(b["html"].to_pylist(), b["model"].to_pylist(), b["constant"].to_pylist()):
-            root, fixed = tree(page), set()
-            if model is not None:
-                if model not in trees:
-                    trees.clear()
-                    trees[model] = tree(model)
-                    number(trees[model])
-                numbers = set(constant)
-                fixed = {id(y) for x, y in aligned(trees[model], root) if x.key in numbers and x.text == y.text}
-            out.append(content(root, fixed))
+        votes = b["votes"]
+        for k, (host, page, model) in enumerate(zip(*(b[c].to_pylist() for c in ("host", "html", "model")))):
+            root = tree(page)
+            if model is None:
+                out.append(content(root, set()))
+            else:
+                told = votes[k].as_py() if host not in kept.known else None
+                out.append(kept(host, model, told).text(root))
         yield pa.RecordBatch.from_arrays(
             [b["page_id"], b["url"], pa.array(out, pa.string())], ["page_id", "url", "text"]
         )
@@ -359,7 +531,10 @@ def extract(
         pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"),
         F.coalesce(pages[html_col].cast("string"), F.lit("")).alias("html"),
     ).withColumn("host", host_of(F.col("url")))
-    known = templates(rows)
-    return rows.join(known, "host", "left").select("page_id", "url", "html", "model", "constant").mapInArrow(
+    known = templates(rows).withColumnRenamed("host", "key")
+    # Pages without a host meet no template; keys of their own keep them off one task.
+    key = F.coalesce("host", F.concat(F.lit(" "), F.xxhash64("page_id", "html").cast("string")))
+    told = rows.withColumn("key", key).join(known, "key", "left")
+    return told.select("page_id", "url", "host", "html", "model", "votes").mapInArrow(
         _extract, "page_id long, url string, text string"
     )

@@ -75,3 +75,47 @@ def test_query_takes_the_articles(spark):
         parts = [re.sub(r"<[^>]+>", "", x.replace("<br>", " ")) for x in re.split(r"</?(?:p|h1)>", article)]
         want = [x for x in (re.sub(r"\s+", " ", html.unescape(x)).strip() for x in parts) if x]
         assert r.text == "\n".join(want) and r.n_chars == len(r.text)
+
+
+def unnamed(k, body, tail=""):
+    """A page whose furniture varies and carries no telling name."""
+    return (f"<html><body><div><ul><li><a href='/{k}'>go {k}</a></li><li>way {k * 7}</li></ul></div><div class='x1'>buy {k * 3}</div>"
+            f"<div class='x2'>{body}{tail}</div><div>site &copy; {k}</div></body></html>")
+
+
+def test_template_decides_without_names_and_inside_articles(spark, nothing):
+    story = "".join
+    rows = [(k, f"http://plain.example/{k}", unnamed(k, f"<h1>head {k}</h1>" + story(f"<p>line {k} {j} of a story that goes on for some while</p>" for j in range(2 + k % 3)))) for k in range(9)]
+    # A marked article that holds constant text; pages 110.. are copies of one article with other menus.
+    rows += [(100 + k, f"http://marked.example/{k}", unnamed(
+        k, f"<article><p>Share this article</p><h1>title {k}</h1><p>text {k} that differs from all the others</p></article>", "<p>tail</p>")) for k in range(9)]
+    copied = "<article><h1>one title</h1>{}<p>a text that is copied again and again</p></article>"
+    rows += [(200 + k, f"http://copied.example/{k}", unnamed(k, copied.format(f"<p>no {k}</p>"))) for k in range(9)]
+    # A page of a host with marks that has none itself: the region is that of the host.
+    rows += [(300 + k, f"http://mixed.example/{k}", unnamed(
+        k, f"<div class='text'{' role=' + chr(34) + 'main' + chr(34) if k else ''}><h1>title {k}</h1><p>some text {k} that is long enough</p></div>")) for k in range(9)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrapper.extract(table).collect()}
+    for k in range(9):
+        assert got[k] == "\n".join([f"head {k}"] + [f"line {k} {j} of a story that goes on for some while" for j in range(2 + k % 3)])
+        assert got[100 + k] == f"title {k}\ntext {k} that differs from all the others"
+        assert got[200 + k] == f"one title\nno {k}\na text that is copied again and again"
+        assert got[300 + k] == f"title {k}\nsome text {k} that is long enough"
+
+
+def test_region_of_benchmark_pages_without_marks(spark):
+    """With every telling element renamed to ``div`` the template still finds the articles."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    want = {r.page_id: r.text for r in wrapper.extract(pages).collect()}
+    bare = pages.withColumn("html", F.regexp_replace("html", r"<(/?)(?:article|nav|footer)>", "<$1div>")).withColumn(
+        "html", F.regexp_replace("html", r' class="[^"]*"', ""))
+    hosts = {r[0] for r in wrapper.templates(pages.withColumn("host", wrapper.host_of(F.col("url")))).select("host").collect()}
+    got = {r.page_id: (r.url, r.text) for r in wrapper.extract(bare).collect()}
+    known = [p for p, (url, _) in got.items() if url and re.sub(r".*://([^/]+).*", r"\1", url) in hosts]
+    right = sum(got[p][1] == want[p] for p in known)
+    print("unmarked pages read as the marked ones:", right, "of", len(known))
+    assert known and right >= 0.9 * len(known)
