@@ -7,10 +7,13 @@ equal one of smaller id.  Only what is left is rendered.
 The hash of a prefix is a pair of sums over hashes of (position, digest of the turn), so it rolls
 on turn by turn and its parts can be added up across tasks.  Only digests move before rendering.
 
+Every conversation is rendered in parts of about ``PART`` characters and at most one turn more,
+numbered from 0: a turn belongs to the part in which it begins, so a number may be missing after a
+turn that fills more than a part.  Joined by a newline in the order of ``part``, the parts are what
+one rendering would be.
+
 A conversation of more than ``long_rows`` turns or ``long_chars`` characters never stands in one
-task: its turns are laid out in ranges, hashed by running totals and rendered in parts of about
-``PART`` characters and at most one turn more.  Joined by a newline in the order of ``part``, the
-parts are what one rendering would be; shorter conversations have the one part 0.
+task: its turns are laid out in ranges and hashed by running totals.  The rows are the same.
 
 Null role or text: empty.  Turns are ordered by turn (null first), role and digest; repeated rows
 are repeated turns.  Rows of a null conversation go.  An empty table gives no rows; other columns
@@ -29,7 +32,7 @@ from granary.functions.prefix import materialise, running_totals
 LONG_ROWS = 4096
 LONG_CHARS = 16_000_000
 
-#: Characters after which a part of a long conversation ends.
+#: Characters after which a part of a conversation ends.
 PART = 1_000_000
 
 _ORDER = ("turn", "role", "d")
@@ -97,7 +100,7 @@ def render(turns: DataFrame, long_rows: int = LONG_ROWS, long_chars: int = LONG_
     long = materialise(sizes.where((F.col("n") > long_rows) | (F.col("chars") > long_chars)).select("conv_id"))
     if long.isEmpty():
         kept = _maximal(_prefixes_short(rows))
-        return _whole(rows, kept)
+        return _whole(rows, kept, part)
     short = rows.join(long, "conv_id", "left_anti")
     placed = _placed_long(rows.join(long, "conv_id", "left_semi"))
     kept = materialise(_maximal(_prefixes_short(short).unionByName(_prefixes_long(placed))))
@@ -108,10 +111,12 @@ def render(turns: DataFrame, long_rows: int = LONG_ROWS, long_chars: int = LONG_
         "conv_id", "n_turns", F.explode(F.sequence(F.lit(0).cast("long"), span)).alias("part"))
     cut = placed.withColumn("part", F.floor((F.col("upto") - F.col("size")) / part))
     pieces = cut.groupBy("conv_id", "part").agg(_joined("rendered", ["pos"])).join(parts, ["conv_id", "part"])
-    return _whole(short, kept).unionByName(pieces.select("conv_id", "n_turns", "part", "rendered"))
+    return _whole(short, kept, part).unionByName(pieces.select("conv_id", "n_turns", "part", "rendered"))
 
 
-def _whole(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """Conversations that fit a task, after the semi-join in the same exchange as the grouping."""
-    told = rows.join(kept, "conv_id").groupBy("conv_id", "n_turns").agg(_joined("rendered", list(_ORDER)))
-    return told.select("conv_id", "n_turns", F.lit(0).cast("long").alias("part"), "rendered")
+def _whole(rows: DataFrame, kept: DataFrame, part: int) -> DataFrame:
+    """Conversations that fit a task: join, running size and grouping in one exchange."""
+    upto = Window.partitionBy("conv_id").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = rows.join(kept, "conv_id").withColumn("part", F.floor((F.sum("size").over(upto) - F.col("size")) / part))
+    told = cut.groupBy("conv_id", "n_turns", "part").agg(_joined("rendered", list(_ORDER)))
+    return told.select("conv_id", "n_turns", "part", "rendered")

@@ -70,6 +70,14 @@ def test_parts_of_long_conversations_are_bounded(spark):
     assert max(len(r.rendered) for r in out) < 200 + 15 and len([r for r in out if r.conv_id == 1]) >= 20
 
 
+def test_parts_do_not_depend_on_the_way(spark):
+    df = spark.createDataFrame([r + ("p", "d", 1, 2, 3) for r in grown(3)], SCHEMA).repartition(4)
+    for part in (1, 40, 1000):
+        rows = {tuple(r) for r in chat.render(df, part=part).collect()}
+        assert rows == {tuple(r) for r in chat.render(df, long_rows=2, part=part).collect()}
+        assert part == 1000 or len(rows) > len({r[0] for r in rows})
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert chat.render(df).count() == 0
