@@ -23,7 +23,6 @@ import hashlib
 import posixpath
 import re
 import struct
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -32,11 +31,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.functions.prefix import ensure_checkpoint_dir, materialise
+from granary.functions.prefix import materialise, work_folder
 
 SMALL = 1000
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 256 << 20
+#: Bytes of records that one task reads back, about.
+READ_BYTES = 32 << 20
 LEVEL = 3
 #: Time stamp of all records: the table has none, and equal inputs give equal archives.
 DATE = "2024-01-01T00:00:00Z"
@@ -157,9 +158,8 @@ def parse(data: bytes, at: int = 0) -> dict:
 
 
 def archive_folder(spark: SparkSession) -> str:
-    """A new folder beside the checkpoints, which all executors see."""
-    root = ensure_checkpoint_dir(spark) or tempfile.gettempdir()
-    return f"{root}/warc-{uuid.uuid4().hex}"
+    """A new folder beside the checkpoints, which all executors see; removed when the application ends."""
+    return work_folder(spark, "warc")
 
 
 def write(
@@ -210,8 +210,12 @@ def read(index: DataFrame, folder: str) -> DataFrame:
     """Records of an index: (page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload).
 
     ``payload_digest`` and ``payload_bytes`` of a response are taken from the payload that was read.
-    Frames are dealt out, so a bundle is read by many tasks, each of them seeking to its frames.
+    Frames are dealt out to as many tasks as their bytes need, so a bundle is read by many tasks, each of
+    them seeking to its frames.
     """
+    # The index is small beside what it names, so adaptive execution must not choose the number of tasks.
+    size = index.agg(F.sum("length")).first()[0] or 0
+    tasks = 1 + size // READ_BYTES
     frames = index.groupBy("bundle", "frame").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
 
     def run(batches):
@@ -241,7 +245,7 @@ def read(index: DataFrame, folder: str) -> DataFrame:
             for old in readers.values():
                 old.close()
 
-    return frames.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame").mapInArrow(
+    return frames.repartition(tasks, "bundle", "frame").sortWithinPartitions("bundle", "frame").mapInArrow(
         run,
         "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary",
     )
