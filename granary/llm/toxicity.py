@@ -8,7 +8,9 @@ cue words; a cue word in a toxic document is labelled toxic, every other word cl
 
 The field has two states per word, a weight for every cue word in the toxic state (one common
 weight for all other words) and four transition weights; it is fitted by maximum likelihood with
-forward-backward expectations on windows of the sample.  For every document, forward-backward
+forward-backward expectations.  The sampled texts are cut from end to end into windows, equal
+windows are counted, and windows without a cue word weigh together as much as those with one.  For
+every document, forward-backward
 over its whole text gives each word's probability of the toxic state.  Words at 1/2 or more are
 offending: their runs are the spans, and the score is the probability that at least one of them is
 right, each with its marginal times the measured reliability of cue words.
@@ -16,7 +18,7 @@ right, each with its marginal times the measured reliability of cue words.
 Learned from labels only where crc32(id as text) mod 3 is not 1.  Of the documents only the text
 is read by the model.  Defined results: null and empty texts score 0; spans are in code points,
 end exclusive; a label without a document, a null label and repeated labels (the largest counts)
-do no harm; without labels every score is 0; further columns play no part.
+do no harm; of repeated ids the largest text is learned from; without labels every score is 0; further columns play no part.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.functions.prefix import materialise
+
 #: Labelled rows from which is learned, at most.
 LEARN_ROWS = 20_000
 #: A cue word needs this many neighbourhoods, or this share of the toxic documents if that is more.
@@ -37,6 +41,8 @@ LEAST_SUPPORT = 4
 LEAST_SHARE = 0.02
 #: Times likelier in toxic documents.
 LEAST_RATIO = 8.0
+#: Different windows that the fit takes, at most, by a hash of the window.
+LEARN_WINDOWS = 40_000
 #: Words of a window of the fit, and rounds of the fit.
 WINDOW = 41
 ROUNDS = 300
@@ -69,10 +75,12 @@ class Field:
         get = self.number.get
         return [get(w, 0) for w in words]
 
-    def fit(self, numbers: np.ndarray, toxic: np.ndarray) -> None:
-        """Maximum likelihood on windows: word numbers (-1 behind the end) and states."""
+    def fit(self, numbers: np.ndarray, toxic: np.ndarray, weight: np.ndarray | None = None) -> None:
+        """Maximum likelihood on windows: word numbers (-1 behind the end), states and weights of windows."""
         if not len(numbers):
             return
+        weight = np.ones(len(numbers)) if weight is None else weight
+        each = np.broadcast_to(weight[:, None], numbers.shape)
         here = numbers >= 0
         word = np.maximum(numbers, 0)
         pair = here[:, 1:]
@@ -80,10 +88,10 @@ class Field:
         theta = np.concatenate([self.emit, self.move.ravel()])
         first, second = np.zeros_like(theta), np.zeros_like(theta)
         counted = np.zeros_like(theta)
-        np.add.at(counted, word[here], toxic[here])
+        np.add.at(counted, word[here], (toxic * each)[here])
         for a in (0, 1):
             for b in (0, 1):
-                counted[len(self.emit) + 2 * a + b] = ((toxic[:, :-1] == a) & (toxic[:, 1:] == b) & pair).sum()
+                counted[len(self.emit) + 2 * a + b] = (((toxic[:, :-1] == a) & (toxic[:, 1:] == b) & pair) * each[:, 1:]).sum()
         for step in range(1, ROUNDS + 1):
             emit, move = theta[:len(self.emit)], np.exp(theta[len(self.emit):].reshape(2, 2))
             e = np.stack([np.ones((n, length)), np.exp(emit)[word]], axis=2)
@@ -100,9 +108,9 @@ class Field:
             both = alpha[:, :-1, :, None] * move * (e[:, 1:] * beta[:, 1:])[:, :, None, :]
             both /= both.sum(axis=(2, 3), keepdims=True)
             expected = np.zeros_like(theta)
-            np.add.at(expected, word[here], post[..., 1][here])
-            expected[len(self.emit):] = (both * pair[..., None, None]).sum(axis=(0, 1)).ravel()
-            slope = (counted - expected) / n - PENALTY * theta
+            np.add.at(expected, word[here], (post[..., 1] * each)[here])
+            expected[len(self.emit):] = (both * (pair * each[:, 1:])[..., None, None]).sum(axis=(0, 1)).ravel()
+            slope = (counted - expected) / weight.sum() - PENALTY * theta
             first = 0.9 * first + 0.1 * slope
             second = 0.99 * second + 0.01 * slope**2
             theta = theta + 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
@@ -167,15 +175,15 @@ class Field:
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS) -> DataFrame:
-    """Table (text, toxic) of at most ``rows`` labelled documents, chosen by a hash of their id."""
+    """Table (text, toxic) of at most ``rows`` labelled documents, chosen by a hash of their id; one row per id."""
     known = (
         labels.select(labels["doc_id"].alias("doc_id"), labels["toxic"].cast("int").alias("toxic"))
         .filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # the bound that lets it be sent
-    texts = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    texts = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).select("text", "toxic")
 
 
 def _supports(batches):
@@ -206,56 +214,61 @@ def _counts(words: set[str]):
 
 
 def _windows(number: dict[str, int]):
-    """One window per document, round its first cue word, as word numbers; and whether it has one."""
+    """Windows of whole texts as word numbers, equal ones counted; without numbers: documents with a cue word."""
 
     def run(batches):
         for frame in batches:
-            rows = []
+            seen: Counter = Counter()
             for text, toxic in zip(frame["text"], frame["toxic"]):
                 numbers = [number.get(w, 0) for w in WORD.findall(lowered(text))]
-                hit = next((k for k, x in enumerate(numbers) if x), None)
-                start = max(0, (hit or 0) - WINDOW // 2)
-                rows.append((numbers[start:start + WINDOW], hit is not None, int(toxic)))
-            yield pd.DataFrame(rows, columns=["numbers", "hit", "toxic"])
+                if any(numbers):
+                    seen[None, int(toxic)] += 1
+                for k in range(0, len(numbers), WINDOW):
+                    seen[tuple(numbers[k:k + WINDOW]), int(toxic)] += 1
+            rows = [(None if w is None else list(w), x, n) for (w, x), n in seen.items()]
+            yield pd.DataFrame(rows, columns=["numbers", "toxic", "n"])
 
     return run
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS) -> Field:
-    """Fits the field; what comes to the driver is bounded by the sample."""
-    chosen = sample(docs, labels, rows).cache()
-    try:
-        sizes = {r[0]: r[1] for r in chosen.groupBy("toxic").count().collect()}
-        toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-        least = max(LEAST_SUPPORT, LEAST_SHARE * toxic)
-        support = {
-            r[0]: r[1] for r in chosen.filter("toxic = 1").select("text").mapInPandas(_supports, "word string, around string")
-            .distinct().groupBy("word").count().filter(F.col("count") >= least).collect()
-        }
-        against = Counter()
-        if support:
-            counted = chosen.filter("toxic = 0").select("text").mapInPandas(_counts(set(support)), "word string, n long")
-            against.update({r[0]: r[1] for r in counted.groupBy("word").agg(F.sum("n")).collect()})
-        cues = sorted(
-            w for w, n in support.items() if (n / (toxic + 1)) / ((against[w] + 0.5) / (clean + 1)) >= LEAST_RATIO
-        )
-        field = Field(cues, 0.0)
-        windows = chosen.select("text", "toxic").mapInPandas(
-            _windows(field.number), "numbers array<int>, hit boolean, toxic int"
-        )
-        hits = windows.filter("hit").collect()
-        rest = windows.filter("not hit").limit(len(hits) + 100).collect()
-    finally:
-        chosen.unpersist()
-    right = sum(r["toxic"] for r in hits)
-    field.reliability = (right + 1) / (len(hits) + 2) if hits else 0.0
-    numbers = np.full((len(hits) + len(rest), WINDOW), -1, dtype=np.int64)
+def learn(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS, windows_limit: int = LEARN_WINDOWS) -> Field:
+    """Fits the field; what comes to the driver is bounded by ``windows_limit`` and the words of the sample."""
+    chosen = materialise(sample(docs, labels, rows))
+    sizes = {r[0]: r[1] for r in chosen.groupBy("toxic").count().collect()}
+    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
+    least = max(LEAST_SUPPORT, LEAST_SHARE * toxic)
+    support = {
+        r[0]: r[1] for r in chosen.filter("toxic = 1").select("text").mapInPandas(_supports, "word string, around string")
+        .distinct().groupBy("word").count().filter(F.col("count") >= least).collect()
+    }
+    against = Counter()
+    if support:
+        counted = chosen.filter("toxic = 0").select("text").mapInPandas(_counts(set(support)), "word string, n long")
+        against.update({r[0]: r[1] for r in counted.groupBy("word").agg(F.sum("n")).collect()})
+    cues = sorted(
+        w for w, n in support.items() if (n / (toxic + 1)) / ((against[w] + 0.5) / (clean + 1)) >= LEAST_RATIO
+    )
+    field = Field(cues, 0.0)
+    if not cues:
+        return field
+    windows = materialise(
+        chosen.select("text", "toxic").mapInPandas(_windows(field.number), "numbers array<int>, toxic int, n long")
+        .groupBy("numbers", "toxic").agg(F.sum("n").alias("n"))
+    )
+    hits = {r["toxic"]: r["n"] for r in windows.filter("numbers is null").collect()}
+    field.reliability = (hits.get(1, 0) + 1) / (sum(hits.values()) + 2)
+    used = windows.filter("numbers is not null").orderBy(F.xxhash64("numbers", "toxic"), "numbers", "toxic")
+    held = used.limit(windows_limit).collect()  # the second bound that lets it be sent
+    numbers = np.full((len(held), WINDOW), -1, dtype=np.int64)
     states = np.zeros_like(numbers)
-    for k, r in enumerate(hits + rest):
+    weight = np.array([r["n"] for r in held], dtype=float)
+    for k, r in enumerate(held):
         numbers[k, :len(r["numbers"])] = r["numbers"]
         states[k] = (numbers[k] > 0) & (r["toxic"] == 1)
-    used = (numbers >= 0).any(axis=1)
-    field.fit(numbers[used], states[used])
+    plain = ~(numbers > 0).any(axis=1)
+    if plain.any() and not plain.all():
+        weight[plain] *= weight[~plain].sum() / weight[plain].sum()
+    field.fit(numbers, states, weight)
     return field
 
 

@@ -73,6 +73,63 @@ def test_held_out_documents(corpus, field):
             assert {w.strip(",.").lower() for w in texts[k][s.start:s.end].split()} <= set(field.number)
 
 
+def plain_learning(rows):
+    """Cue words, reliability and counted windows of (text, toxic) by loops."""
+    around, against, sizes = {}, {}, [0, 0]
+    for text, toxic in rows:
+        words = toxicity.WORD.findall(text.replace("İ", "i").lower())
+        sizes[toxic] += 1
+        for w in set(words):
+            k = words.index(w)
+            if toxic:
+                around.setdefault(w, set()).add((words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else ""))
+            else:
+                against[w] = against.get(w, 0) + 1
+    least = max(toxicity.LEAST_SUPPORT, toxicity.LEAST_SHARE * sizes[1])
+    cues = sorted(w for w, s in around.items() if len(s) >= least and (len(s) / (sizes[1] + 1))
+                  / ((against.get(w, 0) + 0.5) / (sizes[0] + 1)) >= toxicity.LEAST_RATIO)
+    held = [x for t, x in rows if set(cues) & set(toxicity.WORD.findall(t.replace("İ", "i").lower()))]
+    return cues, (sum(held) + 1) / (len(held) + 2)
+
+
+def test_learning_equals_loops(corpus, field):
+    docs, _, labels = corpus
+    known = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r.toxic is not None:
+            known[r.doc_id] = max(r.toxic, known.get(r.doc_id, 0))
+    rows = [(t, known[k]) for k, t in docs if k in known and zlib.crc32(str(k).encode()) % 3 != 1]
+    cues, reliability = plain_learning(rows)
+    assert sorted(field.number) == cues and field.reliability == reliability
+
+
+def test_windows_cover_whole_texts():
+    import pandas as pd
+
+    text = " ".join(["a"] * 60 + ["vile"] + ["b"] * 60 + ["vile"])
+    out = pd.concat(toxicity._windows({"vile": 1})([pd.DataFrame({"text": [text, text, "a b", ""], "toxic": [1, 1, 0, 0]})]))
+    rows = {(None if w is None else tuple(w), x): n for w, x, n in out.itertuples(index=False)}
+    assert rows.pop((None, 1)) == 2 and rows.pop(((0, 0), 0)) == 1 and rows.pop(((0,) * 41, 1)) == 2
+    whole = [0] * 60 + [1] + [0] * 60 + [1]
+    assert rows == {(tuple(whole[41:82]), 1): 2, (tuple(whole[82:]), 1): 2}
+
+
+def test_sample_holds_one_row_per_id(corpus, spark):
+    _, table, labels = corpus
+    many = table.crossJoin(spark.range(50)).drop("id").unionByName(table.selectExpr("doc_id", "concat(text, ' z') as text"))
+    out = toxicity.sample(many, labels, rows=10).collect()
+    assert len(out) == 10 and all(r.text.endswith(" z") for r in out)
+
+
+def test_weights_stand_for_repeated_windows():
+    a, b = toxicity.Field(["a"], 0.9), toxicity.Field(["a"], 0.9)
+    numbers = np.array([[0, 1, 0, -1], [0, 0, 1, 0], [0, 0, 0, 0]])
+    toxic = (numbers == 1).astype(np.int64)
+    a.fit(numbers, toxic, np.array([3.0, 1.0, 2.0]))
+    b.fit(np.repeat(numbers, [3, 1, 2], axis=0), np.repeat(toxic, [3, 1, 2], axis=0))
+    assert np.allclose(a.emit, b.emit) and np.allclose(a.move, b.move)
+
+
 def test_dirty_rows(dirty, nothing, corpus, spark):
     labels = corpus[2]
     out = toxicity.scores(dirty, labels).collect()
