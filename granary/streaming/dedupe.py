@@ -5,16 +5,21 @@ log of a key is cut into fixed stretches of time.  Inside a stretch the outcome
 only on the moment until which sending is blocked when it begins, so a stretch is
 summed up as a step function from that moment to the last alert it sends.  The
 functions are chained per key (a few rows per stretch), and every stretch then marks
-its own rows.
+its own rows.  Keys with few alerts, which are most of them, are followed whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.functions.prefix import materialise
+
 NEVER = -(2 ** 62)
 
 
@@ -80,13 +85,62 @@ def _mark(window: int):
     return keep
 
 
+#: Alerts of a key that are followed as one array; a fuller key is cut into stretches.
+SHORT = 4096
+
+
 def dedupe_log(alerts: DataFrame, minutes: int = 120, before: DataFrame | None = None,
-               stretch_windows: int = 12) -> DataFrame:
+               stretch_windows: int = 12, short: int = SHORT) -> DataFrame:
     """Alerts that go out: none of the same key and channel in the ``minutes`` before.
 
-    ``alerts`` has alert_key, channel, id, ts.  ``before`` optionally carries the last
-    sent time per key and channel (``last_us``) from earlier batches.
+    ``alerts`` has alert_key, channel, id, ts; those without a key, a channel or a time do not go out.
+    ``before`` optionally carries the last sent time per key and channel (``last_us``) from earlier
+    batches.  Keys of up to ``short`` alerts are one array each, so the work per key is small; only
+    fuller ones are cut into stretches.
     """
+    group = ["alert_key", "channel"]
+    known = alerts.where("alert_key is not null and channel is not null and ts is not null")
+    sizes = known.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    full = materialise(sizes.where(F.col("n") > short).select(*group))
+    few = _dedupe_short(known.join(full, group, "left_anti"), minutes, before)
+    if full.isEmpty():
+        return few
+    return few.unionByName(_dedupe_long(known.join(full, group, "left_semi"), minutes, before, stretch_windows))
+
+
+def _dedupe_short(alerts: DataFrame, minutes: int, before: DataFrame | None) -> DataFrame:
+    """A key's alerts in order of (time, id), followed from one sent to the next."""
+    window = minutes * 60 * 1_000_000
+    rows = F.sort_array(F.collect_list(F.struct(F.unix_micros("ts").alias("us"), F.col("id").isNull().alias("last"), F.col("id").cast("long").alias("id"))))
+    keys = alerts.groupBy("alert_key", "channel").agg(rows.alias("rows"))
+    if before is None:
+        keys = keys.withColumn("last_us", F.lit(None).cast("long"))
+    else:
+        keys = keys.join(before.select("alert_key", "channel", F.col("last_us").cast("long")), ["alert_key", "channel"], "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b["rows"]
+            first = lists.offsets.to_numpy()
+            us = lists.values.field("us").to_numpy()
+            sent: list[int] = []
+            key: list[int] = []
+            for k, last in enumerate(b["last_us"].to_pylist()):
+                x, y = int(first[k]), int(first[k + 1])
+                found = _sent(us[x:y], NEVER if last is None else last + window, window)
+                sent += [x + i for i in found]
+                key += [k] * len(found)
+            rows = lists.values.take(pa.array(sent, pa.int64()))
+            at = pa.array(key, pa.int64())
+            yield pa.RecordBatch.from_arrays([b["alert_key"].take(at), b["channel"].take(at), rows.field("id"), rows.field("us")],
+                                             ["alert_key", "channel", "id", "us"])
+
+    return keys.mapInArrow(run, "alert_key string, channel string, id long, us long").select(
+        "alert_key", "channel", "id", F.timestamp_micros("us").alias("ts"))
+
+
+def _dedupe_long(alerts: DataFrame, minutes: int, before: DataFrame | None, stretch_windows: int) -> DataFrame:
+    """Keys with any share of the log, stretch by stretch."""
     window = minutes * 60 * 1_000_000
     length = window * stretch_windows
     group = ["alert_key", "channel", "stretch"]
