@@ -257,24 +257,25 @@ def daily_totals(sales: DataFrame, folder: str | None = None) -> DataFrame:
 def sliding_rate(days_sold: DataFrame, key: str, spans: tuple[int, ...] = (30,)) -> DataFrame:
     """Mean daily units of the ``spans`` days before each day that has sales in them.
 
-    The input has one row per key and day.  Days without sales stand in only up to the next sale or the
-    longest span, and all spans are frames over one sort.
+    The input has one row per key and day.  A sale enters a span on the day after it and leaves it after
+    the span, so the sums run over these changes alone and are spread over the days between them.
     """
-    longest = max(spans)
-    by_day = Window.partitionBy(key).orderBy("d")
     dated = days_sold.where("sale_date is not null").select(key, F.unix_date("sale_date").alias("d"), F.col("quantity").cast("long").alias("quantity"))
-    upto = F.least(F.coalesce(F.lead("d").over(by_day) - 1, F.col("d") + longest), F.col("d") + longest)
-    days = dated.withColumn("upto", upto).withColumn("day", F.explode(F.sequence("d", "upto"))).select(
-        key, F.col("day").alias("d"), F.when(F.col("day") == F.col("d"), F.col("quantity")).alias("quantity"),
-        F.when(F.col("day") == F.col("d"), 1).alias("sold"))
-    spanned = [F.struct(F.lit(n).alias("days"), F.sum("quantity").over(by_day.rangeBetween(-n, -1)).alias("units"),
-                        F.count("sold").over(by_day.rangeBetween(-n, -1)).alias("seen")) for n in spans]
-    # Explosion of a few spans after the frames, so that the rows are sorted once.
-    each = days.select(key, "d", *[s.alias(f"s{k}") for k, s in enumerate(spanned)]).select(
-        key, "d", F.explode(F.array(*[f"s{k}" for k in range(len(spans))])).alias("s")).where("s.seen > 0")
-    units = F.col("s.units")
-    return each.select(key, F.col("s.days").alias("days"), F.date_from_unix_date("d").alias("until"), units.alias("units"),
-                       (units.cast("double") / F.col("s.days")).alias("rate"))
+    known = F.when(F.col("quantity").isNotNull(), 1).otherwise(0)
+    changes = F.array(*[
+        F.struct(F.lit(n).alias("days"), (F.col("d") + behind).alias("d"), (F.coalesce("quantity", F.lit(0)) * sign).alias("units"),
+                 (known * sign).alias("known"), F.lit(sign).alias("seen"))
+        for n in spans for behind, sign in ((1, 1), (n + 1, -1))])
+    by_span = Window.partitionBy(key, "days").orderBy("d")
+    so_far = by_span.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    moved = dated.select(key, F.explode(changes).alias("c")).select(key, "c.*").groupBy(key, "days", "d").agg(
+        *[F.sum(c).alias(c) for c in ("units", "known", "seen")])
+    runs = moved.select(key, "days", "d", *[F.sum(c).over(so_far).alias(c) for c in ("units", "known", "seen")],
+                        (F.lead("d").over(by_span) - 1).alias("upto")).where("seen > 0")
+    units = F.when(F.col("known") > 0, F.col("units"))
+    return runs.select(key, "days", units.alias("units"), (units.cast("double") / F.col("days")).alias("rate"),
+                       F.explode(F.sequence("d", "upto")).alias("until")).select(
+        key, "days", F.date_from_unix_date("until").alias("until"), "units", "rate")
 
 
 def flag_anomalies(sales: DataFrame, baseline: DataFrame, sensitivity: float = 2.0) -> DataFrame:
