@@ -166,10 +166,11 @@ def unwrap_documents(docs: DataFrame, item_schema: str, body: str = "body") -> D
     wrapped = F.from_json(F.col(body), "struct<" + ",".join(f"{w}:array<struct<{item_schema}>>" for w in WRAPPERS) + ">")
     single = F.from_json(F.col(body), f"struct<{item_schema}>")
     listed = F.from_json(F.col(body), f"array<struct<{item_schema}>>")
-    df = docs.withColumns({"_w": wrapped, "_s": single, "_l": listed})
+    # The other two forms are parsed only where they are used.
+    df = docs.withColumn("_w", wrapped)
     filled = [F.when(F.size(F.col(f"_w.{w}")) > 0, F.col(f"_w.{w}")) for w in WRAPPERS]
-    bare = F.when(F.ltrim(F.col(body)).startswith("["), F.col("_l"))
-    rows = F.coalesce(*filled, bare, F.array(F.col("_s")))
+    bare = F.when(F.ltrim(F.col(body)).startswith("["), listed)
+    rows = F.coalesce(*filled, bare, F.array(single))
     keep = [c for c in docs.columns if c != body]
     return df.select(*keep, F.explode(rows).alias("_r")).select(*keep, "_r.*")
 
