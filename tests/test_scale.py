@@ -2,12 +2,19 @@
 
 import datetime as dt
 
-import pytest
 from pyspark.sql import functions as F
 
+from granary.functions.layout import ROWS_PER_TASK, tasks_for_rows
+from granary.functions.prefix import materialise
+from granary.operators import classify as cls
+from granary.operators import dashboard as dash
 from granary.operators import forecast as fc
+from granary.operators import holtwinters as hw
+from granary.operators import series as ts
+from granary.streaming import jobs
+from granary.streaming.dedupe import dedupe_log
 
-DAY = dt.date(2024, 1, 1)
+DAY, DAY0 = dt.date(2024, 1, 1), dt.datetime(2024, 1, 1)
 
 
 def plan_of(df) -> str:
@@ -25,3 +32,70 @@ def test_adjustments_do_not_broadcast_the_catalogue(spark):
     df = fc.adjust(fc.baseline(catalogue(spark, 40), DAY, 14), catalogue(spark, 40))
     assert "BroadcastExchange" not in plan_of(df)
     assert df.count() == 40 * 14
+
+
+def daily(spark, n: int, products: int = 3):
+    return spark.range(n).select(
+        (F.col("id") % products).alias("product_id"), F.date_add(F.lit(DAY), (F.col("id") * 11 % 700).cast("int")).alias("date"),
+        (F.col("id") % 50 + 1).alias("qty")).groupBy("product_id", "date").agg(F.sum("qty").alias("qty"))
+
+
+def test_tasks_follow_the_rows(spark, tables):
+    assert tasks_for_rows(spark, 10_000_000) == -(-10_000_000 // ROWS_PER_TASK)
+    assert 1 <= tasks_for_rows(spark, 100) <= spark.sparkContext.defaultParallelism
+    assert plan_of(tables.part_daily()).count("REPARTITION_BY_NUM") == 2
+    # No exchange of its own behind the layout by product.
+    assert "ENSURE_REQUIREMENTS" not in plan_of(cls.trend_acceleration(tables.part_daily()))
+
+
+def test_weekly_buckets_of_forecasts_need_no_join(tables):
+    plan = plan_of(dash.weekly_buckets(tables.forecasts))
+    assert "Join" not in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_periods_are_filled_and_capped_without_joins(spark):
+    rows = daily(spark, 60).repartition(2, "product_id")
+    df = ts.winsorise(ts.model_periods(rows))
+    assert "Join" not in plan_of(df)
+    found = {}
+    for r in df.collect():
+        found.setdefault(r.product_id, []).append(r)
+    for product, periods in found.items():
+        periods.sort(key=lambda r: r.date)
+        gaps = {(b.date - a.date).days for a, b in zip(periods, periods[1:])}
+        assert gaps == {14 if periods[0].grain == "biweekly" else 7}
+        assert sum(r.qty for r in periods) == sum(r.qty for r in rows.where(F.col("product_id") == product).collect())
+
+
+def test_holt_winters_builds_its_series_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(hw, "materialise", lambda df: written.append(df) or materialise(df))
+    rows = daily(spark, 90).withColumns({"grain": F.lit("weekly"), "horizon": F.lit(2), "smooth": F.col("qty")})
+    assert fc.fit_holt_winters(rows).count() == 6
+    assert len(written) == 1
+
+
+def test_alerts_of_few_rows_need_no_group_per_stretch(spark):
+    at = [(f"k{i % 3}", "EMAIL", i, DAY0 + dt.timedelta(minutes=(i * 37) % 1500)) for i in range(200)] + [(None, "EMAIL", 900, DAY0), ("k0", "EMAIL", 901, None)]
+    df = spark.createDataFrame(at, "alert_key string, channel string, id long, ts timestamp")
+    short, long = dedupe_log(df), dedupe_log(df, short=0, stretch_windows=2)
+    assert "FlatMapGroupsInPandas" not in plan_of(short)
+    assert sorted(short.collect()) == sorted(long.collect())
+    assert sorted(dedupe_log(df, short=66).collect()) == sorted(short.collect())
+
+
+def test_rates_sum_over_changes_and_not_over_silent_days(spark):
+    sold = [(k, DAY + dt.timedelta(days=d), q) for k, d, q in ((1, 0, 4), (1, 3, None), (1, 9, 2), (1, 60, 5), (2, 1, None))]
+    df = jobs.sliding_rate(spark.createDataFrame(sold, "k int, sale_date date, quantity long"), "k", (7, 30))
+    plan = plan_of(df)
+    assert plan.index("explode(sequence") < plan.index("Window")  # the days come after the sums
+    want = set()
+    for k in (1, 2):
+        for n in (7, 30):
+            for day in range(120):
+                within = [q for key, d, q in sold if key == k and 1 <= (DAY + dt.timedelta(days=day) - d).days <= n]
+                if within:
+                    units = sum(q for q in within if q is not None) if any(q is not None for q in within) else None
+                    want.add((k, n, DAY + dt.timedelta(days=day), units, None if units is None else units / n))
+    rows = [tuple(r[c] for c in ("k", "days", "until", "units", "rate")) for r in df.collect()]
+    assert len(rows) == len(want) and set(rows) == want
