@@ -99,3 +99,10 @@ def test_rates_sum_over_changes_and_not_over_silent_days(spark):
                     want.add((k, n, DAY + dt.timedelta(days=day), units, None if units is None else units / n))
     rows = [tuple(r[c] for c in ("k", "days", "until", "units", "rate")) for r in df.collect()]
     assert len(rows) == len(want) and set(rows) == want
+
+
+def test_silent_periods_of_no_product_stay_empty(spark):
+    rows = spark.createDataFrame([(None, DAY, 3), (None, DAY + dt.timedelta(days=21), 4), (1, DAY, 5)], "product_id long, date date, qty long")
+    for grid in (ts.weekly(rows), ts.model_periods(rows)):
+        found = sorted((r.product_id or 0, r.date, r.qty, r.n_days) for r in grid.collect())
+        assert [x[2:] for x in found] == [(0, 0)] * 4 + [(5, 1)]
