@@ -2,10 +2,13 @@
 
 import datetime as dt
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from granary.functions.layout import ROWS_PER_TASK, tasks_for_rows
 from granary.functions.prefix import materialise
+from granary.operators import batched as bt
 from granary.operators import classify as cls
 from granary.operators import dashboard as dash
 from granary.operators import forecast as fc
@@ -106,3 +109,49 @@ def test_silent_periods_of_no_product_stay_empty(spark):
     for grid in (ts.weekly(rows), ts.model_periods(rows)):
         found = sorted((r.product_id or 0, r.date, r.qty, r.n_days) for r in grid.collect())
         assert [x[2:] for x in found] == [(0, 0)] * 4 + [(5, 1)]
+
+
+def test_trees_learn_in_few_tasks(spark, monkeypatch):
+    """Each level of a tree shuffles between all tasks, so their number must not follow every 20,000 rows."""
+    from pyspark.ml.regression import GBTRegressor
+
+    class Stop(Exception):
+        pass
+
+    seen = []
+
+    def fit(self, df, *a):
+        seen.append(df.rdd.getNumPartitions())
+        raise Stop
+
+    monkeypatch.setattr(GBTRegressor, "fit", fit)
+    weeks = spark.range(200_001).selectExpr(
+        "id div 100 as product_id", "date_add(date'2020-01-06', cast(id % 100 * 7 as int)) as date", "id % 17 as qty")
+    with pytest.raises(Stop):
+        fc.boosted_forecast(weeks, 1, 2)
+    assert seen == [8]
+
+
+def test_pipeline_reads_its_days_once(spark):
+    """Segments, periods, weekdays, fallback and last days all read one written table."""
+    rows = [(p, dt.date(2022, 1, 3) + dt.timedelta(days=d), 5 + (d * p) % 7) for p in (1, 2) for d in range(0, 200, 1 + p)]
+    rows += [(3, dt.date(2022, 1, 3), 4)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    daily = spark.createDataFrame(rows, "product_id long, date date, qty long").coalesce(1)
+    out = fc.forecast_products(daily.mapInArrow(counted, daily.schema), 14)
+    assert out.count() == 3 * 14 and read.value == len(rows)
+
+
+def test_quantiles_of_a_series_are_numpys():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 17, 200):
+        y = np.sort(rng.gamma(0.7, 40, n))
+        for share in (0.5, 0.99):
+            assert bt.quantile(y, share) == pytest.approx(np.percentile(y, 100 * share), rel=1e-12)
+        assert bt.variance(y) == pytest.approx(y.var(), rel=1e-9, abs=1e-12)
