@@ -155,3 +155,11 @@ def test_quantiles_of_a_series_are_numpys():
         for share in (0.5, 0.99):
             assert bt.quantile(y, share) == pytest.approx(np.percentile(y, 100 * share), rel=1e-12)
         assert bt.variance(y) == pytest.approx(y.var(), rel=1e-9, abs=1e-12)
+
+
+def test_weeks_leave_out_sales_without_date_or_quantity(spark):
+    rows = [(1, DAY, 5), (1, None, 9), (1, DAY + dt.timedelta(days=7), None), (1, DAY + dt.timedelta(days=14), 3), (None, DAY, 2)]
+    daily = spark.createDataFrame(rows, "product_id long, date date, qty long")
+    out = fc.period_table(daily).collect()
+    assert [(r.product_id, r.n, r.qty, r.smooth) for r in out] == [(1, 3, [5.0, 0.0, 3.0], [5.0, 0.0, 3.0])]
+    assert {r.model for r in fc.forecast_products(daily, 7).collect()} == {"fallback"}
